@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.llm import exact_dedup, sharding
+from leafmill.llm import exact_dedup, pieces, sharding
 
-MODULES = (sharding, exact_dedup)
+MODULES = (sharding, exact_dedup, pieces)
 
 
 def queries() -> dict:
