@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.llm import exact_dedup, pieces, sharding
+from leafmill.llm import exact_dedup, language, pieces, sharding
 
-MODULES = (sharding, exact_dedup, pieces)
+MODULES = (language, sharding, exact_dedup, pieces)
 
 
 def queries() -> dict:
