@@ -34,7 +34,7 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """A table (digest, keep_id, batch), bucketed and sorted by digest, that grows by batches."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = 16):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = 32):
         """path: where the table is stored; the session's warehouse if not given."""
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
 
@@ -48,7 +48,8 @@ class DigestIndex:
         """Add the digests of ``found`` (digest, keep_id) that the index lacks; a batch that is added again adds nothing."""
         if self.exists():
             found = found.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        rows = found.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
+        # the key is the bucket number, so one task writes a bucket as one file
+        rows = found.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
         writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
