@@ -182,3 +182,20 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def arrow_bytes(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow string or binary array from flat bytes and row offsets."""
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
+
+
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[48:58] = _WORD_BYTE[65:91] = _WORD_BYTE[97:123] = True
+_WORD_BYTE[128:] = True
+
+
+def punctuation(data: np.ndarray) -> np.ndarray:
+    """True for each byte that is not part of a letter or digit: ASCII signs, U+00A0 to U+00BF, and U+2000 to U+203F."""
+    gap = ~_WORD_BYTE[data]
+    for lead, second, length in ((0xC2, None, 2), (0xE2, 0x80, 3)):
+        at = np.flatnonzero(data[: max(len(data) - length + 1, 0)] == lead)
+        if second is not None and len(at):
+            at = at[data[at + 1] == second]
+        for k in range(length):
+            gap[at + k] = True
+    return gap
