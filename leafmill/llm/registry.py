@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontamination, exact_dedup, language, near_dedup, pieces, sharding, toxicity
+from leafmill.llm import decontamination, exact_dedup, language, near_dedup, pieces, sharding, suffix_dedup, toxicity
 
-MODULES = (language, toxicity, sharding, exact_dedup, decontamination, near_dedup, pieces)
+MODULES = (language, toxicity, suffix_dedup, sharding, exact_dedup, decontamination, near_dedup, pieces)
 
 
 def queries() -> dict:
