@@ -41,7 +41,7 @@ K = 24
 #: Bytes of a symbol of the merged transforms; divides LENGTH.
 STEP = 20
 #: Shards of a merge, and bytes that are merged at once.
-SHARDS, MERGE_BYTES = 4, 1 << 20
+SHARDS, MERGE_BYTES = 4, 1 << 18
 #: Texts whose minimisers are counted to find frequent ones, and how many of those are told apart.
 SAMPLED, FREQUENT = 20_000, 4096
 
@@ -312,7 +312,7 @@ def recut(data: np.ndarray, lengths: np.ndarray, doc: np.ndarray, start: np.ndar
 
     Equal windows come into one lot, so the lots are judged apart, each in bounded memory.
     """
-    lots = -(-len(data) // (8 * MERGE_BYTES))
+    lots = -(-len(data) // (16 * MERGE_BYTES))
     if lots == 1:
         yield data, lengths, doc, start
         return
