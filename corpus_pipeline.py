@@ -1,15 +1,64 @@
-"""Corpus pipeline: language, exact copies, near copies, benchmark leaks, tokens."""
+"""Corpus pipeline: language, exact copies, near copies, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the next stage's docs.  All stages but the last return the columns of documents; the last adds the
+token ids, their number and the text that they decode to.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import decontamination, exact_dedup, language, near_dedup, pieces
+from leafmill.llm.common import fold, shared_folder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts whose language can be told; a text without a letter is rejected.  The model learns from the stage's own input."""
+    model = language.fit(docs.where(fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang"))
+    told = language.predict(docs.withColumn("_read", F.col("text")), model, "_read")
+    return told.where(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each text, by a digest index that starts empty."""
+    return exact_dedup.kept_rows(docs, exact_dedup.fresh_index(spark, "pipeline"), "documents").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return decontamination.kept_rows(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, their number, and the decoded text."""
+    out = pieces.encode(docs.withColumn("_read", F.col("text")), pieces.default_model(), "_read")
+    return out.select(*COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
+
+
+STAGES = [("language", languages), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", leaks), ("tokens", tokens)]
 
-STAGES: list = []
+#: SQL can't express the stages; the pipeline is tested against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over the documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
