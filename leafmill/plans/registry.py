@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from leafmill.plans import document_queries, text_queries
+
+MODULES = (text_queries, document_queries)
 
 
 def queries() -> dict:
