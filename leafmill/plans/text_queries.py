@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
 from leafmill.functions import text as X
-from leafmill.operators import chunk, embed, retrieve
+from leafmill.operators import chunk, embed, retrieve, similar
 from leafmill.plans import synthetic as S
 
 STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -86,14 +86,9 @@ def dense_embedding(spark, d):
 
 
 def cosine_topk(spark, d):
-    """For every vector whose id is divisible by 50, the five most similar others; the question side is a fiftieth and goes in blocks."""
-    v = S.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda s, y: s + y * y)))
-    v = v.select("vec_id", unit.alias("v"))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    both = q.join(v, q["query_id"] != v["vec_id"])
-    both = both.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("chunk_idx"), F.round(embed.dot(F.col("q"), F.col("v")), 6).alias("score"))
-    return retrieve.top_k(both, 5).select(F.col("question_id").alias("query_id"), F.col("chunk_idx").alias("vec_id"), "score", "rank")
+    """For every vector whose id is divisible by 50, the five most similar others."""
+    v = S.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return similar.most_similar(v.where("vec_id % 50 = 0"), v)
 
 
 def _questions(spark, d):
