@@ -59,3 +59,10 @@ def bounded_sample(df: DataFrame, key: str, group: str, per_group: int, seed: st
         share = F.when(F.col(group) == F.lit(r[group]), F.lit(min(1.0, per_group / r["count"]))).otherwise(share)
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return df.where(spread < share)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until no column of df is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table
+from leafmill.llm.common import table, unused
 from leafmill.llm.textbytes import Block, Words, blocks, gather_ranges, punctuation, shingles, word_hashes, words
 
 K1, B = 1.2, 0.75
@@ -249,7 +249,7 @@ def kept_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
                     part = batch.slice(b.lo, b.rows).filter(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
 
-        docs = docs.withColumn("_lower", F.lower(text)).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.lower(text).alias(unused(docs, "_lower"))).mapInArrow(run, docs.schema)
     return docs
 
 

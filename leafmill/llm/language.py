@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded_sample, fold, table
+from leafmill.llm.common import bounded_sample, fold, table, unused
 from leafmill.llm.textbytes import Block, blocks
 
 #: Languages by family (ISO 639-1); a language that is not listed is a family of its own.
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(b.lo, b.rows) for c in batch.columns[:-1]), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     has_letter = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-    return docs.select(*rest, F.when(has_letter, F.col(text)).otherwise("").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.when(has_letter, F.col(text)).otherwise("").alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

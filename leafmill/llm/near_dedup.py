@@ -182,7 +182,6 @@ def text_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose components are those of all links; docs has id and text, signed one row of each class."""
-    spark = docs.sparkSession
     met = signed.select("id", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members > 1")
     met = checkpoint(met.join(crowded, "bucket"))
@@ -209,16 +208,15 @@ def links(docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = rest.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
     more = rest.groupBy("bucket", "lo", "hi").applyInPandas(block_links(threshold), "a long, b long")
-    del spark
     return found.unionByName(checkpoint(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id and kept of every row; threshold in hundredths."""
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = written(docs.mapInArrow(signatures, "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>"), "signatures")
     classes = signed.where("n > 0 and id is not null").groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
-    member = signed.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    member = signed.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     joined = components(links(docs.where("id is not null"), reps, threshold))
     out = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table
+from leafmill.llm.common import table, unused
 from leafmill.llm.textbytes import Block, blocks, gather_ranges, prefix_hashes, span_hashes
 
 MARK = "▁"
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", with_text: bool = Tr
                     out.append(pa.Array.from_buffers(pa.string(), b.rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]))
                 yield pa.RecordBatch.from_arrays(out, names=[*rest, "ids", "decoded"][: len(out)])
 
-    return docs.select(*rest, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def default_model() -> str:

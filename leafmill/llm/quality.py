@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table
+from leafmill.llm.common import table, unused
 from leafmill.llm.textbytes import Block, Words, blocks, mix, prefix_hashes, span_hashes, word_hashes, words
 
 LABELLERS = ("repetition", "variety", "capitals", "signs", "columns", "sentences", "length", "lines")
@@ -230,7 +230,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
                     p[np.diff(w.rows) == 0] = 0
                     yield pa.RecordBatch.from_arrays([*(c.slice(b.lo, b.rows) for c in batch.columns[:-1]), pa.array(p), pa.array(p >= KEEP)], names=schema.names)
 
-    return docs.select(*rest, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
-from leafmill.llm.textbytes import U64, Block, blocks, gather_ranges, mix, powers, prefix_hashes, span_hashes
+from leafmill.llm.textbytes import U64, Block, blocks, buffer, gather_ranges, mix, powers, prefix_hashes, span_hashes
 
 LENGTH = 100
 #: Length of the K-grams of which the smallest deals out a window.
@@ -260,13 +260,11 @@ def repeated(data: np.ndarray, lengths: np.ndarray, doc: np.ndarray, start: np.n
     least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(key))))
     flag = np.zeros(len(data), bool)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    own = doc[c.segment[nodes]] * 0
     later = key > least
     # a window of a row that repeats an id stands at the same place as its twin
     seg = c.segment[nodes]
     head = np.argsort(place, kind="stable")[least >> 32]
     twin = (doc[seg] == doc[head]) & (start[seg] + c.at[nodes] == start[head] + (least & 0xFFFFFFFF))
-    del own
     flag[offsets[seg] + c.at[nodes]] = later & ~twin
     return flag[gather_ranges(offsets[:-1], windows)]
 
@@ -279,7 +277,7 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(held).combine_chunks().sort_by([("k", "ascending")])
     k, doc, start = (whole.column(c).to_numpy() for c in ("k", "id", "start"))
     column = pa.chunked_array(whole.column("bytes")).combine_chunks()
-    lengths = np.diff(blocks_offsets(column))
+    lengths = np.diff(buffer(column)[1])
     total = np.concatenate([[0], np.cumsum(lengths)])
     edges = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
     i = 0
@@ -301,12 +299,6 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[seg]), pa.array(at[seg] + head - begin[seg]), pa.array(tail + 1 - head)], names=["id", "start", "windows"])
 
 
-def blocks_offsets(column: pa.Array) -> np.ndarray:
-    from leafmill.llm.textbytes import buffer
-
-    return buffer(column)[1]
-
-
 def recut(data: np.ndarray, lengths: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """The segments as they are; if they are too many bytes at once, in lots of windows by the hash of a window's first symbol.
 

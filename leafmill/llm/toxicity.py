@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded_sample, fold, table
+from leafmill.llm.common import bounded_sample, fold, table, unused
 from leafmill.llm.textbytes import Block, Words, blocks, punctuation, shingles, word_hashes, words
 
 #: Labelled texts of each class that the fit uses (about).
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out = [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), *(pa.array(n[:, k : k + 2].sum(axis=1).astype(np.int64)) for k in (0, 2))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(b.lo, b.rows) for c in batch.columns[:-1]), *out], names=schema.names)
 
-    return docs.select(*rest, F.lower(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.lower(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
