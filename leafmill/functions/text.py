@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed
 
 
+#: All white space of Unicode, as characters and as a class for patterns.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+GAP = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def split_words(text: Column) -> Column:
+    """The parts between white space of any kind."""
+    return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
 def clean_text(text: Column) -> Column:
@@ -41,13 +51,13 @@ def repair_digits(text: Column) -> Column:
 def lexical_tokens(text: Column) -> Column:
     """Distinct lower-case words."""
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " ")
-    return F.array_distinct(F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != ""))
+    return F.array_distinct(split_words(plain))
 
 
 def words(text: Column) -> Column:
     """Lower-case words, repeated ones too."""
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " ")
-    return F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")
+    return split_words(plain)
 
 
 def subword_tokens(text: Column) -> Column:
@@ -67,7 +77,7 @@ def token_hash(token: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of words between white space."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")).cast("bigint")
+    return F.size(split_words(F.coalesce(text, F.lit("")))).cast("bigint")
 
 
 def title_key(key: Column) -> Column:

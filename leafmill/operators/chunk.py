@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-from leafmill.functions.text import strip, title_key
+from leafmill.functions.text import GAP, strip, title_key
 
 
 def paragraph_chunks(docs: DataFrame, page: int = 1) -> DataFrame:
@@ -18,7 +18,7 @@ def paragraph_chunks(docs: DataFrame, page: int = 1) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda p: p != "")
 
     def windows(p):
-        w = F.split(p, r"(?U)\s+")
+        w = F.split(p, GAP)
         starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(fixed.STEP_WORDS))
         cut = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(fixed.WINDOW_WORDS)), " "))
         return F.filter(cut, lambda c: F.char_length(c) > fixed.LEAST_CHARS)

@@ -74,8 +74,8 @@ def rule_fields(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
 def line_key_values(lines: DataFrame) -> DataFrame:
     """Key and value around the first delimiter of a line: doc_id, page_number, line_number, key, value; a key counts once a page."""
     line = strip(F.col("text"))
-    head = F.regexp_extract(line, r"(?s)^(.*?)(?:[:=]| - )", 1)
-    tail = F.regexp_extract(line, r"(?s)^.*?(?:[:=]| - )(.*)$", 1)
+    parts = F.split(F.col("text"), r"[:=]| - ", 2)
+    head, tail = parts[0], parts[1]
     key = strip(F.regexp_replace(strip(head), r"^[^A-Za-z0-9]+|[^A-Za-z0-9\s.]+$", ""))
     value = strip(F.regexp_replace(strip(tail), r"^[^A-Za-z0-9]+|[^A-Za-z0-9\s.,]+$", ""))
     found = lines.where(line.rlike(r"[:=]| - ")).select("doc_id", "page_number", "line_number", key.alias("key"), value.alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources import spread
+
 #: Amount in cents as text with two decimals.
 _MONEY = "CAST(CAST(floor({c} / 100.0) AS BIGINT) AS STRING) || '.' || lpad(CAST({c} % 100 AS STRING), 2, '0')"
 _CENTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)"
@@ -38,7 +40,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, line_number, text: thirteen lines an order, the last four on page 2."""
-    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     both = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     lines = both.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*(F.expr(e) for e in INVOICE))).alias("n", "text"))
     return lines.select("doc_id", F.when(F.col("n") < 9, 1).otherwise(2).alias("page_number"), (F.col("n") + 1).alias("line_number"), "text")
@@ -66,7 +69,7 @@ def line_chunks(lines: DataFrame) -> DataFrame:
 
 def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, word_idx, text, confidence, x, y, width, height: four words a line item."""
-    items = read(spark, sf_dir, "lineitem")
+    items = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
     each = [f"struct({k} AS col, {t} AS text, CAST({x} + l_partkey % 7 AS INT) AS x, {w} AS width)" for k, (t, x, w) in enumerate(WORDS)]
     words = items.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.expr(f"CAST({Y} AS INT)").alias("y"), F.explode(F.array(*(F.expr(e) for e in each))).alias("w"))
     return words.select(
@@ -83,7 +86,7 @@ WORDS_SQL = "words AS (" + " UNION ALL ".join(
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, table_id, cell_idx, x, y, width, height: two cells a line item, which hold its words."""
-    items = read(spark, sf_dir, "lineitem")
+    items = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))
     each = F.array(*(F.expr(f"struct({k} AS col, {x} AS x, {w} AS width)") for k, (x, w) in enumerate(((10, 110), (120, 200)))))
     cells = items.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.expr(f"CAST({Y} - 5 AS INT)").alias("y"), F.explode(each).alias("c"))
     return cells.select("doc_id", F.lit(1).alias("page_number"), F.lit("table_1").alias("table_id"), (F.col("l_linenumber") * 2 + F.col("c.col")).alias("cell_idx"), "c.x", "y", "c.width", F.lit(32).alias("height"))

@@ -8,13 +8,14 @@ from leafmill.functions import fixed
 from leafmill.functions import text as X
 from leafmill.operators import chunk, embed, retrieve, similar
 from leafmill.plans import synthetic as S
+from leafmill.sources import spread
 
 STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda w: w <> '')"
 
 
 def _docs(spark, d):
-    return S.read(spark, d, "documents").select("doc_id", "text")
+    return spread(S.read(spark, d, "documents").select("doc_id", "text"))
 
 
 def clean_text(spark, d):
