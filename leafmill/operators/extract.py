@@ -92,27 +92,31 @@ def merge_fields(fields: DataFrame, key_values: DataFrame) -> DataFrame:
     document's pairs are folded in order, the accumulator being the names that are taken and what was added.
     """
     taken = fields.groupBy("doc_id").agg(F.collect_set("field").alias("taken"))
-    pairs = key_values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "key", "value"))).alias("pairs"))
+    # what does not depend on the order is made before the fold: the fields that a key fits, and its own name
+    low, value = F.lower("key"), strip(F.col("value"))
+    fits = F.filter(F.array(*(F.when(contains_any(low, listed), F.lit(field)) for field, listed in fixed.KEY_WORDS.items())), lambda f: f.isNotNull())
+    each = key_values.select("doc_id", F.col("position").cast("int").alias("position"), value.alias("value"), fits.alias("fits"), field_key(F.col("key")).alias("name"))
+    date = F.when(F.array_contains("fits", "invoice_date"), standardize_date(F.col("value")))
+    amount = F.array_contains("fits", "total_amount") & F.coalesce(parse_amount(F.col("value")) > 0, F.lit(False))
+    usable = F.when(F.char_length("name").between(1, 30), F.col("name"))
+    each = each.select("doc_id", F.struct("position", "value", date.alias("date"), amount.alias("amount"), "fits", usable.alias("name")).alias("kv"))
+    pairs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list("kv")).alias("pairs"))
     added_type = "array<struct<field:string,value:string,method:string,position:int>>"
-    none = F.lit(None).cast("struct<field:string,value:string,method:string,position:int>")
 
     def step(acc: Column, kv: Column) -> Column:
-        low, value = F.lower(kv["key"]), strip(kv["value"])
-
-        def entry(field: Column, text: Column, method: str) -> Column:
-            return F.struct(field.alias("field"), text.alias("value"), F.lit(method).alias("method"), kv["position"].cast("int").alias("position"))
-
-        name = field_key(kv["key"])
-        chosen = F.when((name != "") & (F.char_length(name) <= 30) & ~F.array_contains(acc["taken"], name), entry(name, value, "form_field")).otherwise(none)
-        for field, listed in reversed(fixed.KEY_WORDS.items()):
-            text = standardize_date(value) if field == "invoice_date" else value
-            made = entry(F.lit(field), text, "spatial_kv")
-            if field == "total_amount":
-                made = F.when(parse_amount(value) > 0, made).otherwise(none)
-            chosen = F.when(contains_any(low, listed) & ~F.array_contains(acc["taken"], F.lit(field)), made).otherwise(chosen)
-        more = F.when(chosen.isNotNull(), F.array(chosen)).otherwise(F.array().cast(added_type))
-        names = F.transform(more, lambda m: m["field"])
-        return F.struct(F.concat(acc["taken"], names).alias("taken"), F.concat(acc["added"], more).alias("added"))
+        field = F.try_element_at(F.filter(kv["fits"], lambda f: ~F.array_contains(acc["taken"], f)), F.lit(1))
+
+        def choose(f: Column) -> Column:
+            plain = F.struct(kv["name"].alias("field"), kv["value"].alias("value"), F.lit("form_field").alias("method"), kv["position"].alias("position"))
+            filled = F.struct(f.alias("field"), F.when(f == "invoice_date", kv["date"]).otherwise(kv["value"]).alias("value"), F.lit("spatial_kv").alias("method"), kv["position"].alias("position"))
+            own = F.when(kv["name"].isNotNull() & ~F.array_contains(acc["taken"], kv["name"]), plain)
+            return F.when(f.isNull(), own).when((f != "total_amount") | kv["amount"], filled)
+
+        def add(c: Column) -> Column:
+            return F.when(c.isNull(), acc).otherwise(F.struct(F.concat(acc["taken"], F.array(c["field"])).alias("taken"), F.concat(acc["added"], F.array(c)).alias("added")))
+
+        # a one-element array binds a value that is used more than once
+        return F.transform(F.transform(F.array(field), choose), add)[0]
 
     start = F.struct(F.coalesce("taken", F.array().cast("array<string>")).alias("taken"), F.array().cast(added_type).alias("added"))
     folded = pairs.join(taken, "doc_id", "left").select("doc_id", F.aggregate("pairs", start, step).alias("acc"))

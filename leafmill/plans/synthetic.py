@@ -101,18 +101,18 @@ CELLS_SQL = "cells AS (" + " UNION ALL ".join(
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key for each customer; every fourth is revoked."""
     c = read(spark, sf_dir, "customer")
-    return c.select(F.concat(F.lit("key-"), F.col("c_custkey").cast("string")).alias("key_id"), F.concat(F.lit("sk-rag-live-"), F.col("c_custkey").cast("string")).alias("api_key"), F.col("c_name").alias("name"), (F.col("c_custkey") % 4 != 0).alias("is_active"))
+    return c.select(F.concat(F.lit("key-"), F.col("c_custkey").cast("string")).alias("key_id"), F.concat(F.lit("sk-live-"), F.col("c_custkey").cast("string")).alias("api_key"), F.col("c_name").alias("name"), (F.col("c_custkey") % 4 != 0).alias("is_active"))
 
 
-KEYS_SQL = "keys AS (SELECT 'key-' || CAST(c_custkey AS STRING) AS key_id, 'sk-rag-live-' || CAST(c_custkey AS STRING) AS api_key, c_name AS name, c_custkey % 4 <> 0 AS is_active FROM customer)"
+KEYS_SQL = "keys AS (SELECT 'key-' || CAST(c_custkey AS STRING) AS key_id, 'sk-live-' || CAST(c_custkey AS STRING) AS api_key, c_name AS name, c_custkey % 4 <> 0 AS is_active FROM customer)"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", "ts", F.concat(F.lit("sk-rag-live-"), F.col("user_id").cast("string")).alias("api_key"), F.col("event_type").alias("endpoint"))
+    return e.select("event_id", "ts", F.concat(F.lit("sk-live-"), F.col("user_id").cast("string")).alias("api_key"), F.col("event_type").alias("endpoint"))
 
 
-REQUESTS_SQL = "requests AS (SELECT event_id, ts, 'sk-rag-live-' || CAST(user_id AS STRING) AS api_key, event_type AS endpoint FROM events)"
+REQUESTS_SQL = "requests AS (SELECT event_id, ts, 'sk-live-' || CAST(user_id AS STRING) AS api_key, event_type AS endpoint FROM events)"
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
