@@ -45,18 +45,23 @@ def fold(key, remainders: int = 3):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(remainders), F.lit(0))
 
 
+def largest_groups(df: DataFrame, group: str) -> dict:
+    """Rows of each label; labels are few, and at most 200 of them, the largest, are used."""
+    return {r[group]: r["count"] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()}
+
+
 def bounded_sample(df: DataFrame, key: str, group: str, per_group: int, seed: str) -> DataFrame:
     """About ``per_group`` rows of each group at most, chosen by a hash of the key; counts cover all rows.
 
     Each group is thinned to the fraction per_group / count, so the expected size of the sample is
-    bounded whatever the input.  Groups are labels: at most 200 of them, the largest, are used.
+    bounded whatever the input.  Groups are labels, see largest_groups().
     """
-    counts = df.groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()
+    counts = largest_groups(df, group)
     if not counts:
         return df.limit(0)
     share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(group) == F.lit(r[group]), F.lit(min(1.0, per_group / r["count"]))).otherwise(share)
+    for label, n in counts.items():
+        share = F.when(F.col(group) == F.lit(label), F.lit(min(1.0, per_group / n))).otherwise(share)
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return df.where(spread < share)
 

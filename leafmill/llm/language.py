@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded_sample, fold, table, unused
+from leafmill.llm.common import bounded_sample, fold, largest_groups, table, unused
 from leafmill.llm.textbytes import Block, blocks
 
 #: Languages by family (ISO 639-1); a language that is not listed is a family of its own.
@@ -169,8 +169,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language:
     usable = labelled.where(F.col(language).isNotNull() & F.col(text).rlike("\\p{L}"))
     sample = bounded_sample(usable, key, language, PER_LANGUAGE, "language")
     rows = sample.select(F.col(language).alias("language"), F.col(text).alias("text")).mapInArrow(features, "language string, family string, x binary")
-    sizes = labelled.where(F.col(language).isNotNull()).select(F.col(language).alias("language")).distinct().collect()
-    pairs = [(a, b) for a in sorted(r[0] for r in sizes) for b in sorted(r[0] for r in sizes) if a < b and family_of(a) == family_of(b)]
+    known = sorted(largest_groups(usable, language))
+    pairs = [(a, b) for a in known for b in known if a < b and family_of(a) == family_of(b)]
     out = "kind string, a string, b string, w binary"
     fitted = rows.groupBy("language").applyInPandas(_sums, out)
     if pairs:

@@ -155,10 +155,10 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 def quote_marks(data: np.ndarray) -> np.ndarray:
     """Positions of quotation marks: the ASCII double one, guillemets and the typographic ones."""
     out = data == 34
-    for k in np.flatnonzero(data[:-1] == 0xC2) if len(data) else []:
-        out[k] |= data[k + 1] in (0xAB, 0xBB)
-    for k in np.flatnonzero(data[:-2] == 0xE2) if len(data) > 2 else []:
-        out[k] |= data[k + 1] == 0x80 and 0x9C <= data[k + 2] <= 0x9F
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    out[at[np.isin(data[at + 1], (0xAB, 0xBB))]] = True
+    at = np.flatnonzero(data[:-2] == 0xE2)
+    out[at[(data[at + 1] == 0x80) & (data[at + 2] >= 0x9C) & (data[at + 2] <= 0x9F)]] = True
     return out
 
 
