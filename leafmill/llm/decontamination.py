@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,11 +66,23 @@ def tokens(block: Block) -> tuple[Words, np.ndarray]:
     return w, word_hashes(block.data, w)
 
 
+def lower_blocks(column: pa.Array, rows: int = 2000) -> Iterator[Block]:
+    """Blocks of the lower-case texts of a column, a few rows at a time; lo and hi count from the column's start."""
+    for at in range(0, len(column), rows):
+        part = column.slice(at, rows)
+        try:
+            lower = pc.utf8_lower(part)
+        except pa.ArrowInvalid:  # bytes that are no text
+            lower = pa.array([(x.as_buffer().to_pybytes() if x.is_valid else b"").decode("utf-8", "replace").lower() for x in part], pa.string())
+        for b in blocks(lower):
+            yield Block(b.lo + at, b.hi + at, b.data, b.offsets)
+
+
 def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, lower text) to (item, part, words, answer_from) with the words' hashes in order."""
+    """(item, text) to (item, part, words, answer_from) with the words' hashes in order."""
     for batch in batches:
         out: dict[str, list] = {"item": [], "part": [], "words": [], "answer_from": []}
-        for b in blocks(batch.column(1)):
+        for b in lower_blocks(batch.column(1)):
             w, h = tokens(b)
             text = b.data
             for r in range(b.rows):
@@ -122,7 +135,7 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
 
 def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[Shard]]:
     """Groups of shards; each group is small enough to broadcast, and a benchmark of usual size is one group."""
-    benchmark = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.lower(text).alias("text"))
+    benchmark = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
     entries = benchmark.mapInArrow(entry_rows, "item long, part int, words array<long>, answer_from int").persist()
     n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     if not n:
@@ -222,13 +235,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in blocks(batch.column(1)):
+                for b in lower_blocks(batch.column(1)):
                     if hits := found_in(b, shared.value):
                         keys = batch.column(0).take(pa.array([b.lo + r for r, _ in hits]))
                         numbers = np.array(list(hits.values()))
                         yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in hits], pa.int64()), *(pa.array(numbers[:, k]) for k in range(4))], names=schema.names)
 
-        part = docs.select(key, F.lower(text).alias("_text")).mapInArrow(run, schema)
+        part = docs.select(key, F.col(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         return spark.createDataFrame([], schema)
@@ -238,18 +251,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def kept_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the texts that hold a test item, decided inside the scan."""
+    place = docs.columns.index(text)
     for group in build_index(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in blocks(batch.column(batch.num_columns - 1)):
+                for b in lower_blocks(batch.column(place)):
                     keep = np.ones(b.rows, bool)
                     keep[[r for r, _ in found_in(b, shared.value)]] = False
-                    part = batch.slice(b.lo, b.rows).filter(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+                    yield batch.slice(b.lo, b.rows).filter(pa.array(keep))
 
-        docs = docs.select("*", F.lower(text).alias(unused(docs, "_lower"))).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
