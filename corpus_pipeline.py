@@ -16,6 +16,8 @@ from leafmill.llm import decontamination, exact_dedup, language, near_dedup, pie
 from leafmill.llm.common import fold, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity of near copies in hundredths; op9's own query has another.
+NEAR = 80
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    """Keep one document of each group of near copies, which are links of similarity NEAR."""
+    gone = near_dedup.near_duplicates(docs, threshold=NEAR).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

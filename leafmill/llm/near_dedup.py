@@ -1,22 +1,23 @@
 """MinHash near-duplicate detection with odd sketches.
 
 A document is the set of its distinct five-word shingles.  One Arrow pass makes, of each whole text,
-the size of the set, a digest of the set, 130 MinHash samples hashed into 26 bands of 5, and an odd
-sketch: the samples folded into a bitmap of 512 parity bits.  The XOR of two odd sketches has a
+the size of the set, a digest of the set, MinHash samples hashed into bands of 5, and an odd sketch:
+the samples folded into a bitmap of 512 parity bits.  The XOR of two odd sketches has a
 population count that follows the number of samples in which the sets differ, and estimates high
 similarities closely from 64 bytes a document.
 
   1. Documents with one set are a class; only the class's smallest id goes on.
   2. Representatives that share a band are candidates.  A bucket of up to SMALL members gives its
      pairs, a larger one a star around its smallest member.
-  3. Candidates whose sizes or odd sketches rule the similarity out are dropped (the margin below the
-     threshold is over five standard deviations of the estimate); the rest is confirmed on full sets.
+  3. Candidates whose sizes or odd sketches rule the similarity out are dropped (the sketches differ in
+     over MARGIN standard deviations more bits than at the threshold); the rest is confirmed on full sets.
   4. Links join into components.  Where a large bucket still holds several components, the pairs that
      lie across them are all tested as well, in blocks of members: the blocks' members travel, not
      their pairs, and a block is compared by population counts and exact intersections.
 
-So every pair that shares a band is either confirmed or ruled out, or already in one component.  A pair
-at the threshold of 0.85 misses all bands with a probability of 2e-7.
+So every pair that shares a band is either confirmed or ruled out, or already in one component.  The number
+of bands follows from the threshold, so that a pair at the threshold misses all of them with a probability
+of MISSED at most: 26 bands (130 samples) at 0.85, 39 (195) at 0.80.
 
 Edge cases: a text without words (or null, or empty) has an empty set and is linked with nothing; a
 text of one to four words is one shingle; a null id is left out of links and is a component of its
@@ -26,7 +27,9 @@ of their own; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,17 +42,38 @@ from leafmill.llm.components import components
 from leafmill.llm.textbytes import LOWER, Block, arrow_bytes, blocks, distinct_sorted, mix, mix_int, shingles, word_hashes, words
 
 WORDS, THRESHOLD = 5, 85
-BANDS, ROWS = 26, 5
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Similarity below which an odd sketch's estimate drops a candidate.
-LEAST_ESTIMATE = 0.66
+ROWS, SKETCH_BITS = 5, 512
+#: Probability with which a pair at the threshold may share no band, and standard deviations that its sketches may differ beyond the mean.
+MISSED, MARGIN = 2.5e-7, 5.5
 #: Members up to which a bucket gives all its pairs, and members of a block of a larger one.
 SMALL, BLOCK = 24, 256
 #: Candidate ids up to which their list is broadcast to the scan (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
-_FACTORS = np.array([mix_int(k + 1) | 1 for k in range(SAMPLES)], np.uint64).astype(np.uint32)
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from a threshold in hundredths: bands, and the most bits in which the odd sketches of a pair may differ."""
+
+    threshold: int
+    bands: int
+    most_ones: int
+
+    @property
+    def samples(self) -> int:
+        return self.bands * ROWS
+
+
+def plan(threshold: int) -> Plan:
+    t = threshold / 100
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(t**ROWS))) if t < 1 else 1
+    samples, n = bands * ROWS, SKETCH_BITS
+    # a pair at the threshold differs in d samples, each of which turns a bit in either sketch
+    d, spread = samples * (1 - t), math.sqrt(samples * t * (1 - t))
+    one, two = (1 - 2 / n) ** (2 * d), (1 - 4 / n) ** (2 * d)
+    mean, folded = n / 2 * (1 - one), n / 4 * (1 - two) + n * n / 4 * (two - one * one)
+    slope = -n * math.log1p(-2 / n) * one
+    return Plan(threshold, bands, math.ceil(mean + MARGIN * math.sqrt(max(folded, 0) + (slope * spread) ** 2)))
 
 
 def text_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -59,48 +83,47 @@ def text_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sorted(*shingles(word_hashes(lower.data, w), w.rows, WORDS))
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n, d0, d1, bands, sketch)."""
-    for batch in batches:
-        for b in blocks(batch.column(1)):
-            values, rows = text_sets(b)
-            n = np.diff(rows)
-            full = np.flatnonzero(n)
-            starts = rows[:-1][full]
-            digest = np.zeros((2, b.rows), np.uint64)
-            bands, sketch = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(full), SKETCH_BITS // 64), np.uint64)
-            if len(full):
-                for k in range(2):
-                    digest[k, full] = np.add.reduceat(mix(values + np.uint64(k)), starts)
-                short, out = (values >> np.uint64(32)).astype(np.uint32), np.empty(len(values), np.uint32)
-                least = np.empty((len(full), SAMPLES), np.uint32)
-                for k in range(SAMPLES):
-                    np.multiply(short, _FACTORS[k], out=out)
-                    least[:, k] = np.minimum.reduceat(out, starts)
-                drawn = mix(least.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)))
-                bit = (np.arange(len(full)) * SKETCH_BITS)[:, None] + (drawn % np.uint64(SKETCH_BITS)).astype(np.int64)
-                odd = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
-                sketch = np.packbits(odd.reshape(len(full), SKETCH_BITS), axis=1).view(np.uint64)
-                for j in range(BANDS):
-                    bands[:, j] = mix(sum((drawn[:, j * ROWS + i] * np.uint64(2 * i + 3) for i in range(ROWS)), np.full(len(full), j, np.uint64)))
-            held = np.zeros(b.rows + 1, np.int32)
-            held[full + 1] = 1
-            held = np.cumsum(held, dtype=np.int32)
-            lists = (pa.ListArray.from_arrays(pa.array(held * np.int32(x.shape[1])), pa.array(x.ravel().view(np.int64))) for x in (bands, sketch))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), *lists], names=["id", "n", "d0", "d1", "bands", "sketch"])
-
-
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity that two odd sketches show; their XOR is at most half ones on average."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = F.greatest(F.lit(1e-9), 1 - 2 * ones / F.lit(float(SKETCH_BITS)))
-    return 1 + F.lit(SKETCH_BITS / (4.0 * SAMPLES)) * F.log(left)
-
-
-def may_link(a: str, b: str, threshold: int) -> Column:
+def signatures(by: Plan):
+    factors = np.array([mix_int(k + 1) | 1 for k in range(by.samples)], np.uint64).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) to (id, n, d0, d1, bands, sketch)."""
+        for batch in batches:
+            for b in blocks(batch.column(1)):
+                values, rows = text_sets(b)
+                n = np.diff(rows)
+                full = np.flatnonzero(n)
+                starts = rows[:-1][full]
+                digest = np.zeros((2, b.rows), np.uint64)
+                bands, sketch = np.zeros((len(full), by.bands), np.uint64), np.zeros((len(full), SKETCH_BITS // 64), np.uint64)
+                if len(full):
+                    for k in range(2):
+                        digest[k, full] = np.add.reduceat(mix(values + np.uint64(k)), starts)
+                    short, out = (values >> np.uint64(32)).astype(np.uint32), np.empty(len(values), np.uint32)
+                    least = np.empty((len(full), by.samples), np.uint32)
+                    for k in range(by.samples):
+                        np.multiply(short, factors[k], out=out)
+                        least[:, k] = np.minimum.reduceat(out, starts)
+                    drawn = mix(least.astype(np.uint64) + (np.arange(by.samples, dtype=np.uint64) << np.uint64(32)))
+                    bit = (np.arange(len(full)) * SKETCH_BITS)[:, None] + (drawn % np.uint64(SKETCH_BITS)).astype(np.int64)
+                    odd = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
+                    sketch = np.packbits(odd.reshape(len(full), SKETCH_BITS), axis=1).view(np.uint64)
+                    for j in range(by.bands):
+                        bands[:, j] = mix(sum((drawn[:, j * ROWS + i] * np.uint64(2 * i + 3) for i in range(ROWS)), np.full(len(full), j, np.uint64)))
+                held = np.zeros(b.rows + 1, np.int32)
+                held[full + 1] = 1
+                held = np.cumsum(held, dtype=np.int32)
+                lists = (pa.ListArray.from_arrays(pa.array(held * np.int32(x.shape[1])), pa.array(x.ravel().view(np.int64))) for x in (bands, sketch))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), *lists], names=["id", "n", "d0", "d1", "bands", "sketch"])
+
+    return run
+
+
+def may_link(a: str, b: str, by: Plan) -> Column:
     """Sizes and sketches allow the similarity."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= threshold * large) & (estimate(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= LEAST_ESTIMATE)
+    ones = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 * small >= by.threshold * large) & (ones <= by.most_ones)
 
 
 def confirm(threshold: int):
@@ -132,7 +155,7 @@ def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), arrow_bytes(values.view(np.uint8), rows * 8, pa.binary())], names=["id", "hashes"])
 
 
-def block_links(threshold: int):
+def block_links(by: Plan):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links between different components of two blocks of a bucket's members."""
         bucket, lo, hi = key
@@ -141,16 +164,16 @@ def block_links(threshold: int):
         if not len(a) or not len(b):
             return out
         n, m = a["n"].to_numpy(), b["n"].to_numpy()
-        test = (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum.outer(n, m) >= threshold * np.maximum.outer(n, m))
+        test = (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (100 * np.minimum.outer(n, m) >= by.threshold * np.maximum.outer(n, m))
         if lo == hi:
             test &= np.triu(np.ones(test.shape, bool), 1)
         p, q = (np.stack(x["sketch"].to_numpy()).view(np.uint64) for x in (a, b))
         ones = np.zeros(test.shape, np.int64)
         for k in range(p.shape[1]):
             ones += np.bitwise_count(p[:, k][:, None] ^ q[:, k][None, :])
-        test &= 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * ones / SKETCH_BITS)) >= LEAST_ESTIMATE
+        test &= ones <= by.most_ones
         p, q = (np.stack(x["bands"].to_numpy()) for x in (a, b))
-        for k in range(BANDS):  # a pair is tested where it first meets
+        for k in range(by.bands):  # a pair is tested where it first meets
             same = p[:, k][:, None] == q[:, k][None, :]
             if (p[:, k] == bucket).all() and (q[:, k] == bucket).all():
                 break
@@ -168,7 +191,7 @@ def block_links(threshold: int):
             grid = np.zeros((len(sets), 8192), np.float32)
             grid[owner[i:j], code[i:j] - c] = 1
             common += grid[: len(a)] @ grid[len(a) :].T
-        i, j = np.nonzero(test & (100 * common >= threshold * (n[:, None] + m[None, :] - common)))
+        i, j = np.nonzero(test & (100 * common >= by.threshold * (n[:, None] + m[None, :] - common)))
         return pd.DataFrame({"a": a["id"].to_numpy()[i], "b": b["id"].to_numpy()[j]})
 
     return run
@@ -180,7 +203,7 @@ def text_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def links(docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
     """Pairs (a, b) whose components are those of all links; docs has id and text, signed one row of each class."""
     met = signed.select("id", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members > 1")
@@ -190,11 +213,11 @@ def links(docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     pairs = pairs.union(many.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))).distinct()
     light = signed.select("id", "n", "sketch")
     x, y = light.alias("x"), light.alias("y")
-    pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link("x", "y", threshold)).select("a", "b")
+    pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link("x", "y", by)).select("a", "b")
     pairs = checkpoint(pairs)
     texts = text_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm(threshold), "a long, b long"))
+    found = checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm(by.threshold), "a long, b long"))
     if many.isEmpty():
         return found
     first = components(found)
@@ -207,18 +230,19 @@ def links(docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     rest = rest.join(signed.select("id", "n", "sketch", "bands"), "id").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = rest.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
-    more = rest.groupBy("bucket", "lo", "hi").applyInPandas(block_links(threshold), "a long, b long")
+    more = rest.groupBy("bucket", "lo", "hi").applyInPandas(block_links(by), "a long, b long")
     return found.unionByName(checkpoint(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id and kept of every row; threshold in hundredths."""
+    by = plan(threshold)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    signed = written(docs.mapInArrow(signatures, "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>"), "signatures")
+    signed = written(docs.mapInArrow(signatures(by), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>"), "signatures")
     classes = signed.where("n > 0 and id is not null").groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
     member = signed.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    joined = components(links(docs.where("id is not null"), reps, threshold))
+    joined = components(links(docs.where("id is not null"), reps, by))
     out = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

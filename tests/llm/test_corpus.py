@@ -53,6 +53,39 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(small).collect()} == want
 
 
+def edited(rng, size, share):
+    """Two texts of size different words whose shingle sets have about that similarity: every edit in the middle takes five shingles."""
+    a = [f"v{rng.randrange(10**9)}" for _ in range(size)]
+    b = [*a]
+    for k in range(round((size - 4) * (1 - share) / (1 + share) / 5)):
+        b[10 + k * 10] += "x"
+    return " ".join(a), " ".join(b)
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """The stage takes similarities from 0.80 on, as brute force does, in small buckets and in large ones."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    pairs = [t for k in range(150) for t in edited(rng, rng.randrange(190, 260), 0.77 + 0.1 * k / 150)]
+    rows = list(enumerate(pairs + [t for _, t in near_corpus()]))
+    at80, at85 = near(rows, 80), near(rows, 85)
+    assert sum(at80[i] != at85[i] for i in range(len(pairs))) > 40
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()} == {i for i in at80 if at80[i][1] == i}
+
+
+def test_bands_and_margin_follow_the_threshold():
+    """At the threshold, all bands are missed with MISSED at most, and random sketches stay within the margin."""
+    rng = np.random.default_rng(2)
+    for threshold in (50, 70, 80, 85, 95):
+        by = near_dedup.plan(threshold)
+        assert (1 - (threshold / 100) ** 5) ** by.bands <= near_dedup.MISSED
+        differing = rng.binomial(by.samples, 1 - threshold / 100, 4000)
+        ones = np.array([(np.bincount(rng.integers(0, 512, 2 * d), minlength=512) & 1).sum() for d in differing])
+        assert abs((by.most_ones - ones.mean()) / ones.std() - near_dedup.MARGIN) < 0.5
+
+
 def test_near_duplicates_awkward(spark):
     rows = awkward()
     out = near_dedup.near_duplicates(frame(spark, rows)).collect()
