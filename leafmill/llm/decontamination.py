@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of test items.
 
-Test items are cut into entries of up to ENTRY words and indexed: each posting carries the entry's BM25
+Test items are cut into entries of up to ENTRY words, of equal length within an item and overlapping so that
+each n-gram of the item is in one of them, and indexed: each posting carries the entry's BM25
 impact of the term, divided by the score the entry gives itself, so a score is the share of an entry
 that a passage covers and one threshold suits all entries.  Entries lie in blocks; a term's largest
 impact in a block bounds what the block can add.
@@ -8,9 +9,9 @@ impact in a block bounds what the block can add.
 Every training text is cut into overlapping passages, each of which is a query.  A passage whose sum of
 overall maxima stays below the threshold is out; of the others, only blocks whose sum of block maxima
 reaches the threshold are scored, and only those exactly.  All entries that reach it are retrieved, none
-is missed.  A retrieved entry is then verified: the shares of the question's and of the answer's word
-n-grams that the passage holds are computed, and the text is a leak where the entry as a whole is held
-to MIN_OVERLAP or more.  The answer is the last sentence of an item, or its last quarter.
+is missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
+question's and of the answer's word n-grams that the text holds are computed, over all entries of the item,
+and the text is a leak where the item as a whole is held to MIN_OVERLAP or more.  The answer is the last sentence of an item, or its last quarter.
 
 The index is built from document frequencies that Spark counts over all items.  It is broadcast in groups
 of at most GROUP_POSTINGS postings; a larger benchmark takes several passes over the texts, in blocks.
@@ -23,6 +24,7 @@ texts are blocks of their own; extra columns are passed on by ``kept_rows`` and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +58,8 @@ class Shard:
     entry: np.ndarray
     impact: np.ndarray
     items: np.ndarray  # item of an entry
+    unit: np.ndarray  # number of an entry's item, by which the n-grams below are listed
+    wholes: list[np.ndarray]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     sizes: list[int]
@@ -79,9 +83,9 @@ def lower_blocks(column: pa.Array, rows: int = 2000) -> Iterator[Block]:
 
 
 def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (item, part, words, answer_from) with the words' hashes in order."""
+    """(item, text) to (item, whole, part, words, answer_from) with the words' hashes in order; whole tells texts of one item id apart."""
     for batch in batches:
-        out: dict[str, list] = {"item": [], "part": [], "words": [], "answer_from": []}
+        out: dict[str, list] = {"item": [], "whole": [], "part": [], "words": [], "answer_from": []}
         for b in lower_blocks(batch.column(1)):
             w, h = tokens(b)
             text = b.data
@@ -92,12 +96,17 @@ def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a sentence ends where a full stop, question mark or exclamation mark follows a word
                 ends = [k + 1 for k in range(i, j - 1) if np.isin(text[w.ends[k] : w.starts[k + 1]], [33, 46, 63]).any()]
                 answer = ends[-1] if ends else j - max(1, (j - i) // 4)
-                for part, k in enumerate(range(i, j, ENTRY)):
+                whole = int.from_bytes(hashlib.blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
+                starts = max(j - i - GRAM + 1, 1)  # of n-grams, dealt out evenly
+                parts = 1 if j - i <= ENTRY else -(-starts // (ENTRY - GRAM + 1))
+                for part in range(parts):
+                    k, end = i + part * starts // parts, min(i + (part + 1) * starts // parts + GRAM - 1, j)
                     out["item"].append(batch.column(0)[b.lo + r].as_py())
+                    out["whole"].append(whole)
                     out["part"].append(part)
-                    out["words"].append(h[k : min(k + ENTRY, j)].view(np.int64).tolist())
+                    out["words"].append(h[k:end].view(np.int64).tolist())
                     out["answer_from"].append(int(min(max(answer - k, 0), ENTRY)))
-        yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["part"], pa.int32()), pa.array(out["words"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["whole"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["words"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -105,8 +114,10 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -> Shard:
-    """Index a few entries; frequency and average come from all of them."""
+    """Index the entries of a few items; frequency and average come from all of them."""
     rows = sorted(rows, key=lambda r: (sorted(set(r["words"]), key=lambda t: (-frequency[t], t))[:3], r["item"], r["part"]))
+    units: dict[tuple[int, int], int] = {}
+    unit = np.array([units.setdefault((r["item"], r.get("whole", 0)), len(units)) for r in rows])
     entry, term, impact = [], [], []
     for e, r in enumerate(rows):
         t, tf = np.unique(np.array(r["words"], np.int64), return_counts=True)
@@ -122,32 +133,33 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
     number = np.searchsorted(terms, term)
     block_most = np.zeros((len(terms), (len(rows) - 1) // BLOCK_ENTRIES + 1), np.float32)
     np.maximum.at(block_most, (number, entry // BLOCK_ENTRIES), impact)
-    q, a, sizes = [], [], []
-    for r in rows:
+    q, a, sizes = [[] for _ in units], [[] for _ in units], [GRAM] * len(units)
+    for u, r in zip(unit, rows, strict=True):
         h = np.array(r["words"], np.int64).view(np.uint64)
         size = min(GRAM, len(h))
         every, cut = shingles(h, np.array([0, len(h)]), size)[0], max(r["answer_from"] - size + 1, 0)
-        q.append(np.unique(every[:cut]))
-        a.append(np.unique(every[cut:]))
-        sizes.append(size)
-    return Shard(terms, block_most.max(axis=1), block_most, np.append(first, len(term)), entry, impact, np.array([r["item"] for r in rows]), q, a, sizes)
+        q[u].append(every[:cut])
+        a[u].append(every[cut:])
+        sizes[u] = size
+    q, a = ([np.unique(np.concatenate(x)) for x in listed] for listed in (q, a))
+    return Shard(terms, block_most.max(axis=1), block_most, np.append(first, len(term)), entry, impact, np.array([r["item"] for r in rows]), unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
 
 
 def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[Shard]]:
     """Groups of shards; each group is small enough to broadcast, and a benchmark of usual size is one group."""
     benchmark = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
-    entries = benchmark.mapInArrow(entry_rows, "item long, part int, words array<long>, answer_from int").persist()
+    entries = benchmark.mapInArrow(entry_rows, "item long, whole long, part int, words array<long>, answer_from int").persist()
     n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     if not n:
         return []
     frequency = entries.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     shards = -(-n // SHARD_ENTRIES)
-    placed = entries.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(shards))).persist()
+    placed = entries.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).persist()
     groups: list[list[Shard]] = [[]]
     held = 0
-    for s in range(shards):  # about SHARD_ENTRIES entries of up to ENTRY words come to the driver at a time
+    for s in range(shards):  # whole items, about SHARD_ENTRIES entries of up to ENTRY words, come to the driver at a time
         mine = placed.where(F.col("shard") == s)
-        rows = mine.drop("shard").collect()
+        rows = [r.asDict() for r in mine.drop("shard").collect()]
         if not rows:
             continue
         known = mine.select(F.explode("words").alias("term")).distinct().join(frequency, "term").collect()
@@ -209,20 +221,32 @@ def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -
     return key[good] // len(s.items), key[good] % len(s.items), score[good]
 
 
+def held(some: np.ndarray, here: np.ndarray) -> float:
+    """Share of n-grams that a sorted array has; 0 without any."""
+    if not len(some) or not len(here):
+        return 0.0
+    return float((here[np.minimum(np.searchsorted(here, some), len(here) - 1)] == some).mean())
+
+
 def found_in(block: Block, shards: list[Shard]) -> dict[tuple[int, int], tuple[float, float, float, float]]:
-    """(row, item) to (score, overlap, question's, answer's), the best passage of each leak in a block of lower-case texts."""
+    """(row, item) to (best score, overlap, question's, answer's) of each leak in a block of lower-case texts."""
     w, hashes = tokens(block)
     row, start, end = passages(w)
     out: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+    texts: dict[tuple[int, int], np.ndarray] = {}
     for s in shards:
+        met: dict[tuple[int, int], tuple[float, int]] = {}
         for p, e, score in zip(*retrieve(s, hashes, start, end), strict=True):
-            here = grams(hashes[start[p] : end[p]], s.sizes[e])
-            q, a = (int(np.isin(x, here).sum()) for x in (s.questions[e], s.answers[e]))
-            nq, na = len(s.questions[e]), len(s.answers[e])
-            share = (q + a) / max(nq + na, 1)
+            k = int(row[p]), int(s.unit[e])
+            met[k] = max(met.get(k, (0.0, 0)), (float(score), int(s.items[e])))
+        for (r, u), (score, item) in met.items():
+            k = r, s.sizes[u]
+            if k not in texts:
+                texts[k] = grams(hashes[w.rows[r] : w.rows[r + 1]], s.sizes[u])
+            share = held(s.wholes[u], texts[k])
             if share >= MIN_OVERLAP:
-                k = int(row[p]), int(s.items[e])
-                out[k] = max(out.get(k, (0.0,) * 4), (float(score), share, q / max(nq, 1), a / max(na, 1)), key=lambda x: (x[1], x))
+                k = r, item
+                out[k] = max(out.get(k, (0.0,) * 4), (score, share, held(s.questions[u], texts[r, s.sizes[u]]), held(s.answers[u], texts[r, s.sizes[u]])), key=lambda x: (x[1], x))
     return out
 
 
@@ -245,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         result = part if result is None else result.unionByName(part)
     if result is None:
         return spark.createDataFrame([], schema)
-    # the entries of one long item may be found apart
+    # repeated texts, and items that share an id, give one row
     return result.groupBy(key, "item_id").agg(*(F.max(c).alias(c) for c in schema.names[2:]))
 
 

@@ -207,6 +207,31 @@ def test_decontamination_awkward(spark):
     assert decontamination.leaks(df, items.limit(0)).count() == 0 and decontamination.kept_rows(df, items.limit(0)).count() == len(rows)
 
 
+def cuttings(spark, items, rng):
+    """Texts that hold a run of words of an item, or a piece of one, among other words; and their leaks by brute force."""
+    texts = []
+    for t in items:
+        t = t.split()
+        for share in (0.45, 0.5, 0.52, 0.6, 0.8, 1.0):
+            run = min(len(t), -(-int(share * (len(t) - 4) * 1000) // 1000) + 5)
+            at = rng.randrange(len(t) - run + 1)
+            texts.append([f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(200))] + t[at : at + run] + [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(200))])
+        texts += [["well", t[-1], "and"], ["see", *t[-4:], "there"], t[len(t) // 4 - 1 : 1 - len(t) // 4]]
+    rows, listed = list(enumerate(" ".join(t) for t in texts)), list(enumerate(items))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string"), leaked(rows, listed), len(rows)
+
+
+def test_long_items_are_judged_as_a_whole(spark):
+    """No short tail of an item is a leak, and half of an item is one wherever its entries end."""
+    rng = random.Random(4)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (128, 129, 130, 132, 133, 256, 257, 700)]
+    docs, benchmark, want, n = cuttings(spark, items, rng)
+    out = decontamination.leaks(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == want and len(out) == len(want)
+    assert decontamination.kept_rows(docs, benchmark).count() == n - len({d for d, _ in want})
+    assert all(0.5 <= r["overlap"] <= 1 for r in out)
+
+
 def test_pruned_retrieval_is_exhaustive():
     """Block-max pruning drops nothing that reaches the threshold."""
     rng = np.random.default_rng(3)
