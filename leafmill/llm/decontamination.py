@@ -3,13 +3,14 @@
 Test items are cut into entries of up to ENTRY words, of equal length within an item and overlapping so that
 each n-gram of the item is in one of them, and indexed: each posting carries the entry's BM25
 impact of the term, divided by the score the entry gives itself, so a score is the share of an entry
-that a passage covers and one threshold suits all entries.  Entries lie in blocks; a term's largest
+that a passage covers.  An entry is retrieved from MIN_SCORE on, or from less where that could miss half of its
+n-grams: words that n-grams cover weigh at least as much as the lightest ones of the same number.  Entries lie in blocks; a term's largest
 impact in a block bounds what the block can add.
 
 Every training text is cut into overlapping passages, each of which is a query.  A passage whose sum of
-overall maxima stays below the threshold is out; of the others, only blocks whose sum of block maxima
-reaches the threshold are scored, and only those exactly.  All entries that reach it are retrieved, none
-is missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
+overall maxima stays below the least threshold is out; of the others, only blocks whose sum of block maxima
+reaches the block's least threshold are scored, and only those exactly.  All entries that reach theirs are
+retrieved, so a text with a passage that holds MIN_OVERLAP of an entry's n-grams is never missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
 question's and of the answer's word n-grams that the text holds are computed, over all entries of the item,
 and the text is a leak where the item as a whole is held to MIN_OVERLAP or more.  The answer is the last sentence of an item, or its last quarter.
 
@@ -41,8 +42,8 @@ from leafmill.llm.textbytes import Block, Words, blocks, gather_ranges, punctuat
 K1, B = 1.2, 0.75
 #: Words of an entry and of a passage; passages start every ENTRY words, so an entry's words lie in one.
 ENTRY, PASSAGE = 128, 256
-#: Share of an entry's own score from which it is retrieved, n-gram size, and share of n-grams of a leak.
-MIN_SCORE, GRAM, MIN_OVERLAP = 0.5, 5, 0.5
+#: Share of an entry's own score from which it is retrieved at the latest, n-gram size, and share of n-grams of a leak.
+MIN_SCORE, GRAM, MIN_OVERLAP = 0.3, 5, 0.5
 #: Entries of a block and of a shard, and postings of what is broadcast at once.
 BLOCK_ENTRIES, SHARD_ENTRIES, GROUP_POSTINGS = 8, 256, 2_000_000
 
@@ -57,6 +58,8 @@ class Shard:
     first: np.ndarray  # postings of term t are first[t] to first[t+1]
     entry: np.ndarray
     impact: np.ndarray
+    need: np.ndarray  # score from which an entry is retrieved
+    block_need: np.ndarray  # the least of a block
     items: np.ndarray  # item of an entry
     unit: np.ndarray  # number of an entry's item, by which the n-grams below are listed
     wholes: list[np.ndarray]
@@ -83,9 +86,9 @@ def lower_blocks(column: pa.Array, rows: int = 2000) -> Iterator[Block]:
 
 
 def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (item, whole, part, words, answer_from) with the words' hashes in order; whole tells texts of one item id apart."""
+    """(item, text) to (item, whole, part, own, words, answer_from) with the words' hashes in order; whole tells texts of one item id apart, own counts n-grams that no earlier part has."""
     for batch in batches:
-        out: dict[str, list] = {"item": [], "whole": [], "part": [], "words": [], "answer_from": []}
+        out: dict[str, list] = {"item": [], "whole": [], "part": [], "own": [], "words": [], "answer_from": []}
         for b in lower_blocks(batch.column(1)):
             w, h = tokens(b)
             text = b.data
@@ -98,15 +101,19 @@ def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 answer = ends[-1] if ends else j - max(1, (j - i) // 4)
                 whole = int.from_bytes(hashlib.blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
                 starts = max(j - i - GRAM + 1, 1)  # of n-grams, dealt out evenly
+                size = min(GRAM, j - i)
+                new = np.zeros(starts, bool)
+                new[np.unique(shingles(h[i:j], np.array([0, j - i]), size)[0], return_index=True)[1]] = True
                 parts = 1 if j - i <= ENTRY else -(-starts // (ENTRY - GRAM + 1))
                 for part in range(parts):
                     k, end = i + part * starts // parts, min(i + (part + 1) * starts // parts + GRAM - 1, j)
                     out["item"].append(batch.column(0)[b.lo + r].as_py())
                     out["whole"].append(whole)
                     out["part"].append(part)
+                    out["own"].append(int(new[part * starts // parts : (part + 1) * starts // parts].sum()))
                     out["words"].append(h[k:end].view(np.int64).tolist())
                     out["answer_from"].append(int(min(max(answer - k, 0), ENTRY)))
-        yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["whole"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["words"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["whole"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["own"], pa.int32()), pa.array(out["words"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -118,7 +125,7 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
     rows = sorted(rows, key=lambda r: (sorted(set(r["words"]), key=lambda t: (-frequency[t], t))[:3], r["item"], r["part"]))
     units: dict[tuple[int, int], int] = {}
     unit = np.array([units.setdefault((r["item"], r.get("whole", 0)), len(units)) for r in rows])
-    entry, term, impact = [], [], []
+    entry, term, impact, need = [], [], [], []
     for e, r in enumerate(rows):
         t, tf = np.unique(np.array(r["words"], np.int64), return_counts=True)
         df = np.array([frequency[x] for x in t.tolist()])
@@ -126,11 +133,16 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
         entry.append(np.full(len(t), e))
         term.append(t.view(np.uint64))
         impact.append(weight / weight.sum())
+        size = min(GRAM, len(r["words"]))
+        covered = -(-(r.get("own") or len(r["words"]) - size + 1) * MIN_OVERLAP // 1) + size - 1
+        need.append(min(MIN_SCORE, np.sort(np.repeat(impact[-1] / tf, tf))[: int(covered)].sum()))
     entry, term, impact = np.concatenate(entry), np.concatenate(term), np.concatenate(impact).astype(np.float32)
     order = np.argsort(term, kind="stable")
     entry, term, impact = entry[order], term[order], impact[order]
     terms, first = np.unique(term, return_index=True)
     number = np.searchsorted(terms, term)
+    need = np.array(need)
+    block_need = np.minimum.reduceat(need, np.arange(0, len(need), BLOCK_ENTRIES))
     block_most = np.zeros((len(terms), (len(rows) - 1) // BLOCK_ENTRIES + 1), np.float32)
     np.maximum.at(block_most, (number, entry // BLOCK_ENTRIES), impact)
     q, a, sizes = [[] for _ in units], [[] for _ in units], [GRAM] * len(units)
@@ -142,13 +154,13 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
         a[u].append(every[cut:])
         sizes[u] = size
     q, a = ([np.unique(np.concatenate(x)) for x in listed] for listed in (q, a))
-    return Shard(terms, block_most.max(axis=1), block_most, np.append(first, len(term)), entry, impact, np.array([r["item"] for r in rows]), unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
+    return Shard(terms, block_most.max(axis=1), block_most, np.append(first, len(term)), entry, impact, need, block_need, np.array([r["item"] for r in rows]), unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
 
 
 def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[Shard]]:
     """Groups of shards; each group is small enough to broadcast, and a benchmark of usual size is one group."""
     benchmark = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
-    entries = benchmark.mapInArrow(entry_rows, "item long, whole long, part int, words array<long>, answer_from int").persist()
+    entries = benchmark.mapInArrow(entry_rows, "item long, whole long, part int, own int, words array<long>, answer_from int").persist()
     n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     if not n:
         return []
@@ -184,7 +196,7 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, entry and score of every pair that reaches MIN_SCORE."""
+    """Passage, entry and score of every pair that reaches what the entry needs."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     at = np.minimum(np.searchsorted(s.terms, hashes), len(s.terms) - 1)
     term = np.where(s.terms[at] == hashes, at, -1)
@@ -192,7 +204,7 @@ def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -
     lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)
     # sums with repetitions bound sums over distinct terms, and cost no sorting
     rough = np.concatenate([[0], np.cumsum(s.most[term[known]], dtype=float)])
-    live = np.flatnonzero(rough[hi] - rough[lo] >= MIN_SCORE - 1e-6)
+    live = np.flatnonzero(rough[hi] - rough[lo] >= s.need.min() - 1e-6)
     if not len(live):
         return none
     lengths = hi[live] - lo[live]
@@ -200,12 +212,12 @@ def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -
     passage, t = key // len(s.terms), key % len(s.terms)
     first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     bound = np.add.reduceat(s.most[t], first)
-    alive = np.repeat(bound >= MIN_SCORE - 1e-4, np.diff(np.append(first, len(t))))
+    alive = np.repeat(bound >= s.need.min() - 1e-4, np.diff(np.append(first, len(t))))
     passage, t = passage[alive], t[alive]
     if not len(t):
         return none
     first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    bounds = np.add.reduceat(s.block_most[t], first, axis=0) >= MIN_SCORE - 1e-4
+    bounds = np.add.reduceat(s.block_most[t], first, axis=0) >= s.block_need - 1e-4
     alive = np.repeat(bounds.any(axis=1), np.diff(np.append(first, len(t))))
     if not alive.any():
         return none
@@ -217,7 +229,7 @@ def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -
     open_ = bounds[which[of], entry // BLOCK_ENTRIES]
     key, which = np.unique(passage[of[open_]] * len(s.items) + entry[open_], return_inverse=True)
     score = np.bincount(which, s.impact[posting[open_]], len(key))
-    good = score >= MIN_SCORE - 1e-6
+    good = score >= s.need[key % len(s.items)] - 1e-6
     return key[good] // len(s.items), key[good] % len(s.items), score[good]
 
 

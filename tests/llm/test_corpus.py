@@ -232,6 +232,21 @@ def test_long_items_are_judged_as_a_whole(spark):
     assert all(0.5 <= r["overlap"] <= 1 for r in out)
 
 
+def test_half_of_an_item_in_common_words_is_retrieved(spark):
+    """Items whose one half is words that all items have: texts that hold that half only, weigh little and are leaks all the same."""
+    rng = random.Random(6)
+    items = []
+    for n in [60] * 30 + [200] * 5:
+        rest = [f"r{rng.randrange(10**6)}" for _ in range(n // 2 - 4)]
+        items.append([f"c{rng.randrange(40)}" for _ in range(n // 2 + 4)] + rest)
+    texts = [t[: len(t) // 2 + k] for t in items for k in (1, 2, 4, 5)] + [rng.sample(t, len(t)) for t in items]
+    rows, listed = ([(i, " ".join(t)) for i, t in enumerate(x)] for x in (texts, items))
+    want = leaked(rows, listed)
+    assert len(want) > 50
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()} == want
+
+
 def test_pruned_retrieval_is_exhaustive():
     """Block-max pruning drops nothing that reaches the threshold."""
     rng = np.random.default_rng(3)
