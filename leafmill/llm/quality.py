@@ -7,7 +7,8 @@ counts of vote patterns over all documents.  There are 3**8 patterns at most, so
 pattern's posterior is the label of its texts.
 
 The scorer generalises from patterns to texts: a logistic model over hashed shapes of words, of word
-pairs and of repetitions, trained on the posteriors of a bounded sample (TRAINED texts, about).
+pairs and of repetitions, trained on the posteriors of a bounded sample (TRAINED texts, about).  The sample is drawn
+by pattern, evenly, so that patterns of rare defects are in it; a text of a thinned pattern weighs more.
 
 Edge cases: a null or empty text, or one without words, has score 0 and is not kept (there is nothing to
 keep); very long texts are blocks of their own; repeated rows are scored alike; an empty table gives no
@@ -30,6 +31,8 @@ from leafmill.llm.textbytes import Block, Words, blocks, mix, prefix_hashes, spa
 LABELLERS = ("repetition", "variety", "capitals", "signs", "columns", "sentences", "length", "lines")
 #: Texts whose posteriors train the scorer (about), width of its features, and the least score of what is kept.
 TRAINED, WIDTH, KEEP = 4000, 2048, 0.5
+#: Texts that the prior of the labellers' votes weighs as much as.
+PRIOR_TEXTS = 1
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -127,7 +130,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     Class 0 is good; class j + 1 has the defect that labeller j is for, and may show others.  So a text with
     one plain defect is bad although the other labellers find nothing.  The prior says that a good text
     rarely gets a bad vote, and a text with a defect mostly the one of its labeller; it weighs as much as
-    the texts of a class.
+    PRIOR_TEXTS texts, whatever the corpus, so that a defect need not be common to be one.
     """
     k = len(LABELLERS)
     v = patterns[:, None] // 3 ** np.arange(k) % 3  # 0 bad, 1 abstain, 2 good
@@ -141,7 +144,6 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     start = (v == 0).astype(float)
     share = np.column_stack([np.full(len(v), 0.1), 0.9 * start / np.maximum(start.sum(axis=1, keepdims=True), 1)])
     share[~start.any(axis=1)] = [0.97] + [0.03 / k] * k
-    dead = np.append(False, overall[:, 0] < 0.001)  # a defect that next to nothing shows
     # a labeller that can find for or against a text tells nothing by abstaining (a text may be too short for it)
     both = overall[:, 2] > 0
     telling = one_hot.copy()
@@ -150,11 +152,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         weight = share.T * counts
         held = weight.sum(axis=1)
         prior = (held + 1) / (held.sum() + k + 1)
-        chance = (np.einsum("cp,pkx->ckx", weight, one_hot) + (held[:, None, None] + 1) * lean) / (2 * held[:, None, None] + 1)
+        chance = (np.einsum("cp,pkx->ckx", weight, one_hot) + PRIOR_TEXTS * lean) / (held[:, None, None] + PRIOR_TEXTS)
         chance[:, both, 1] = 1e-9
         chance /= chance.sum(axis=2, keepdims=True)
         fit = np.log(prior)[:, None] + np.einsum("ckx,pkx->cp", np.log(chance), telling)
-        fit[dead] = -1e9
         now = np.exp(fit - fit.max(axis=0)).T
         now /= now.sum(axis=1, keepdims=True)
         moved, share = np.abs(now - share).max(), now
@@ -163,10 +164,23 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return share[:, 0], chance, prior
 
 
-def train(x: np.ndarray, y: np.ndarray, penalty: float = 3e-5, rounds: int = 200) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps; the last weight is the intercept."""
+def rates(counts: np.ndarray, wanted: int) -> np.ndarray:
+    """Share of each pattern's texts to draw: all of the rare ones, an equal number of the others, about ``wanted`` in total."""
+    left, level = float(wanted), 0.0
+    for k, n in enumerate(np.sort(counts)):
+        level = left / (len(counts) - k)
+        if n > level:
+            break
+        left -= n
+    else:
+        return np.ones(len(counts))
+    return np.minimum(1.0, level / counts)
+
+
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, rounds: int = 200) -> np.ndarray:
+    """Logistic regression on weighted soft labels by accelerated gradient steps; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x), np.float32)])
-    weight = np.full(len(y), 1 / len(y))
+    weight = weight / weight.sum()
     w = np.zeros(x.shape[1], np.float32)
     look, t = w, 1.0
     step = 1.0 / (0.25 * float((weight * (x * x).sum(axis=1)).sum()) + penalty)
@@ -186,25 +200,30 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.nd
         return np.zeros(WIDTH + 1, np.float32), {}
     patterns, counts = (np.array([r[k] for r in found]) for k in range(2))
     good, chance, share = estimate(patterns, counts.astype(float))
-    posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    total = int(counts.sum())
-    shared = spark.sparkContext.broadcast(posterior)
+    drawn = rates(counts, TRAINED)
+    shared = spark.sparkContext.broadcast({int(p): (float(y), float(r)) for p, y, r in zip(patterns, good, drawn, strict=True)})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole in blocks(batch.column(0)):
+            spread = batch.column(0).to_numpy() / float(1 << 20)
+            for whole in blocks(batch.column(1)):
                 for b in parts(whole):
                     w = words(b)
-                    h = word_hashes(b.data, w)
-                    pattern = ((votes(b, w, h) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
-                    full = np.diff(w.rows) > 0
-                    packed = [np.concatenate([np.flatnonzero(r).astype(np.float32), r[r > 0]]).tobytes() for r in shape_counts(b, w, h)[full]]
-                    y = [shared.value[int(p)] for p in pattern[full]]
-                    yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(packed, pa.binary())], names=["y", "x"])
+                    pattern = ((votes(b, w, word_hashes(b.data, w)) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
+                    told = [shared.value[int(p)] if n else (0.0, 0.0) for p, n in zip(pattern, np.diff(w.rows), strict=True)]
+                    y, rate = np.array(told).reshape(-1, 2).T
+                    taken = np.flatnonzero(spread[b.lo : b.hi] < rate)
+                    if not len(taken):
+                        continue
+                    packed = []
+                    for few in blocks(batch.column(1).take(pa.array(b.lo + taken))):
+                        for c in parts(few):
+                            w = words(c)
+                            packed += [np.concatenate([np.flatnonzero(r).astype(np.float32), r[r > 0]]).tobytes() for r in shape_counts(c, w, word_hashes(c.data, w))]
+                    yield pa.RecordBatch.from_arrays([pa.array(y[taken]), pa.array(1 / rate[taken]), pa.array(packed, pa.binary())], names=["y", "weight", "x"])
 
     spread = F.pmod(F.xxhash64(F.lit("quality"), F.col(key).cast("string")), F.lit(1 << 20))
-    sample = docs.where(spread < int((1 << 20) * min(1.0, TRAINED / total))).select(text)
-    rows = sample.mapInArrow(features, "y double, x binary").collect()
+    rows = docs.select(spread.alias("spread"), text).mapInArrow(features, "y double, weight double, x binary").collect()
     if not rows:
         return np.zeros(WIDTH + 1, np.float32), {}
     x = np.zeros((len(rows), WIDTH), np.float32)
@@ -212,7 +231,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.nd
         at, n = np.frombuffer(row["x"], np.float32).reshape(2, -1)
         r[at.astype(int)] = n
     accuracy = {name: {"its defect called bad": float(chance[j + 1, j, 0]), "good texts called bad": float(chance[0, j, 0])} for j, name in enumerate(LABELLERS)}
-    return train(x, np.array([r["y"] for r in rows])), {"good": float(share[0]), "labellers": accuracy}
+    return train(x, *(np.array([r[k] for r in rows]) for k in ("y", "weight"))), {"good": float(share[0]), "labellers": accuracy}
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:

@@ -120,6 +120,32 @@ def test_quality(spark):
     assert quality.score(frame(spark, []), quality.fit(frame(spark, []))[0]).count() == 0
 
 
+def test_a_rare_defect_is_a_defect(spark):
+    """One defect at 0.05 % and at 0.3 % beside common ones: its posterior and its texts' scores are bad."""
+    powers = 3 ** np.arange(8)
+    clean = np.array([1, 2, 1, 1, 1, 2, 2, 1])
+    for share in (0.0005, 0.003):
+        votes = np.array([clean, *(np.where(np.arange(8) == j, 0, clean) for j in (0, 2, 3, 4))])
+        good, _, _ = quality.estimate((votes * powers).sum(axis=1), 1e6 * np.array([0.91 - share, 0.03, share, 0.03, 0.03]))
+        assert good[0] > 0.9 and (good[1:] < 0.2).all()
+    rng = random.Random(3)
+    listed = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+
+    def text():
+        return " ".join(" ".join(rng.choices(listed, k=rng.randint(6, 14))).capitalize() + "." for _ in range(6))
+
+    for rare in (10, 60):
+        made = [text() for _ in range(20_000)]
+        for i in range(600):
+            made[i] = re.sub(" ", " | ", made[i])
+            made[600 + i] = re.sub(" ", " #%& ", made[600 + i])
+        for i in range(rare):
+            made[1200 + i] = made[1200 + i].upper()
+        docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+        kept = {r["doc_id"] for r in quality.score(docs, quality.fit(docs)[0]).where("kept").collect()}
+        assert not kept & set(range(1200, 1200 + rare)) and len(kept & set(range(1200 + rare, 20_000))) > 0.98 * (18_800 - rare)
+
+
 def test_posteriors_follow_agreement():
     patterns = np.array([3280, 3279])  # all abstain; the first labeller says bad
     good, _, _ = quality.estimate(patterns, np.array([900.0, 100.0]))
