@@ -92,15 +92,21 @@ def cosine_topk(spark, d):
     return similar.most_similar(v.where("vec_id % 50 = 0"), v)
 
 
-def _questions(spark, d):
-    """A question for each document: the benchmark item that its id points at, 80 characters of it."""
+def _questions(spark, d, asked=lambda text: text):
+    """A question for each document: the benchmark item that its id points at, whole unless ``asked`` says otherwise."""
     docs, items = _docs(spark, d), S.read(spark, d, "benchmark")
     n = items.agg(F.count(F.lit(1)).alias("n"))
-    asked = docs.select("doc_id").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
-    return asked.join(items, "item_id").select(F.col("doc_id").alias("question_id"), "doc_id", F.left("text", F.lit(80)).alias("question"))
+    pointed = docs.select("doc_id").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
+    return pointed.join(items, "item_id").select(F.col("doc_id").alias("question_id"), "doc_id", asked(F.col("text")).alias("question"))
 
 
 def lexical_retrieval(spark, d):
+    """Its SQL asks the first 80 characters of an item; whole_question_retrieval asks it all."""
+    chunks = chunk.paragraph_chunks(_docs(spark, d))
+    return retrieve.top_k(retrieve.scored(_questions(spark, d, lambda text: F.left(text, F.lit(80))), chunks)).select("question_id", "chunk_id", "score", "rank")
+
+
+def whole_question_retrieval(spark, d):
     chunks = chunk.paragraph_chunks(_docs(spark, d))
     return retrieve.top_k(retrieve.scored(_questions(spark, d), chunks)).select("question_id", "chunk_id", "score", "rank")
 
@@ -110,7 +116,14 @@ def hybrid_retrieval(spark, d):
     return retrieve.top_k(retrieve.scored(_questions(spark, d), chunks, dense=True)).select("question_id", "chunk_id", "score", "rank")
 
 
+def hybrid_answers(spark, d):
+    """Answers by the operator's full score."""
+    out = retrieve.query(S.invoice_questions(spark, d), S.line_chunks(S.invoice_lines(spark, d)), dense=True)
+    return out.select("question_id", "intent", "answer", "confidence_score", F.col("retrieval_count").cast("bigint").alias("retrieval_count"))
+
+
 def answers(spark, d):
+    """Answers by the lexical part of the score, which SQL can give too."""
     chunks = S.line_chunks(S.invoice_lines(spark, d))
     out = retrieve.query(S.invoice_questions(spark, d), chunks, dense=False)
     return out.select("question_id", "intent", "answer", "confidence_score", F.col("retrieval_count").cast("bigint").alias("retrieval_count"))
@@ -174,7 +187,7 @@ r AS (SELECT question_id, retrieval_count, CASE
 SELECT question_id, r.i AS intent, r.a AS answer, round(r.c, 3) AS confidence_score, retrieval_count FROM r
 """
 
-QUERIES = {f.__name__: f for f in (clean_text, numeric_repair, parse_amount, standardize_date, lexical_tokens, ngram_tokens, token_hash, token_usage, paragraph_chunks, doc_index_stats, line_window_chunks, hash_histogram, dense_embedding, cosine_topk, lexical_retrieval, hybrid_retrieval, answers, chat_last_user, chat_target_doc)}
+QUERIES = {f.__name__: f for f in (clean_text, numeric_repair, parse_amount, standardize_date, lexical_tokens, ngram_tokens, token_hash, token_usage, paragraph_chunks, doc_index_stats, line_window_chunks, hash_histogram, dense_embedding, cosine_topk, lexical_retrieval, whole_question_retrieval, hybrid_retrieval, hybrid_answers, answers, chat_last_user, chat_target_doc)}
 
 _SUB = r"flatten(list_transform({t}, lambda w: list_concat([w], list_concat(CASE WHEN length(w) >= 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [] END, CASE WHEN length(w) >= 5 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [] END))))".format(t=TOKENS.format(x="text"))
 ORACLES = {
@@ -192,6 +205,7 @@ ORACLES = {
     "hash_histogram": f"SELECT doc_id, h % {fixed.DIMENSION} AS dim, round(sum(CASE WHEN (h >> 16) % 2 = 0 THEN 1 ELSE -1 END * CASE WHEN length(token) > 3 THEN ln(3::DOUBLE) ELSE ln(2.5::DOUBLE) END * n), 6) + 0.0::DOUBLE AS h FROM (SELECT doc_id, token, count(*) AS n, ('0x' || substr(md5(token), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest({_SUB}) AS token FROM documents) GROUP BY 1, 2) GROUP BY 1, 2",
     "cosine_topk": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.v, c.v) / q.n / c.n, 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5",
     "lexical_retrieval": f"WITH {_CHUNKS}, questions AS (SELECT doc_id AS question_id, doc_id, left(b.text, 80) AS question FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), {_SCORED} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM top",
+    "whole_question_retrieval": f"WITH {_CHUNKS}, questions AS (SELECT doc_id AS question_id, doc_id, b.text AS question FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), {_SCORED} SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM top",
     "answers": _ANSWERS,
     "chat_last_user": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY 1",
     "chat_target_doc": r"SELECT conv_id AS request_id, coalesce(CASE WHEN conv_id % 5 = 0 THEN 'own' END, nullif(regexp_extract(coalesce(CASE WHEN conv_id % 3 = 0 THEN 'Use doc_id: D' || conv_id || ' only' END, text), 'doc_id:\s*(\S+)', 1), ''), 'last') AS doc_id FROM conversations WHERE turn = 0",

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed
 from leafmill.functions import text as X
 from leafmill.operators import chunk, embed, extract, images, keys, layout, pages, retrieve
+from leafmill.plans import synthetic, text_queries
 from leafmill.sources import files
 from leafmill.streaming import ingest
 
@@ -76,6 +78,59 @@ def test_hybrid_answer(spark):
     assert out[3]["confidence_score"] == 0 and out[3]["retrieval_count"] == 0
 
 
+def model_vector(text):
+    """The hashed embedding in plain Python."""
+    out, counts = np.zeros(384), np.zeros(128)
+    for w in re.sub(r"[^\w\s]", " ", text.lower()).split():
+        for t in [w, *(w[i : i + n] for n, least in ((3, 3), (4, 5)) if len(w) >= least for i in range(len(w) - n + 1))]:
+            h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+            sign = 1 if (h >> 16) % 2 == 0 else -1
+            out[h % 384] += sign * np.log1p(2.0 if len(t) > 3 else 1.5)
+            counts[(h >> 8) % 128] += sign
+    out += 0.1 * embed.projection() @ counts
+    return out / np.linalg.norm(out) if np.linalg.norm(out) > 1e-6 else np.eye(1, 384)[0]
+
+
+def model_scores(questions, chunks):
+    """question_id to the sorted hybrid scores of its document's chunks."""
+    words = lambda t: set(re.sub(r"[^\w\s]", " ", t.lower()).split())
+    mine, out = {q["doc_id"]: [] for q in questions}, {}
+    for c in chunks:
+        if c["doc_id"] in mine:
+            mine[c["doc_id"]].append(c)
+    vectors = {t: model_vector(t) for t in {c["text"] for m in mine.values() for c in m} | {q["question"] for q in questions}}
+    for q in questions:
+        asked = words(q["question"])
+        for c in mine[q["doc_id"]]:
+            number = any(re.search(r"\d", w) and w in c["text"].lower() for w in asked)
+            dense = max(0.0, (float(vectors[q["question"]] @ vectors[c["text"]]) + 1) / 2)
+            out.setdefault(q["question_id"], []).append(0.55 * dense + 0.35 * len(asked & words(c["text"])) / max(len(asked), 1) + 0.2 * number)
+    return {q: sorted(s, reverse=True) for q, s in out.items()}
+
+
+def test_registered_hybrid_queries_use_whole_questions_and_the_full_score(spark):
+    d = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    text = {r["item_id"]: r["text"] for r in items.collect()}
+    chunks = chunk.paragraph_chunks(docs.select("doc_id", "text")).select("doc_id", "text").collect()
+    asked = [{"question_id": r["doc_id"], "doc_id": r["doc_id"], "question": text[r["doc_id"] % len(text)]} for r in docs.collect() if r["doc_id"] % len(text) in text]
+    want = model_scores(asked, chunks)
+    got = {}
+    for r in sorted(text_queries.hybrid_retrieval(spark, d).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["question_id"], []).append(r["score"])
+    assert set(got) == set(want) and all(np.allclose(got[q], want[q][:4], atol=2e-4) for q in want)
+    asked = synthetic.invoice_questions(spark, d).collect()
+    some = [r for r in asked if r["question_id"] % 8 == 0]
+    want = model_scores(some, synthetic.line_chunks(synthetic.invoice_lines(spark, d)).collect())
+    cap = {"amount": lambda t: [min(0.98, t + 0.1)], "date": lambda t: [min(0.96, t + 0.1)], "number": lambda t: [min(0.95, t + 0.1)], "party": lambda t: [0.95, min(0.92, t)], "summary": lambda t: [t], "default": lambda t: [min(0.95, max(0.4, t))]}
+    out = text_queries.hybrid_answers(spark, d).collect()
+    assert len(out) == len(asked)
+    for r in out:
+        if r["intent"] != "none" and r["question_id"] in want:
+            assert any(abs(r["confidence_score"] - c) < 2e-3 for c in cap[r["intent"]](want[r["question_id"]][0]))
+            assert r["retrieval_count"] == min(4, len(want[r["question_id"]]))
+
+
 def test_extraction(spark):
     texts = ["INVOICE", "Invoice Number: INV-2024-001", "Date: 15/01/2024", "Email: billing@acme.com", "Phone: +1 555-123-4567", "Total: $1,250.00"]
     lines = spark.createDataFrame([(1, 1, i + 1, t) for i, t in enumerate(texts)], "doc_id long, page_number int, line_number int, text string")
