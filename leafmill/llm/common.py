@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset, a folder of our own serves a session on one machine (master local); on a cluster it
+    is an error, since each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else Path(tempfile.mkdtemp(prefix="leafmill-")).as_uri()
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = Path(tempfile.mkdtemp(prefix="leafmill-")).as_uri()
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder."""
     spark = df.sparkSession
@@ -45,25 +60,44 @@ def fold(key, remainders: int = 3):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(remainders), F.lit(0))
 
 
-def largest_groups(df: DataFrame, group: str) -> dict:
-    """Rows of each label; labels are few, and at most 200 of them, the largest, are used."""
-    return {r[group]: r["count"] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()}
+#: Labels of a column that a fit accepts; more of them are an error, since labels are few.
+LABELS = 10_000
+
+
+def label_counts(df: DataFrame, group: str, most: int = LABELS) -> dict:
+    """Rows of each label but null; a column of more than ``most`` labels is refused."""
+    found = df.where(F.col(group).isNotNull()).groupBy(group).count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{group} has more than {most} different labels")
+    return {r[group]: r["count"] for r in sorted(found, key=lambda r: r[group])}
 
 
-def bounded_sample(df: DataFrame, key: str, group: str, per_group: int, seed: str) -> DataFrame:
-    """About ``per_group`` rows of each group at most, chosen by a hash of the key; counts cover all rows.
+def spread(seed: str, *columns) -> Column:
+    """A number from 0 to 2**63 - 1 that follows from the columns and looks random."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in columns)), 1)
 
-    Each group is thinned to the fraction per_group / count, so the expected size of the sample is
-    bounded whatever the input.  Groups are labels, see largest_groups().
+
+def threshold(wanted: float, count: int) -> int:
+    """Below this spread() lie about ``wanted`` of ``count`` rows, however many there are."""
+    return 2**63 - 1 if wanted >= count else max(int(2**63 * wanted) // max(int(count), 1), 1)
+
+
+def bounded_sample(df: DataFrame, counts: dict, key: str, group: str, per_group: int, seed: str) -> DataFrame:
+    """The ``per_group`` rows of each group with the smallest hashes of their keys (all rows of a smaller group).
+
+    counts: rows of each group, see label_counts(); other groups give none.  The scan thins each group to
+    about twice what is wanted, a window with a limit does the rest, so no more than per_group rows a group are
+    left, also where a key repeats.  The same rows give the same sample however they are partitioned.
     """
-    counts = largest_groups(df, group)
+    spark = df.sparkSession
     if not counts:
         return df.limit(0)
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col(group) == F.lit(label), F.lit(min(1.0, per_group / n))).otherwise(share)
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return df.where(spread < share)
+    label, at, below = unused(df, "_label"), unused(df, "_at"), unused(df, "_below")
+    limits = spark.createDataFrame([(g, threshold(2 * per_group + 50, n)) for g, n in counts.items()], f"{label} {df.schema[group].dataType.simpleString()}, {below} long")
+    thinned = df.withColumn(at, spread(seed, key)).join(F.broadcast(limits), F.col(group) == F.col(label)).where(F.col(at) <= F.col(below))
+    order = Window.partitionBy(label).orderBy(at, *(c for c in df.columns if c not in (at, label)))
+    rank = unused(df, "_rank")
+    return thinned.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= per_group).select(*df.columns)
 
 
 def unused(df: DataFrame, name: str) -> str:

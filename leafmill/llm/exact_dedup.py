@@ -1,27 +1,30 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table of one row per distinct normalised text, bucketed and sorted by its SHA-256
-digest.  A new batch is reduced to its own distinct digests, deduplicated against the index by a
-sort-merge anti-join, for which the index is not shuffled, and what is new is appended.
+digest; it exists from the start, empty.  A new batch is reduced to its own distinct digests,
+deduplicated against the index by a sort-merge anti-join on the digest, and what is new is appended.  The
+join uses the buckets, so the index is neither shuffled nor sorted, where it has as many as the session
+has shuffle partitions, which is the default.
 
-Only digests travel; texts never leave the scan.  A text that fills a third of all rows is
-pre-aggregated before the shuffle, and the join that brings the answer back to the rows is an
+Only digests travel; they are computed once, in the scan, and written down.  A text that fills a third of
+all rows is pre-aggregated before the shuffle, and the join that brings the answer back to the rows is an
 ordinary equi-join, which Spark splits where a digest is hot.
 
-Edge cases: a null text counts as empty, and all empty texts are equal; a null key sorts first and
-is a key like any other; rows that repeat a key stay rows of their own and get the same answer;
-an empty table gives no rows; further columns of the input are passed on unless they clash with a
-result column, in which case the result column wins.
+Edge cases: a null text counts as empty, and all empty texts are equal; of equal texts the row with the
+smallest key stays, a null key comes last; ``deduplicate`` answers every row, and rows that repeat key and
+text get the same answer; ``kept_rows`` keeps one of them (the first by its other columns); an empty table
+gives no rows; further columns are ignored by ``deduplicate`` and passed on by ``kept_rows``, whatever
+they are called.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import shared_folder, table
+from leafmill.llm.common import dropped, shared_folder, table, unused, written
 
 #: White space that counts as one space.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -31,32 +34,44 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 class DigestIndex:
     """A table (digest, keep_id, batch), bucketed and sorted by digest, that grows by batches."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = 32):
-        """path: where the table is stored; the session's warehouse if not given."""
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None, key_type: str = "bigint"):
+        """path: where the table is stored, the session's warehouse if not given; buckets: of a new index, its session's shuffle partitions if not given."""
+        self.spark, self.name, self.path = spark, name, path
+        if not spark.catalog.tableExists(name):
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            self._save(spark.createDataFrame([], f"digest binary, keep_id {key_type}, batch string"))
+        else:
+            described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect()}
+            self.buckets = int(described["Num Buckets"])
+
+    def _save(self, rows: DataFrame) -> None:
+        # partitions are the buckets, so one task writes a bucket as one file
+        writer = rows.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def new(self, found: DataFrame) -> DataFrame:
+        """The rows of ``found`` (digest, ...) that the index lacks, by a sort-merge anti-join."""
+        return found.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+
     def append(self, found: DataFrame, batch: str) -> None:
         """Add the digests of ``found`` (digest, keep_id) that the index lacks; a batch that is added again adds nothing."""
-        if self.exists():
-            found = found.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        # the key is the bucket number, so one task writes a bucket as one file
-        rows = found.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
-        writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
-
+        self._save(self.new(found).select("digest", "keep_id", F.lit(batch).alias("batch")))
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns text_sha256 (hexadecimal) in place of the text."""
-    return docs.withColumn("text_sha256", F.sha2(normalised(F.col(text)), 256)).drop(text)
+    def drop(self) -> None:
+        """Remove the index and its rows."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.path:
+            dropped(self.spark, self.path)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,20 +81,31 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, key: str = "doc
     from the index: the smallest key of the batch that brought the text first.  group_size counts
     the rows of this batch with the text.
     """
-    rows = digests(docs.select(key, text), text)
-    groups = rows.groupBy("text_sha256").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-    index.append(groups.select(F.unhex("text_sha256").alias("digest"), F.col("first_id").alias("keep_id")), batch)
-    known = index.read().select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id")
-    answers = groups.drop("first_id").join(known, "text_sha256")
-    return rows.join(answers, "text_sha256").select(key, "keep_id", "group_size", F.expr(f"{key} <=> keep_id").alias("kept"), "text_sha256")
+    rows = written(docs.select(F.col(key).alias("key"), digest_of(F.col(text)).alias("digest")), "digests")
+    # written, so that the anti-join is not pushed below the aggregation
+    groups = written(rows.groupBy("digest").agg(F.min("key").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    index.append(groups.select("digest", F.col("first_id").alias("keep_id")), batch)
+    answers = groups.drop("first_id").hint("merge").join(index.read().select("digest", "keep_id"), "digest")
+    out = rows.join(answers, "digest")
+    return out.select(F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex, batch: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each text that is new to the index."""
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    index.append(marked.groupBy("_digest").agg(F.min(key).alias("keep_id")).withColumnRenamed("_digest", "digest"), batch)
-    mine = index.read().where(F.col("batch") == batch).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    return marked.join(mine, (marked["_digest"] == mine["_digest"]) & marked[key].eqNullSafe(mine["_keep"]), "left_semi").drop("_digest")
+    digest, keep = unused(docs, "_digest"), unused(docs, "_keep")
+    rows = written(docs.select(F.col(key).alias("key"), digest_of(F.col(text)).alias("digest")), "digests")
+    index.append(written(rows.groupBy("digest").agg(F.min("key").alias("keep_id")), "groups"), batch)
+    mine = index.read().where(F.col("batch") == batch).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    marked = docs.withColumn(digest, digest_of(F.col(text)))
+    stay = marked.join(mine, (marked[digest] == mine[digest]) & marked[key].eqNullSafe(mine[keep]), "left_semi")
+    twins = written(rows.groupBy("digest", "key").count().where("count > 1").select(F.col("digest").alias(digest)).distinct(), "twins")
+    if twins.isEmpty():
+        return stay.drop(digest)
+    # rows that repeat key and text: the window's limit leaves one of each before the shuffle
+    rank = unused(docs, "_rank")
+    order = Window.partitionBy(digest).orderBy(*(F.col(c) for c in docs.columns))
+    one = stay.join(twins, digest, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return stay.join(twins, digest, "left_anti").unionByName(one).drop(digest)
 
 
 def fresh_index(spark: SparkSession, label: str) -> DigestIndex:
