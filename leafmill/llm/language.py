@@ -7,11 +7,11 @@ dual coordinate descent on a bounded sample, and the language with the most pair
 (margins break ties).  The score is the family's posterior times the probability that goes with the
 weakest margin of the winner.
 
-The sample holds about PER_LANGUAGE rows of each language (documented bound of the fit); a prediction
-reads the whole text and nothing else.
+The sample holds PER_LANGUAGE rows of each language at most (documented bound of the fit), of all languages
+that occur; more than 10,000 different labels are an error.  A prediction reads the whole text and nothing else.
 
 Edge cases: a text that is null, empty or without a letter is ``und`` with score 0; a very long text is
-counted in blocks; repeated rows are predicted like any row; without any labelled row every text is
+a block of its own, whose arrays take some 30 times its size; repeated rows are predicted like any row; without any labelled row every text is
 ``und``; an empty table gives no rows; columns of the input that clash with result columns are replaced.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded_sample, fold, largest_groups, table, unused
+from leafmill.llm.common import bounded_sample, fold, label_counts, table, unused, written
 from leafmill.llm.textbytes import Block, blocks
 
 #: Languages by family (ISO 639-1); a language that is not listed is a family of its own.
@@ -44,7 +44,7 @@ FAMILIES = {
     "semitic": "am ar he mt",
     "austronesian": "id jv mg mi ms su tl",
 }
-#: Width of the hashed feature vector, and the labelled rows of a language that the fit uses (about).
+#: Width of the hashed feature vector, and the labelled rows of a language that the fit uses.
 WIDTH, PER_LANGUAGE = 4096, 800
 #: Rows and bytes that are counted at once.
 ROWS, BYTES = 512, 1 << 19
@@ -164,23 +164,23 @@ class Model:
         return names.tolist(), np.clip(score, 0, 1)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> Model:
-    """Fit on about PER_LANGUAGE rows of each language."""
-    usable = labelled.where(F.col(language).isNotNull() & F.col(text).rlike("\\p{L}"))
-    sample = bounded_sample(usable, key, language, PER_LANGUAGE, "language")
-    rows = sample.select(F.col(language).alias("language"), F.col(text).alias("text")).mapInArrow(features, "language string, family string, x binary")
-    known = sorted(largest_groups(usable, language))
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on the per_language rows of each language that a hash of the key picks (texts without a letter are left out).
+
+    One scan counts the labels, which reads no text, and one takes the sample, which is written down.
+    """
+    labelled = labelled.select(F.col(key).alias("key"), F.col(language).alias("language"), F.col(text).alias("text"))
+    counts = label_counts(labelled, "language")
+    sample = bounded_sample(labelled.where(F.col("text").rlike("\\p{L}")), counts, "key", "language", per_language, "language")
+    rows = written(sample.select("language", "text").mapInArrow(features, "language string, family string, x binary"), "languages")
+    known = [r[0] for r in rows.select("language").distinct().orderBy("language").collect()]
     pairs = [(a, b) for a in known for b in known if a < b and family_of(a) == family_of(b)]
     out = "kind string, a string, b string, w binary"
     fitted = rows.groupBy("language").applyInPandas(_sums, out)
     if pairs:
-        of = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-        each = rows.withColumn("p", F.explode(of)).where((F.col("language") == F.col("p.a")) | (F.col("language") == F.col("p.b")))
-        fitted = fitted.unionByName(each.select("p.a", "p.b", "language", "x").groupBy("a", "b").applyInPandas(_fit, out))
-    model = Model(fitted.collect())
-    # a pair of which one side had no usable row has no machine
-    model.pairs = {p: model.pairs.get(p, np.zeros(WIDTH, np.float32)) for p in pairs}
-    return model
+        of = rows.sparkSession.createDataFrame([(x, a, b) for a, b in pairs for x in (a, b)], "language string, a string, b string")
+        fitted = fitted.unionByName(rows.join(F.broadcast(of), "language").select("a", "b", "language", "x").groupBy("a", "b").applyInPandas(_fit, out))
+    return Model(fitted.collect())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

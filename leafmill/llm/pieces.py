@@ -2,11 +2,12 @@
 
 A text is cut where no piece of the vocabulary can cross (above all before the mark of a space), so
 the merges of one segment never meet those of another.  The distinct segments of a block are merged
-together in flat arrays: every round ranks all neighbouring pairs, takes the best pair of each
-segment (the smallest rank, the leftmost of equals), merges one such pair in all segments at once and
-compacts, until no pair remains.  One merge a segment and round is what the sequential algorithm
-does, so the result is the library's.  Segments of over LONG symbols, which would need as many rounds,
-take a heap instead.  Characters outside the vocabulary become byte pieces.
+together in flat arrays: every round takes the smallest pair rank of each segment and merges all its
+occurrences there at once, of overlapping ones the leftmost; worn arrays are compacted, until no pair
+remains.  Where a merge makes a pair that the sequential algorithm would take before the next occurrence
+(its rank is not above the one just merged), the segment merges its first occurrence only in that round,
+so the result is the library's.  A segment takes as many rounds as it has ranks, not merges, so the same
+rounds serve segments of any length.  Characters outside the vocabulary become byte pieces.
 
 Decoding is a gather of piece bytes by id.
 
@@ -17,7 +18,6 @@ passed on by ``encode`` unless they clash with a result column, in which case th
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.common import table, unused
-from leafmill.llm.textbytes import Block, blocks, gather_ranges, prefix_hashes, span_hashes
+from leafmill.llm.textbytes import Block, blocks, gather_ranges, range_hashes, same_ranges
 
 MARK = "▁"
-#: Symbols of a segment beyond which a heap merges it.
-LONG = 48
-#: Distinct segments that a task remembers.
-REMEMBERED = 400_000
+#: Distinct segments, and their bytes, that a task remembers; beyond it they are merged again.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
+#: Rank of a pair that is no piece.
+NONE = np.iinfo(np.int64).max
 
 
 @dataclass
@@ -92,73 +92,105 @@ def load_vocabulary(path: str) -> Vocabulary:
     )
 
 
-def pair_lookup(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Index into the pairs, or -1."""
+def pair_lookup(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and symbol of each pair; NONE and 0 where it is no piece."""
     key = left * v.base + right
     at = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
-    return np.where((v.pairs[at] == key) & (left < v.base) & (right < v.base), at, -1)
+    known = (v.pairs[at] == key) & (left < v.base) & (right < v.base)
+    return np.where(known, v.pair_ranks[at], NONE), np.where(known, v.pair_symbols[at], 0)
+
+
+class Rounds:
+    """Words under merge as flat arrays: symbols, links to the neighbours, and rank and product of the pair that begins at each symbol.
+
+    A merged symbol stays where its left part was and its right part is dead (rank NONE, no links to it) until
+    the next compaction.  Place n is a sentinel: the neighbour of a word's ends.
+    """
+
+    def __init__(self, v: Vocabulary, symbols: np.ndarray, owner: np.ndarray):
+        self.v, self.n, self.owner = v, len(symbols), owner
+        self.symbols = np.append(symbols, v.base)
+        self.alive = np.ones(self.n, bool)
+        edge = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+        self.first = np.concatenate([[0], edge])
+        self.sizes = np.diff(np.append(self.first, self.n))
+        self.word = np.repeat(np.arange(len(self.first)), self.sizes)
+        self.after, self.before = np.arange(1, self.n + 2), np.arange(-1, self.n)
+        self.after[self.first[1:] - 1] = self.after[self.n] = self.n
+        self.before[self.first] = self.before[self.n] = self.n
+        self.rank, self.product = pair_lookup(v, self.symbols, self.symbols[self.after])
+
+    def neighbours(self, hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places left and right of the merged pairs, and rank and product of the pairs that they then make with the product."""
+        dead, made = self.after[hit], self.product[hit]
+        left, right = self.before[hit], self.after[dead]
+        second, head = np.zeros(self.n + 1, bool), np.zeros(self.n + 1, bool)
+        second[dead], head[hit] = True, True
+        beside = np.where(second[left], self.product[self.before[left]], self.symbols[left])
+        at = np.where(second[left], self.before[left], left)
+        beyond = np.where(head[right], self.product[right], self.symbols[right])
+        touching = np.flatnonzero(head[right])
+        # before the right neighbour is merged, too, its first symbol stands beside the product
+        between = np.full(len(hit), NONE)
+        between[touching] = pair_lookup(self.v, made[touching], self.symbols[right[touching]])[0]
+        return at, *pair_lookup(self.v, beside, made), *pair_lookup(self.v, made, beyond), between
+
+    def step(self) -> bool:
+        """One round over all words; False when no pair remains."""
+        low = np.minimum.reduceat(self.rank[: self.n], self.first)
+        if (low == NONE).all():
+            return False
+        hit = np.flatnonzero(self.rank[: self.n] == np.repeat(np.where(low == NONE, -1, low), self.sizes))
+        # of overlapping occurrences, every other one from the left
+        place, joined = np.arange(len(hit)), np.zeros(len(hit), bool)
+        joined[1:] = self.after[hit[:-1]] == hit[1:]
+        hit = hit[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0]
+        at, left, left_made, right, right_made, between = self.neighbours(hit)
+        mine = self.word[hit]
+        early = np.minimum(np.minimum(left, right), between) <= low[mine]
+        if early.any():  # a product's own pair comes before the next occurrence: such words merge their first one only
+            held = np.zeros(len(low), bool)
+            held[mine[early]] = True
+            begins = np.ones(len(hit), bool)
+            begins[1:] = mine[1:] != mine[:-1]
+            hit = hit[begins | ~held[mine]]
+            at, left, left_made, right, right_made, _ = self.neighbours(hit)
+        dead = self.after[hit]
+        self.symbols[hit], self.alive[dead], self.rank[dead] = self.product[hit], False, NONE
+        beyond = self.after[dead]
+        self.after[hit], self.before[beyond] = beyond, hit
+        self.rank[hit], self.product[hit] = right, right_made
+        self.rank[at], self.product[at] = left, left_made
+        self.rank[self.n], self.before[self.n] = NONE, self.n
+        return True
+
+    def worn(self) -> bool:
+        """Whether a third of the symbols is dead."""
+        return 3 * np.count_nonzero(self.alive) < 2 * self.n
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray, Rounds | None]:
+        """Symbols and owners of finished words, and the others without their dead symbols."""
+        low = np.minimum.reduceat(self.rank[: self.n], self.first)
+        over = np.repeat(low == NONE, self.sizes)
+        done, live = self.alive & over, self.alive & ~over
+        rest = Rounds(self.v, self.symbols[:-1][live], self.owner[live]) if live.any() else None
+        return self.symbols[:-1][done], self.owner[done], rest
 
 
 def merge_rounds(v: Vocabulary, symbols: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge all segments, which are runs of equal, rising ``segment`` numbers; returns the same arrays, compacted."""
-    done_s, done_g = [], []
-    while len(symbols):
-        at = np.full(len(symbols), -1)
-        at[:-1] = np.where(segment[:-1] == segment[1:], pair_lookup(v, symbols[:-1], symbols[1:]), -1)
-        hits = np.flatnonzero(at >= 0)
-        if not len(hits):
-            break
-        group = segment[hits]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        best = np.minimum.reduceat((v.pair_ranks[at[hits]] << 40) | hits, first) & ((1 << 40) - 1)
-        symbols[best] = v.pair_symbols[at[best]]
-        keep = np.ones(len(symbols), bool)
-        keep[best + 1] = False
-        live = np.zeros(int(segment[-1]) + 1, bool)
-        live[group] = True
-        over = ~live[segment]
-        if over.any():
-            done_s.append(symbols[over])
-            done_g.append(segment[over])
-            keep &= ~over
-        symbols, segment = symbols[keep], segment[keep]
-    symbols, segment = np.concatenate([*done_s, symbols]), np.concatenate([*done_g, segment])
+    done, state = [], Rounds(v, symbols, segment) if len(symbols) else None
+    while state is not None:
+        if not state.step() or state.worn():
+            *finished, state = state.compact()
+            done.append(finished)
+    if not done:
+        return symbols, segment
+    symbols, segment = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.argsort(segment, kind="stable")
     return symbols[order], segment[order]
 
 
-def merge_long(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
-    """The same merges for one long segment, by a heap of pairs over a linked list."""
-    s, n = symbols.tolist(), len(symbols)
-    after, before, heap = [*range(1, n), -1], list(range(-1, n - 1)), []
-    pairs = dict(zip(v.pairs.tolist(), zip(v.pair_ranks.tolist(), v.pair_symbols.tolist(), strict=True), strict=True)) if n > 2000 else None
-
-    def look(i: int, j: int) -> None:
-        if i < 0 or j < 0 or s[i] >= v.base or s[j] >= v.base:
-            return
-        key = s[i] * v.base + s[j]
-        if pairs is not None:
-            got = pairs.get(key)
-        else:
-            at = int(np.searchsorted(v.pairs, key))
-            got = (int(v.pair_ranks[at]), int(v.pair_symbols[at])) if at < len(v.pairs) and v.pairs[at] == key else None
-        if got:
-            heapq.heappush(heap, (got[0], i, j, s[i], s[j], got[1]))
-
-    for i in range(n - 1):
-        look(i, i + 1)
-    while heap:
-        _, i, j, left, right, made = heapq.heappop(heap)
-        if after[i] != j or s[i] != left or s[j] != right:
-            continue
-        s[i], s[j], after[i] = made, -1, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        look(before[i], i)
-        look(i, after[i])
-    return np.array([x for x in s if x >= 0])
-
-
 def encode_segments(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the given segments end to end, and their offsets."""
     lengths = ends - starts
@@ -174,18 +206,7 @@ def encode_segments(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: n
     at = np.minimum(np.searchsorted(v.chars, points), len(v.chars) - 1)
     symbols = np.where(v.chars[at] == points, v.char_symbols[at], v.base + points)
     segment = np.repeat(np.arange(len(starts)), sizes)
-    long = sizes > LONG
-    if long.any():
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [(k, merge_long(v, symbols[offsets[k] : offsets[k + 1]])) for k in np.flatnonzero(long)]
-        short = ~long[segment]
-        symbols, segment = merge_rounds(v, symbols[short], segment[short])
-        symbols = np.concatenate([symbols, *(p for _, p in parts)])
-        segment = np.concatenate([segment, *(np.full(len(p), k) for k, p in parts)])
-        order = np.argsort(segment, kind="stable")
-        symbols, segment = symbols[order], segment[order]
-    else:
-        symbols, segment = merge_rounds(v, symbols, segment)
+    symbols, segment = merge_rounds(v, symbols, segment)
     if (strange := symbols >= v.size).any():  # characters outside the vocabulary: their bytes
         back = np.zeros(v.base, np.int64)
         back[v.char_symbols] = v.chars
@@ -200,7 +221,10 @@ def encode_segments(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: n
 
 
 class Encoder:
-    """Encodes blocks; remembers the ids of segments that it has met, up to a fixed number."""
+    """Encodes blocks; remembers the ids of segments that it has met, up to a fixed number.
+
+    A hash finds a remembered segment and its bytes confirm it; one whose bytes differ is merged by itself.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -209,6 +233,7 @@ class Encoder:
     def forget(self) -> None:
         self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.bytes, self.places = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         ids, offsets = encode_segments(self.v, data, starts, ends)
@@ -216,6 +241,8 @@ class Encoder:
         self.hashes = np.insert(self.hashes, at, hashes)
         self.entry = np.insert(self.entry, at, len(self.offsets) - 1 + np.arange(len(hashes)))
         self.ids, self.offsets = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+        self.bytes = np.concatenate([self.bytes, data[gather_ranges(starts, ends - starts)]])
+        self.places = np.concatenate([self.places, self.places[-1] + np.cumsum(ends - starts)])
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the block end to end, and row offsets."""
@@ -230,8 +257,8 @@ class Encoder:
         cut[rows[:-1][filled]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        found, first, which = np.unique(span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        found, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED or len(self.bytes) > REMEMBERED_BYTES:
             self.forget()
         at = np.searchsorted(self.hashes, found)
         new = (at == len(self.hashes)) | (self.hashes[np.minimum(at, len(self.hashes) - 1)] != found) if len(self.hashes) else np.ones(len(found), bool)
@@ -239,9 +266,15 @@ class Encoder:
             self.learn(found[new], data, starts[first[new]], ends[first[new]])
             at = np.searchsorted(self.hashes, found)
         entry = self.entry[at][which]
-        lengths = self.offsets[entry + 1] - self.offsets[entry]
+        other = np.flatnonzero(~same_ranges(data, starts, ends, self.bytes, self.places[entry], self.places[entry + 1]))
+        ids, offsets = self.ids, self.offsets
+        if len(other):
+            more, upto = encode_segments(self.v, data, starts[other], ends[other])
+            entry[other] = len(offsets) - 1 + np.arange(len(other))
+            ids, offsets = np.concatenate([ids, more]), np.concatenate([offsets, upto[1:] + offsets[-1]])
+        lengths = offsets[entry + 1] - offsets[entry]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[gather_ranges(self.offsets[entry], lengths)], total[np.searchsorted(starts, rows)]
+        return ids[gather_ranges(offsets[entry], lengths)], total[np.searchsorted(starts, rows)]
 
 
 def decode(v: Vocabulary, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table, unused
-from leafmill.llm.textbytes import Block, Words, blocks, mix, prefix_hashes, span_hashes, word_hashes, words
+from leafmill.llm.common import spread, table, unused
+from leafmill.llm.textbytes import Block, Words, blocks, mix, range_hashes, word_hashes, words
 
 LABELLERS = ("repetition", "variety", "capitals", "signs", "columns", "sentences", "length", "lines")
 #: Texts whose posteriors train the scorer (about), width of its features, and the least score of what is kept.
@@ -96,7 +96,7 @@ def shape_counts(block: Block, w: Words, hashes: np.ndarray) -> np.ndarray:
     keep[w.starts] = True
     at = np.concatenate([[0], np.cumsum(keep)])
     squeezed = shape[keep]
-    h = span_hashes(prefix_hashes(squeezed), at[w.starts], at[w.ends])
+    h = range_hashes(squeezed, at[w.starts], at[w.ends])
     row = w.row_of()
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
     joined = row[1:] == row[:-1]
@@ -205,14 +205,14 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.nd
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spread = batch.column(0).to_numpy() / float(1 << 20)
+            drawn_at = batch.column(0).to_numpy() / float(1 << 63)
             for whole in blocks(batch.column(1)):
                 for b in parts(whole):
                     w = words(b)
                     pattern = ((votes(b, w, word_hashes(b.data, w)) + 1) * 3 ** np.arange(len(LABELLERS))).sum(axis=1)
                     told = [shared.value[int(p)] if n else (0.0, 0.0) for p, n in zip(pattern, np.diff(w.rows), strict=True)]
                     y, rate = np.array(told).reshape(-1, 2).T
-                    taken = np.flatnonzero(spread[b.lo : b.hi] < rate)
+                    taken = np.flatnonzero(drawn_at[b.lo : b.hi] < rate)
                     if not len(taken):
                         continue
                     packed = []
@@ -222,10 +222,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.nd
                             packed += [np.concatenate([np.flatnonzero(r).astype(np.float32), r[r > 0]]).tobytes() for r in shape_counts(c, w, word_hashes(c.data, w))]
                     yield pa.RecordBatch.from_arrays([pa.array(y[taken]), pa.array(1 / rate[taken]), pa.array(packed, pa.binary())], names=["y", "weight", "x"])
 
-    spread = F.pmod(F.xxhash64(F.lit("quality"), F.col(key).cast("string")), F.lit(1 << 20))
-    rows = docs.select(spread.alias("spread"), text).mapInArrow(features, "y double, weight double, x binary").collect()
+    rows = docs.select(spread("quality", key, text).alias("spread"), text).mapInArrow(features, "y double, weight double, x binary").collect()
     if not rows:
-        return np.zeros(WIDTH + 1, np.float32), {}
+        raise ValueError("the scorer's sample is empty")
     x = np.zeros((len(rows), WIDTH), np.float32)
     for r, row in zip(x, rows, strict=True):
         at, n = np.frombuffer(row["x"], np.float32).reshape(2, -1)

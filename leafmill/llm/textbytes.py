@@ -7,6 +7,7 @@ are computed for the whole block at once.  Nothing here knows about Spark.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,21 +23,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for exponents below n at least."""
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + 64)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, U64(base))
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+_SEED = U64(0x9E3779B97F4A7C15)
+#: Masks of the lowest 0 to 8 bytes of a lane.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes beyond which a range is hashed or compared by itself.
+LONG_RANGE = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -125,22 +117,46 @@ def words(block: Block, separator: np.ndarray | None = None) -> Words:
     return Words(starts, ends, np.searchsorted(starts, block.offsets))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash, with a leading zero: the hash of data[i:j] is (out[j]-out[i]) * inverse**i."""
-    p = powers(len(data) + 1)[0]
-    out = np.empty(len(data) + 1, U64)
-    out[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=out[1:])
-    return out
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end), as one number; a view that takes no more memory than data."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal ranges have equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal ranges have equal hashes wherever they stand.
+
+    Eight bytes at a time go through a bijection, so ranges of one length up to eight bytes never collide;
+    a range of over LONG_RANGE bytes is hashed by BLAKE2b.  No array is longer than the list of ranges.
+    """
+    n, view = ends - starts, lanes(data)
+    h = mix(mix(n.astype(U64) + _SEED) ^ (view[starts] & _LANE[np.minimum(n, 8)]))
+    live, k = np.flatnonzero((n > 8) & (n <= LONG_RANGE)), 8
+    while len(live):
+        left = n[live] - k
+        h[live] = mix(h[live] * U64(3) ^ (view[starts[live] + k] & _LANE[np.minimum(left, 8)]))
+        live, k = live[left > 8], k + 8
+    for r in np.flatnonzero(n > LONG_RANGE):
+        h[r] = int.from_bytes(hashlib.blake2b(data[starts[r] : ends[r]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each range of data holds the bytes of the same-numbered range of other."""
+    n, a, b = ends - starts, lanes(data), lanes(other)
+    same = n == other_ends - other_starts
+    live, k = np.flatnonzero(same & (n > 0) & (n <= LONG_RANGE)), 0
+    while len(live):
+        left = n[live] - k
+        equal = ((a[starts[live] + k] ^ b[other_starts[live] + k]) & _LANE[np.minimum(left, 8)]) == 0
+        same[live[~equal]] = False
+        live, k = live[equal & (left > 8)], k + 8
+    for r in np.flatnonzero(same & (n > LONG_RANGE)):
+        same[r] = np.array_equal(data[starts[r] : ends[r]], other[other_starts[r] : other_ends[r]])
+    return same
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    return span_hashes(prefix_hashes(data), w.starts, w.ends)
+    return range_hashes(data, w.starts, w.ends)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,14 @@
 
 Fit: from a bounded sample of labelled texts (LABELLED of each class, near copies thinned out so that
 one copied text does not speak for its words) the words and word stems are taken that toxic texts have
-and clean ones lack.  They form a trie.  The Levenshtein automaton of distance 1 runs on the trie's
-words of FUZZY_FROM letters or more; the intersection of both is made deterministic and becomes a
-table of states by byte class.
+and clean ones lack.  They form a trie.  The Levenshtein automaton of distance 1 (a byte inserted, left out or
+changed anywhere, the first letter included) runs on the trie's words of FUZZY_FROM letters or more; stems,
+after which any ending may follow, are exact.  The intersection of both is made deterministic and becomes
+a table of states by byte class.
+
+Bounds of the fit, all parameters here: LABELLED rows of each class, words of up to LONGEST letters, stems of
+STEM letters or more (a whole word may be shorter), the PREFIXES commonest beginnings of toxic words, and the
+LEXICON best terms of them.  The same rows give the same model however they are partitioned.
 
 Score: the words of a text walk through the table in step, all words of a block at once; most leave it
 after two or three letters.  What is left are hits: exact or misspelled words, and stems.  Each hit
@@ -24,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded_sample, fold, table, unused
-from leafmill.llm.textbytes import Block, Words, blocks, punctuation, shingles, word_hashes, words
+from leafmill.llm.common import bounded_sample, fold, label_counts, table, unused, written
+from leafmill.llm.textbytes import Block, Words, blocks, punctuation, range_hashes, shingles, word_hashes, words
 
-#: Labelled texts of each class that the fit uses (about).
+#: Labelled texts of each class that the fit uses.
 LABELLED = 6000
-#: Longest lexicon, shortest stem, and letters from which a word may be misspelled.
-LEXICON, STEM, FUZZY_FROM = 1500, 4, 5
+#: Longest lexicon, and beginnings of words that it is chosen from.
+LEXICON, PREFIXES = 1500, 60_000
+#: Shortest stem, longest word, and letters from which a word may be misspelled.
+STEM, LONGEST, FUZZY_FROM = 4, 40, 5
 #: Evidence (G statistic) that a word needs, that a stem needs, of which there are more, and purity.
 EVIDENCE, STEM_EVIDENCE, PURITY = 28.0, 42.0, 0.93
 #: Bytes before and after a hit that are searched for quotation marks, and words for address and report.
@@ -54,8 +61,8 @@ class Automaton:
     State 0 is dead.  accept[state] is 0, or 1 for an exact word or stem, or 2 for a misspelled word.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        """terms: (word, whether any ending may follow)."""
+    def __init__(self, terms: list[tuple[str, bool]], keep_first: bool = True):
+        """terms: (word, whether any ending may follow); keep_first: a misspelled word must have the term's first byte."""
         raw = [(t.encode(), open_) for t, open_ in terms]
         used = sorted({c for t, _ in raw for c in t})
         self.classes, self.byte_class = len(used) + 1, np.zeros(256, np.int64)
@@ -87,7 +94,7 @@ class Automaton:
             """With deletions, and without what a smaller distance covers."""
             out = set(states)
             for n, e in states:
-                if e == 0 and fuzzy[n] and n:  # the first letter must be there
+                if e == 0 and fuzzy[n] and (n or not keep_first):
                     out |= {(m, 1) for m in children[n].values() if fuzzy[m]}
             return frozenset(x for x in out if x[1] == 0 or (x[0], 0) not in out)
 
@@ -113,7 +120,7 @@ class Automaton:
                 for n, e in states:
                     if c in children[n] and (e == 0 or fuzzy[children[n][c]]):
                         out.add((children[n][c], e))
-                    if e == 0 and n and fuzzy[n]:
+                    if e == 0 and fuzzy[n] and (n or not keep_first):
                         out.add((n, 1))
                         out |= {(m, 1) for m in children[n].values() if fuzzy[m]}
                 row[k] = number(closed(out))
@@ -181,7 +188,7 @@ def hit_counts(automaton: Automaton, block: Block) -> np.ndarray:
         near = hits + d
         inside = (near >= w.rows[row]) & (near < w.rows[row + 1])
         near = np.where(inside, near, hits)
-        h = word_hashes_at(block, w, near)
+        h = range_hashes(block.data, w.starts[near], w.ends[near])
         address |= inside & _among(h, _ADDRESS)
         report |= inside & _among(h, _REPORT) & (d < 0)
     score = np.minimum(left, 1) + np.minimum(right, 1) + report - 2 * address
@@ -190,19 +197,10 @@ def hit_counts(automaton: Automaton, block: Block) -> np.ndarray:
     return out
 
 
-def word_hashes_at(block: Block, w: Words, which: np.ndarray) -> np.ndarray:
-    """Hashes of a few words, without hashing the block."""
-    raw = [block.data[w.starts[k] : w.ends[k]] for k in which]
-    if not raw:
-        return np.zeros(0, np.uint64)
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    return word_hashes(np.concatenate(raw), Words(offsets[:-1], offsets[1:], np.arange(len(raw) + 1)))
-
-
 def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, lower text) to (label, words, k1, k2, k3): the distinct words and three MinHash values of the text."""
+    """(key, label, lower text) to (key, label, text, words, k0, k1, k2): the distinct words and three MinHash values of the text."""
     for batch in batches:
-        for b in blocks(batch.column(1)):
+        for b in blocks(batch.column(2)):
             w = words(b, punctuation(b.data))
             sh, rows = shingles(word_hashes(b.data, w), w.rows, 5)
             listed, keys = [], np.zeros((b.rows, 3), np.uint64)
@@ -210,7 +208,7 @@ def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 listed.append(sorted({b.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts[w.rows[r] : w.rows[r + 1]], w.ends[w.rows[r] : w.rows[r + 1]], strict=True)}))
                 for k, f in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                     keys[r, k] = (sh[rows[r] : rows[r + 1]] * np.uint64(f)).min(initial=2**64 - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), batch.column(1).slice(b.lo, b.rows), pa.array(listed, pa.list_(pa.string())), *(pa.array(keys[:, k].view(np.int64)) for k in range(3))], names=["label", "text", "words", "k0", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(b.lo, b.rows) for c in batch.columns), pa.array(listed, pa.list_(pa.string())), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in range(3))], names=["key", "label", "text", "words", "k0", "k1", "k2"])
 
 
 def choose_lexicon(prefixes: list, toxic: int, clean: int) -> list[tuple[str, bool]]:
@@ -262,7 +260,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray
 
 class Model:
     def __init__(self, terms: list[tuple[str, bool]], beta: np.ndarray):
-        self.terms, self.beta, self.automaton = terms, beta, Automaton(terms)
+        self.terms, self.beta, self.automaton = terms, beta, Automaton(terms, keep_first=False)
 
     def score(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         counts = hit_counts(self.automaton, block)
@@ -272,33 +270,31 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """labels: key and label of the rows to learn from."""
     labels = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("label"))
-    totals = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    # LABELLED keys of each class at most, by expectation
-    chosen = bounded_sample(labels, key, "label", LABELLED, "toxicity")
-    rows = docs.join(F.broadcast(chosen), key).select("label", F.lower(F.coalesce(text, F.lit(""))).alias("text"))
-    rows = rows.mapInArrow(sample_words, "label int, text string, words array<string>, k0 long, k1 long, k2 long")
-    for k in ("k0", "k1", "k2"):
-        rows = rows.dropDuplicates([k])
-    rows = rows.persist()
+    totals = label_counts(labels, "label")
+    chosen = bounded_sample(labels, totals, key, "label", LABELLED, "toxicity")
+    # LABELLED keys of each class at most
+    rows = docs.join(F.broadcast(chosen), key).select(F.col(key).cast("string").alias("key"), "label", F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    rows = rows.mapInArrow(sample_words, "key string, label int, text string, words array<string>, k0 long, k1 long, k2 long")
+    for k in ("k0", "k1", "k2"):  # of texts that share a sample, the one with the first key stays
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(k).orderBy("key", "text", "label"))).where("_rank = 1").drop("_rank")
+    rows = written(rows, "labelled")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        rows.unpersist()
         return Model([], PRIOR)
-    token = rows.select("label", F.explode("words").alias("word")).where(F.char_length("word").between(STEM, 40)).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    starts = F.explode(F.transform(F.sequence(F.lit(STEM), F.char_length("word")), lambda n: F.col("word").substr(F.lit(1), n)))
+    token = rows.select("label", F.explode("words").alias("word")).where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    starts = F.explode(F.transform(F.sequence(F.least(F.lit(STEM), F.char_length("word")), F.char_length("word")), lambda n: F.col("word").substr(F.lit(1), n)))
     prefix = token.select("word", "toxic", "clean", starts.alias("prefix")).groupBy("prefix")
     prefix = prefix.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.when(F.col("word") == F.col("prefix"), F.col("toxic")).otherwise(0)).alias("whole"))
-    prefix = prefix.where((F.col("toxic") >= 5) & (F.col("toxic") * sizes[0] > 10 * F.col("clean") * sizes[1])).orderBy(F.desc("toxic"), "prefix").limit(40 * LEXICON)
+    prefix = prefix.where((F.col("toxic") >= 5) & (F.col("toxic") * sizes[0] > 10 * F.col("clean") * sizes[1])).orderBy(F.desc("toxic"), "prefix").limit(PREFIXES)
     terms = choose_lexicon(prefix.collect(), sizes[1], sizes[0])
-    automaton = Automaton(terms)
+    automaton = Automaton(terms, keep_first=False)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), *(pa.array(c) for c in hit_counts(automaton, b).T)], names=["label", "a", "b", "c", "d"])
 
-    seen = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(counted, "label int, a double, b double, c double, d double").collect()], float)
-    rows.unpersist()
+    seen = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(counted, "label int, a double, b double, c double, d double").orderBy("label", "a", "b", "c", "d").collect()], float)
     y = seen[:, 0]
     weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     return Model(terms, fit_logistic(seen[:, 1:], y, weight * len(y) / weight.sum()))
