@@ -35,7 +35,7 @@ def test_pipeline(spark):
     for i, t in rows:
         first.setdefault(normalised(t), (i, t))
     rows = sorted(first.values())
-    component = near(rows)
+    component = near(rows, 80)
     rows = [(i, t) for i, t in rows if component[i][1] == i]
     gone = {i for i, _ in leaked(rows, items)}
     want = {i: t for i, t in rows if i not in gone}
