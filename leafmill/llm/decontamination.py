@@ -9,16 +9,20 @@ impact in a block bounds what the block can add.
 
 Every training text is cut into overlapping passages, each of which is a query.  A passage whose sum of
 overall maxima stays below the least threshold is out; of the others, only blocks whose sum of block maxima
-reaches the block's least threshold are scored, and only those exactly.  All entries that reach theirs are
-retrieved, so a text with a passage that holds MIN_OVERLAP of an entry's n-grams is never missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
+reaches the block's least threshold are opened: the postings of the other blocks are not read.  All entries that
+reach theirs are retrieved, so a text with a passage that holds MIN_OVERLAP of an entry's n-grams is never missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
 question's and of the answer's word n-grams that the text holds are computed, over all entries of the item,
-and the text is a leak where the item as a whole is held to MIN_OVERLAP or more.  The answer is the last sentence of an item, or its last quarter.
+and the text is a leak where the item as a whole is held to MIN_OVERLAP or more.  Question and answer are verified
+apart: ``verified`` names the part (or both) that is held to MIN_OVERLAP by itself, and is ``parts`` where only
+the item as a whole is.  The answer is the last sentence of an item, or its last quarter.
 
-The index is built from document frequencies that Spark counts over all items.  It is broadcast in groups
-of at most GROUP_POSTINGS postings; a larger benchmark takes several passes over the texts, in blocks.
-Training texts are never shuffled.
+The index is built by executors, a shard of whole items in a task, from document frequencies counted over
+all items, and written to the shared folder.  It is loaded and broadcast in groups of about GROUP_POSTINGS
+postings, one group at a time in the driver's memory; a larger benchmark takes several passes over the texts, in
+blocks.  Training texts are never shuffled.
 
-Edge cases: a null or empty text, or an item without words, matches nothing; items of fewer than n words
+Edge cases: a null or empty text, or an item without words, matches nothing; an item with a null id is an item
+like any other, and ids may have any type; items of fewer than n words
 use shorter n-grams; repeated items or texts are matched one by one; empty tables give no rows; very long
 texts are blocks of their own; extra columns are passed on by ``kept_rows`` and ignored by ``leaks``.
 """
@@ -26,17 +30,20 @@ texts are blocks of their own; extra columns are passed on by ``kept_rows`` and
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from leafmill.llm.common import table, unused
+from leafmill.llm.common import table, unused, written
 from leafmill.llm.textbytes import Block, Words, blocks, gather_ranges, punctuation, shingles, word_hashes, words
 
 K1, B = 1.2, 0.75
@@ -54,13 +61,16 @@ class Shard:
 
     terms: np.ndarray  # sorted
     most: np.ndarray  # largest impact of a term anywhere
-    block_most: np.ndarray  # the same by block
     first: np.ndarray  # postings of term t are first[t] to first[t+1]
+    met: np.ndarray  # the blocks in which it occurs are numbers met[t] to met[t+1] of the next three
+    block: np.ndarray
+    block_most: np.ndarray  # its largest impact there
+    block_first: np.ndarray  # its first posting there; those of the next number follow
     entry: np.ndarray
     impact: np.ndarray
     need: np.ndarray  # score from which an entry is retrieved
     block_need: np.ndarray  # the least of a block
-    items: np.ndarray  # item of an entry
+    items: list  # item of an entry
     unit: np.ndarray  # number of an entry's item, by which the n-grams below are listed
     wholes: list[np.ndarray]
     questions: list[np.ndarray]
@@ -122,7 +132,7 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -> Shard:
     """Index the entries of a few items; frequency and average come from all of them."""
-    rows = sorted(rows, key=lambda r: (sorted(set(r["words"]), key=lambda t: (-frequency[t], t))[:3], r["item"], r["part"]))
+    rows = sorted(rows, key=lambda r: (sorted(set(r["words"]), key=lambda t: (-frequency[t], t))[:3], str(r["item"]), r.get("whole", 0), r["part"]))
     units: dict[tuple[int, int], int] = {}
     unit = np.array([units.setdefault((r["item"], r.get("whole", 0)), len(units)) for r in rows])
     entry, term, impact, need = [], [], [], []
@@ -143,8 +153,11 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
     number = np.searchsorted(terms, term)
     need = np.array(need)
     block_need = np.minimum.reduceat(need, np.arange(0, len(need), BLOCK_ENTRIES))
-    block_most = np.zeros((len(terms), (len(rows) - 1) // BLOCK_ENTRIES + 1), np.float32)
-    np.maximum.at(block_most, (number, entry // BLOCK_ENTRIES), impact)
+    blocks_ = -(-len(rows) // BLOCK_ENTRIES)
+    met, block_first = np.unique(number * blocks_ + entry // BLOCK_ENTRIES, return_index=True)
+    block_most = np.maximum.reduceat(impact, block_first)
+    by_term = np.searchsorted(met, np.arange(len(terms) + 1) * blocks_)
+    most = np.maximum.reduceat(impact, first)
     q, a, sizes = [[] for _ in units], [[] for _ in units], [GRAM] * len(units)
     for u, r in zip(unit, rows, strict=True):
         h = np.array(r["words"], np.int64).view(np.uint64)
@@ -154,36 +167,49 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
         a[u].append(every[cut:])
         sizes[u] = size
     q, a = ([np.unique(np.concatenate(x)) for x in listed] for listed in (q, a))
-    return Shard(terms, block_most.max(axis=1), block_most, np.append(first, len(term)), entry, impact, need, block_need, np.array([r["item"] for r in rows]), unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
-
-
-def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[Shard]]:
-    """Groups of shards; each group is small enough to broadcast, and a benchmark of usual size is one group."""
-    benchmark = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
-    entries = benchmark.mapInArrow(entry_rows, "item long, whole long, part int, own int, words array<long>, answer_from int").persist()
-    n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
-    if not n:
-        return []
-    frequency = entries.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    shards = -(-n // SHARD_ENTRIES)
-    placed = entries.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards))).persist()
-    groups: list[list[Shard]] = [[]]
-    held = 0
-    for s in range(shards):  # whole items, about SHARD_ENTRIES entries of up to ENTRY words, come to the driver at a time
-        mine = placed.where(F.col("shard") == s)
-        rows = [r.asDict() for r in mine.drop("shard").collect()]
+    return Shard(terms, most, np.append(first, len(term)), by_term, met % blocks_, block_most, np.append(block_first, len(term)), entry, impact, need, block_need, [r["item"] for r in rows], unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
+
+
+def packed_shard(n: int, average: float):
+    def run(entries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """The entries of one shard and the frequencies of their terms to the shard's index."""
+        rows = entries.astype(object).where(entries.notna(), None).to_dict("records")
         if not rows:
-            continue
-        known = mine.select(F.explode("words").alias("term")).distinct().join(frequency, "term").collect()
-        shard = build_shard(rows, {r["term"]: r["df"] for r in known}, n, average)
-        if held + len(shard.entry) > GROUP_POSTINGS and groups[-1]:
-            groups.append([])
-            held = 0
-        groups[-1].append(shard)
-        held += len(shard.entry)
-    placed.unpersist()
-    entries.unpersist()
-    return groups
+            return pd.DataFrame({"shard": pd.Series(dtype="int64"), "postings": pd.Series(dtype="int64"), "index": pd.Series(dtype=object)})
+        shard = build_shard(rows, dict(zip(known["term"].tolist(), known["df"].tolist(), strict=True)), n, average)
+        return pd.DataFrame({"shard": [int(rows[0]["shard"])], "postings": [len(shard.entry)], "index": [pickle.dumps(shard, protocol=5)]})
+
+    return run
+
+
+class Index:
+    """The shards of a benchmark, in the shared folder; groups() brings them to the driver a group at a time."""
+
+    def __init__(self, benchmark: DataFrame, item: str = "item_id", text: str = "text"):
+        self.item_type = benchmark.schema[item].dataType
+        benchmark = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
+        schema = f"item {self.item_type.simpleString()}, whole long, part int, own int, words array<long>, answer_from int"
+        entries = written(benchmark.mapInArrow(entry_rows, schema), "entries")
+        n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+        self.stored, self.sizes = None, []
+        if not n:
+            return
+        placed = entries.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(-(-n // SHARD_ENTRIES))))
+        terms = placed.select("shard", F.explode(F.array_distinct("words")).alias("term"))
+        known = terms.distinct().join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+        both = placed.groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "term", "df").groupBy("of"))
+        self.stored = written(both.applyInPandas(packed_shard(n, average), "shard long, postings long, index binary"), "index", maxRecordsPerFile=16)
+        self.sizes = [(r["shard"], r["postings"]) for r in self.stored.select("shard", "postings").orderBy("shard").collect()]
+
+    def groups(self) -> Iterator[list[bytes]]:
+        """Groups of shards, packed, each small enough to broadcast; a benchmark of usual size is one group."""
+        mine, held = [], 0
+        for k, (shard, postings) in enumerate(self.sizes):
+            mine.append(shard)
+            held += postings
+            if k + 1 == len(self.sizes) or held + self.sizes[k + 1][1] > GROUP_POSTINGS:
+                yield [bytes(r["index"]) for r in self.stored.where(F.col("shard").between(mine[0], mine[-1])).orderBy("shard").select("index").collect()]
+                mine, held = [], 0
 
 
 def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,18 +243,19 @@ def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -
     if not len(t):
         return none
     first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    bounds = np.add.reduceat(s.block_most[t], first, axis=0) >= s.block_need - 1e-4
-    alive = np.repeat(bounds.any(axis=1), np.diff(np.append(first, len(t))))
-    if not alive.any():
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    many = s.met[t + 1] - s.met[t]
+    pair, of, width = gather_ranges(s.met[t], many), np.repeat(np.arange(len(t)), many), len(s.block_need)
+    place = group[of] * width + s.block[pair]
+    bounds = np.bincount(place, s.block_most[pair], len(first) * width)
+    opened = bounds[place] >= s.block_need[s.block[pair]] - 1e-4
+    if not opened.any():
         return none
-    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))[alive]
-    passage, t = passage[alive], t[alive]
-    many = s.first[t + 1] - s.first[t]
-    posting = gather_ranges(s.first[t], many)
-    entry, of = s.entry[posting], np.repeat(np.arange(len(t)), many)
-    open_ = bounds[which[of], entry // BLOCK_ENTRIES]
-    key, which = np.unique(passage[of[open_]] * len(s.items) + entry[open_], return_inverse=True)
-    score = np.bincount(which, s.impact[posting[open_]], len(key))
+    pair, of = pair[opened], of[opened]
+    lo, hi = s.block_first[pair], s.block_first[pair + 1]
+    posting = gather_ranges(lo, hi - lo)
+    key, which = np.unique(np.repeat(passage[of], hi - lo) * len(s.items) + s.entry[posting], return_inverse=True)
+    score = np.bincount(which, s.impact[posting], len(key))
     good = score >= s.need[key % len(s.items)] - 1e-6
     return key[good] // len(s.items), key[good] % len(s.items), score[good]
 
@@ -240,17 +267,17 @@ def held(some: np.ndarray, here: np.ndarray) -> float:
     return float((here[np.minimum(np.searchsorted(here, some), len(here) - 1)] == some).mean())
 
 
-def found_in(block: Block, shards: list[Shard]) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+def found_in(block: Block, shards: list[Shard]) -> dict[tuple[int, object], tuple[float, float, float, float]]:
     """(row, item) to (best score, overlap, question's, answer's) of each leak in a block of lower-case texts."""
     w, hashes = tokens(block)
     row, start, end = passages(w)
-    out: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+    out: dict[tuple[int, object], tuple[float, float, float, float]] = {}
     texts: dict[tuple[int, int], np.ndarray] = {}
     for s in shards:
-        met: dict[tuple[int, int], tuple[float, int]] = {}
+        met: dict[tuple[int, int], tuple[float, object]] = {}
         for p, e, score in zip(*retrieve(s, hashes, start, end), strict=True):
             k = int(row[p]), int(s.unit[e])
-            met[k] = max(met.get(k, (0.0, 0)), (float(score), int(s.items[e])))
+            met[k] = max(met.get(k, (0.0, None)), (float(score), s.items[e]), key=lambda x: x[0])
         for (r, u), (score, item) in met.items():
             k = r, s.sizes[u]
             if k not in texts:
@@ -262,40 +289,51 @@ def found_in(block: Block, shards: list[Shard]) -> dict[tuple[int, int], tuple[f
     return out
 
 
+def verified(question: float, answer: float) -> str:
+    found = [name for name, share in (("question", question), ("answer", answer)) if share >= MIN_OVERLAP]
+    return " and ".join(found) or "parts"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each text and test item that it holds: key, item_id, score, overlap, question_overlap, answer_overlap."""
-    spark, schema = docs.sparkSession, T.StructType([docs.schema[key], *(T.StructField(c, t) for c, t in [("item_id", T.LongType()), *((c, T.DoubleType()) for c in ("score", "overlap", "question_overlap", "answer_overlap"))])])
+    """One row for each text and test item that it holds: key, item_id, score, overlap, question_overlap, answer_overlap, verified."""
+    spark, index = docs.sparkSession, Index(benchmark)
+    numbers = ("score", "overlap", "question_overlap", "answer_overlap")
+    schema = T.StructType([docs.schema[key], T.StructField("item_id", index.item_type), *(T.StructField(c, T.DoubleType()) for c in numbers), T.StructField("verified", T.StringType())])
+    item_type = to_arrow_type(index.item_type)
     result = None
-    for group in build_index(benchmark):
+    for group in index.groups():
         shared = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            shards = [pickle.loads(x) for x in shared.value]
             for batch in batches:
                 for b in lower_blocks(batch.column(1)):
-                    if hits := found_in(b, shared.value):
+                    if hits := found_in(b, shards):
                         keys = batch.column(0).take(pa.array([b.lo + r for r, _ in hits]))
-                        numbers = np.array(list(hits.values()))
-                        yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in hits], pa.int64()), *(pa.array(numbers[:, k]) for k in range(4))], names=schema.names)
+                        found = np.array(list(hits.values()))
+                        yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in hits], item_type), *(pa.array(found[:, k]) for k in range(4)), pa.array([verified(*x) for x in found[:, 2:]])], names=schema.names)
 
         part = docs.select(key, F.col(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         return spark.createDataFrame([], schema)
-    # repeated texts, and items that share an id, give one row
-    return result.groupBy(key, "item_id").agg(*(F.max(c).alias(c) for c in schema.names[2:]))
+    # repeated texts, and items that share an id, give one row: the one that holds most
+    most = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", "verified")).alias("most")
+    return result.groupBy(key, "item_id").agg(most).select(key, "item_id", *(F.col(f"most.{c}").alias(c) for c in (*numbers, "verified")))
 
 
 def kept_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the texts that hold a test item, decided inside the scan."""
     place = docs.columns.index(text)
-    for group in build_index(benchmark):
+    for group in Index(benchmark).groups():
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            shards = [pickle.loads(x) for x in shared.value]
             for batch in batches:
                 for b in lower_blocks(batch.column(place)):
                     keep = np.ones(b.rows, bool)
-                    keep[[r for r, _ in found_in(b, shared.value)]] = False
+                    keep[[r for r, _ in found_in(b, shards)]] = False
                     yield batch.slice(b.lo, b.rows).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
