@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-from leafmill.functions.text import GAP, strip, title_key
+from leafmill.functions.text import GAP, bound, strip, title_key
 
 
 def paragraph_chunks(docs: DataFrame, page: int = 1) -> DataFrame:
@@ -17,13 +17,12 @@ def paragraph_chunks(docs: DataFrame, page: int = 1) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda p: p != "")
 
-    def windows(p):
-        w = F.split(p, GAP)
+    def windows(w):
         starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(fixed.STEP_WORDS))
         cut = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(fixed.WINDOW_WORDS)), " "))
         return F.filter(cut, lambda c: F.char_length(c) > fixed.LEAST_CHARS)
 
-    chunks = F.flatten(F.transform(lines, lambda p: F.when(F.char_length(p) <= fixed.PARAGRAPH_CHARS, F.array(p)).otherwise(windows(p))))
+    chunks = F.flatten(F.transform(lines, lambda p: F.when(F.char_length(p) <= fixed.PARAGRAPH_CHARS, F.array(p)).otherwise(bound(F.split(p, GAP), windows))))
     out = docs.select("doc_id", F.posexplode(chunks).alias("chunk_idx", "text"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit(f"_p{page}_c"), F.col("chunk_idx").cast("string"))
     return out.select("doc_id", name.alias("chunk_id"), F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.lit(page).alias("page_number"), "text")
@@ -47,7 +46,7 @@ def summary_chunks(fields: DataFrame) -> DataFrame:
     line = F.concat(title_key(F.col("field")), F.lit(": "), F.col("value"))
     parts = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
     body = F.array_join(F.transform(parts, lambda s: s["line"]), "\n")
-    out = fields.groupBy("doc_id").agg(F.concat(F.lit("Structured Document Entities:\n"), body).alias("text"))
+    out = fields.groupBy("doc_id").agg(F.concat(F.lit(fixed.SUMMARY_HEADING), body).alias("text"))
     return out.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_summary")).alias("chunk_id"), F.lit(1).alias("page_number"), "text")
 
 

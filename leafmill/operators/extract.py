@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-from leafmill.functions.text import contains_any, field_key, first_group, parse_amount, standardize_date, strip
+from leafmill.functions.text import bound, contains_any, field_key, first_group, parse_amount, standardize_date, strip
+from leafmill.operators.layout import neighbours, new_keys
 
 AMOUNTS = ("total_amount", "balance_amount", "subtotal", "tax_amount")
 
 
 def line_value(field: str, line: Column) -> Column:
-    """What a line says of a field as text (a date as it stands), or null: the first pattern whose match is acceptable."""
-    tries = []
-    for pattern in fixed.PATTERNS[field]:
-        raw = strip(first_group(line, pattern))
+    """What a line says of a field as text (a date as it stands), or null: the first pattern whose match is acceptable.
+
+    A pattern is tried once, and only on lines that have one of the field's words.
+    """
+
+    def acceptable(raw: Column) -> Column:
         if field == "invoice_number":
-            tries.append(F.when(~F.lower(raw).isin(fixed.NOT_A_NUMBER), raw))
-        elif field in AMOUNTS:
-            amount = parse_amount(raw)
-            tries.append(F.when(amount.isNotNull() & ((amount > 0) | F.lit(field != "balance_amount")), raw))
-        elif field == "customer_name":
-            tries.append(F.when((F.char_length(raw) >= 3) & ~F.lower(raw).isin(fixed.NOT_A_CUSTOMER), raw))
-        elif field == "bank_name":
-            tries.append(F.when(F.char_length(raw) >= 3, raw))
-        else:
-            tries.append(raw)
-    return F.coalesce(*tries)
+            return F.when(~F.lower(raw).isin(fixed.NOT_A_NUMBER), raw)
+        if field in AMOUNTS:
+            return F.when(parse_amount(raw) > 0 if field == "balance_amount" else parse_amount(raw).isNotNull(), raw)
+        if field == "customer_name":
+            return F.when((F.char_length(raw) >= 3) & ~F.lower(raw).isin(fixed.NOT_A_CUSTOMER), raw)
+        if field == "bank_name":
+            return F.when(F.char_length(raw) >= 3, raw)
+        return raw
+
+    tries = [bound(strip(first_group(line, pattern)), acceptable) for pattern in fixed.PATTERNS[field]]
+    found = F.coalesce(*tries)
+    return F.when(contains_any(F.lower(line), fixed.HINTS[field]), found) if field in fixed.HINTS else found
 
 
 def rule_fields(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -43,7 +47,8 @@ def rule_fields(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
     values = [(f, line_value(f, line)) for f in fixed.PATTERNS if f in names]
     vendor = F.regexp_replace(line, "^[^A-Za-z0-9]+", "")
     is_vendor = (F.col("place") <= 10) & contains_any(F.lower(line), fixed.VENDOR_WORDS) & (F.char_length(vendor) >= 4)
-    rows = lines.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("line_number")))
+    # one shuffle serves the window and the aggregation
+    rows = lines.repartition("doc_id").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("line_number")))
     rows = rows.select("doc_id", "text", at.alias("at"), F.when(is_vendor, vendor).alias("vendor_name"), *(v.alias(f) for f, v in values))
     first = [F.min_by(F.when(F.col(f).isNotNull(), F.struct("at", F.col(f).alias("value"))), F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f, _ in values]
     late = F.struct(F.col("at.page_number"), -F.col("at.line_number"))
@@ -84,22 +89,22 @@ def line_key_values(lines: DataFrame) -> DataFrame:
     return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def merge_fields(fields: DataFrame, key_values: DataFrame) -> DataFrame:
+def merge_fields(fields: DataFrame, key_values: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Fill fields that are missing from key/values, in order, and promote other keys to fields of their own.
 
     fields: doc_id, field.  key_values: doc_id, position, key, value.  Returns the added ones: doc_id,
-    field, value, method, position.  Whether a key fills a field depends on what is there by then, so a
+    field, value, method, position, and further columns of their key/value (extra; positions then count from 1).  Whether a key fills a field depends on what is there by then, so a
     document's pairs are folded in order, the accumulator being the names that are taken and what was added.
     """
     taken = fields.groupBy("doc_id").agg(F.collect_set("field").alias("taken"))
     # what does not depend on the order is made before the fold: the fields that a key fits, and its own name
     low, value = F.lower("key"), strip(F.col("value"))
     fits = F.filter(F.array(*(F.when(contains_any(low, listed), F.lit(field)) for field, listed in fixed.KEY_WORDS.items())), lambda f: f.isNotNull())
-    each = key_values.select("doc_id", F.col("position").cast("int").alias("position"), value.alias("value"), fits.alias("fits"), field_key(F.col("key")).alias("name"))
+    each = key_values.select("doc_id", *extra, F.col("position").cast("int").alias("position"), value.alias("value"), fits.alias("fits"), field_key(F.col("key")).alias("name"))
     date = F.when(F.array_contains("fits", "invoice_date"), standardize_date(F.col("value")))
     amount = F.array_contains("fits", "total_amount") & F.coalesce(parse_amount(F.col("value")) > 0, F.lit(False))
     usable = F.when(F.char_length("name").between(1, 30), F.col("name"))
-    each = each.select("doc_id", F.struct("position", "value", date.alias("date"), amount.alias("amount"), "fits", usable.alias("name")).alias("kv"))
+    each = each.select("doc_id", F.struct("position", "value", date.alias("date"), amount.alias("amount"), "fits", usable.alias("name"), *extra).alias("kv"))
     pairs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list("kv")).alias("pairs"))
     added_type = "array<struct<field:string,value:string,method:string,position:int>>"
 
@@ -119,8 +124,54 @@ def merge_fields(fields: DataFrame, key_values: DataFrame) -> DataFrame:
         return F.transform(F.transform(F.array(field), choose), add)[0]
 
     start = F.struct(F.coalesce("taken", F.array().cast("array<string>")).alias("taken"), F.array().cast(added_type).alias("added"))
-    folded = pairs.join(taken, "doc_id", "left").select("doc_id", F.aggregate("pairs", start, step).alias("acc"))
-    return folded.select("doc_id", F.explode("acc.added").alias("a")).select("doc_id", "a.field", "a.value", "a.method", "a.position")
+    folded = pairs.join(taken, "doc_id", "left").select("doc_id", "pairs", F.aggregate("pairs", start, step).alias("acc"))
+    more = [F.element_at("pairs", F.col("a.position"))[c].alias(c) for c in extra]
+    return folded.select("doc_id", "pairs", F.explode("acc.added").alias("a")).select("doc_id", "a.field", "a.value", "a.method", "a.position", *more)
+
+
+def key_values(lines: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """All key/values of documents: doc_id, position (from 1), page_number, key, value, confidence; a page's lines come before its words."""
+    of_lines = line_key_values(lines).select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("line_number").alias("place"), "key", "value", F.lit(fixed.LINE_PAIR).alias("confidence"))
+    both = of_lines
+    if words is not None:
+        spatial = new_keys(neighbours(words), of_lines)
+        both = of_lines.unionByName(spatial.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("word_idx").alias("place"), "key", "value", "confidence"))
+    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "kind", "place"))
+    return both.select("doc_id", position.alias("position"), "page_number", "key", "value", "confidence")
+
+
+def all_fields(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fields of the rules and fields that key/values fill or add: doc_id, field, name, value, value_num, page_number, confidence, method, place (order in which they were found)."""
+    rules = rule_fields(lines)
+    known = F.create_map(*(F.lit(x) for f, n in fixed.FIELD_NAMES.items() for x in (f, n)))
+    order = F.array_position(F.array(*(F.lit(f) for f in ["vendor_name", *fixed.PATTERNS])), F.col("field")).cast("int")
+    # the total that was looked for in the whole text has no line and comes last
+    place = F.struct(F.when(F.col("line_number").isNull(), 1).otherwise(0).alias("late"), "page_number", F.when(F.col("field") == "vendor_name", 0).otherwise(F.col("line_number")).alias("line"), order.alias("rule"))
+    of_rules = rules.select("doc_id", "field", known[F.col("field")].alias("name"), "value", "value_num", "page_number", "confidence", F.when(F.col("field") == "vendor_name", "rule_based").otherwise("regex").alias("method"), place.alias("place"))
+    added = merge_fields(rules, pairs, ("key", "page_number", "confidence"))
+    late = F.struct(F.lit(2).alias("late"), F.lit(0).alias("page_number"), F.lit(0).alias("line"), F.col("position").alias("rule"))
+    name = F.when(F.col("method") == "spatial_kv", known[F.col("field")]).otherwise(strip(F.col("key")))
+    amount = F.when((F.col("field") == "total_amount") & (F.col("method") == "spatial_kv"), parse_amount(F.col("value")))
+    return of_rules.unionByName(added.select("doc_id", "field", name.alias("name"), "value", amount.alias("value_num"), "page_number", "confidence", "method", late.alias("place")))
+
+
+def extraction_results(lines: DataFrame, words: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """One row for each document: doc_id, document_type, summary, overall_confidence, fields and key_values.
+
+    Rules first, then key/values of lines and words, then what these add to the fields; type, summary and mean
+    are of the merged fields.  hints: doc_id and document_type where it is known.
+    """
+    pairs = key_values(lines, words)
+    fields = all_fields(lines, pairs)
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "line_number", "text"))), lambda s: s["text"])
+    texts = lines.groupBy("doc_id").agg(F.array_join(whole, "\n").alias("text"))
+    if hints is not None:
+        texts = texts.join(hints.select("doc_id", F.col("document_type").alias("hint")), "doc_id", "left")
+    types = texts.select("doc_id", document_type(F.col("text"), F.col("hint") if hints is not None else None).alias("document_type"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "field", "name", "value", "confidence", "page_number", "method")))
+    by = fields.groupBy("doc_id").agg(F.transform(listed, lambda s: s.dropFields("place")).alias("fields"))
+    kv = pairs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "page_number", "key", "value", "confidence"))), lambda s: s.dropFields("position")).alias("key_values"))
+    return summaries(fields, types).join(by, "doc_id", "left").join(kv, "doc_id", "left")
 
 
 def document_type(text: Column, hint: Column | None = None) -> Column:
@@ -141,7 +192,10 @@ def summaries(fields: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def export_rows(fields: DataFrame, key_values: DataFrame) -> DataFrame:
-    """The five export columns: fields first, then key/values."""
-    a = fields.select("doc_id", F.lit("Primary Field").alias("category"), F.col("field").alias("name"), "value", "confidence", F.lit("regex").alias("method"))
-    b = key_values.select("doc_id", F.lit("Key-Value Pair").alias("category"), F.col("key").alias("name"), "value", F.lit(0.90).alias("confidence"), F.lit("spatial_kv").alias("method"))
+    """The five export columns: fields first, by the name they go by and the way they were found, then key/values."""
+    known = F.create_map(*(F.lit(x) for f, n in fixed.FIELD_NAMES.items() for x in (f, n)))
+    name = F.col("name") if "name" in fields.columns else F.coalesce(known[F.col("field")], F.col("field"))
+    method = F.col("method") if "method" in fields.columns else F.when(F.col("field") == "vendor_name", "rule_based").otherwise("regex")
+    a = fields.select("doc_id", F.lit("Primary Field").alias("category"), name.alias("name"), "value", "confidence", method.alias("method"))
+    b = key_values.select("doc_id", F.lit("Key-Value Pair").alias("category"), F.col("key").alias("name"), "value", F.col("confidence") if "confidence" in key_values.columns else F.lit(fixed.LINE_PAIR).alias("confidence"), F.lit("spatial_kv").alias("method"))
     return a.unionByName(b)

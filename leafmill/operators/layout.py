@@ -98,7 +98,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     """Values of words that end with a colon: (doc_id, page_number, word_idx, key, value, confidence).
 
     To the right: later words of the same height, the first and those that follow without a wide gap.
-    Below, if nothing is to the right: the first later word under the key.
+    Below, if nothing is to the right: the first later word under the key.  A key counts once a page, where it first has a value.
     """
     w = words.select(*PAGE, "word_idx", F.trim("text").alias("text"), "x", "y", "width", "height")
     keys = w.where(F.col("text").endswith(":") & (F.char_length("text") > 1))
@@ -125,7 +125,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     text = F.trim(F.array_join(F.aggregate("right", start, step, lambda a: a["texts"]), " "))
     beside = F.size("right") > 0
     value = F.when(beside, text).otherwise(F.col("below"))
-    return found.select(*PAGE, F.col("key_idx").alias("word_idx"), "key", value.alias("value"), F.when(beside, 0.87).otherwise(0.82).alias("confidence")).where("value <> ''")
+    found = found.select(*PAGE, F.col("key_idx").alias("word_idx"), "key", value.alias("value"), F.when(beside, 0.87).otherwise(0.82).alias("confidence")).where("value <> ''")
+    first = F.row_number().over(Window.partitionBy(*PAGE, F.lower("key")).orderBy("word_idx"))
+    return found.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def new_keys(spatial: DataFrame, line_pairs: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def detected_boxes(spark, d):
 
 def glyph_confidence(spark, d):
     heights = S.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(F.col("l_quantity") + 10).alias("h"))
-    return heights.select("doc_id", F.round(images.glyph_confidence(F.col("h")), 6).alias("confidence"))
+    return heights.select("doc_id", images.glyph_confidence(F.col("h")).alias("confidence"))
 
 
 def ctc_decode(spark, d):
@@ -210,6 +210,7 @@ long AS (SELECT doc_id, field, value, page_number, line_number, {conf} AS confid
 fields AS (SELECT doc_id, field, value, CASE WHEN field IN ('total_amount', 'balance_amount', 'subtotal', 'tax_amount') THEN TRY_CAST(regexp_replace(value, '[^0-9.]', '', 'g') AS DOUBLE) END AS value_num, page_number, line_number, confidence FROM long)"""
 
 
+_NAMED = "CASE field " + " ".join(f"WHEN '{f}' THEN '{n}'" for f, n in fixed.FIELD_NAMES.items()) + " END"
 _KV = f"""kv AS (SELECT doc_id, page_number, line_number, key, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, lower(key) ORDER BY line_number) AS k FROM (
   SELECT doc_id, page_number, line_number,
     {STRIP.format(x="regexp_replace(" + STRIP.format(x="regexp_extract(t, '(?s)^(.*?)(?:[:=]| - )', 1)") + ", '^[^A-Za-z0-9]+|[^A-Za-z0-9\\s.]+$', '', 'g')")} AS key,
@@ -238,7 +239,7 @@ ORACLES = {
 f AS (SELECT doc_id, max(CASE WHEN field = 'invoice_number' THEN value END) AS n, max(CASE WHEN field = 'customer_name' THEN value END) AS c, max(CASE WHEN field = 'invoice_date' THEN value END) AS d, max(CASE WHEN field = 'total_amount' THEN value_num END) AS t, avg(confidence) AS m FROM fields GROUP BY 1)
 SELECT ty.doc_id, document_type, concat_ws(' ', 'Classified as ' || upper(document_type) || '.', 'Number: ' || n || '.', 'Name: ' || c || '.', 'Date: ' || d || '.', 'Total: ' || CAST(t AS VARCHAR) || '.') AS summary, coalesce(round(m, 3), 0.85::DOUBLE) AS overall_confidence FROM ty LEFT JOIN f ON ty.doc_id = f.doc_id""",
     "summary_chunks": f"""WITH {_fields_sql(_NAMES)} SELECT doc_id, doc_id || '_summary' AS chunk_id, 'Structured Document Entities:' || chr(10) || string_agg(array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ': ' || value, chr(10) ORDER BY list_position([{", ".join(f"'{f}'" for f in _NAMES)}], field)) AS text FROM fields GROUP BY 1""",
-    "export_rows": f"WITH {_fields_sql(_NAMES)}, {_KV} SELECT doc_id, 'Primary Field' AS category, field AS name, value, confidence, 'regex' AS method FROM fields UNION ALL SELECT doc_id, 'Key-Value Pair', key, value, 0.9::DOUBLE, 'spatial_kv' FROM kv",
+    "export_rows": f"WITH {_fields_sql(_NAMES)}, {_KV} SELECT doc_id, 'Primary Field' AS category, {_NAMED} AS name, value, confidence, CASE WHEN field = 'vendor_name' THEN 'rule_based' ELSE 'regex' END AS method FROM fields UNION ALL SELECT doc_id, 'Key-Value Pair', key, value, 0.9::DOUBLE, 'spatial_kv' FROM kv",
     "doc_details": f"WITH {_fields_sql(_NAMES)}, {_PAGES}, n AS (SELECT doc_id, count(*) AS fields FROM fields GROUP BY 1) SELECT o_orderkey AS doc_id, o_orderstatus AS status, CASE WHEN wc.doc_id IS NOT NULL THEN 1 END::BIGINT AS total_pages, words AS total_words, average_confidence AS overall_confidence, fields FROM orders LEFT JOIN wc ON o_orderkey = wc.doc_id LEFT JOIN n ON o_orderkey = n.doc_id",
     "reading_order": f"""WITH {S.WORDS_SQL}, f AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) > 15 AND abs(y + height - lag(y + height) OVER w) > 15 THEN 1 ELSE 0 END AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y, word_idx)),
 g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY y, word_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM f) SELECT doc_id, word_idx AS box_idx, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line, x, y, word_idx) AS INTEGER) AS position FROM g""",
@@ -257,6 +258,6 @@ SELECT path, extension, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^a
   CASE WHEN extension NOT IN ({", ".join(f"'{x}'" for x in fixed.EXTENSIONS)}) THEN 'extension' WHEN length > {fixed.MAX_BYTES} THEN 'size' WHEN length = 0 THEN 'empty' END AS rejected FROM e""",
     "skew_angles": f"WITH {S.WORDS_SQL}, a AS (SELECT doc_id, median(degrees(atan2((word_idx % 3 - 1)::DOUBLE, width::DOUBLE))) AS m FROM words GROUP BY 1) SELECT doc_id, round(CASE WHEN abs(m) > 0.3 THEN m ELSE 0 END, 6) + 0.0::DOUBLE AS skew_angle FROM a",
     "detected_boxes": f"WITH {S.WORDS_SQL} SELECT doc_id, word_idx AS box_idx, greatest(0, x - CAST(floor(width * 0.02) AS INTEGER)) AS x, greatest(0, y - CAST(floor(height * 0.04) AS INTEGER)) AS y, least(300 - greatest(0, x - CAST(floor(width * 0.02) AS INTEGER)), width + 2 * CAST(floor(width * 0.02) AS INTEGER)) AS width, least(200 - greatest(0, y - CAST(floor(height * 0.04) AS INTEGER)), height + 2 * CAST(floor(height * 0.04) AS INTEGER)) AS height FROM words WHERE width * height >= 40 AND width * height <= 0.95 * 60000 AND width >= 8 AND height >= 8",
-    "glyph_confidence": "SELECT l_orderkey AS doc_id, round(least(0.95::DOUBLE, greatest(0.5::DOUBLE, 1 - var_pop(l_quantity + 10) / pow(median(l_quantity + 10), 2))), 6) AS confidence FROM lineitem GROUP BY 1",
+    "glyph_confidence": "SELECT l_orderkey AS doc_id, round(least(0.95::DOUBLE, greatest(0.5::DOUBLE, 1 - var_pop(l_quantity + 10) / pow(median(l_quantity + 10), 2))), 3) AS confidence FROM lineitem GROUP BY 1",
     "ctc_decode": "WITH s AS (SELECT p_partkey, list_transform(range(0, 12), lambda i: (p_partkey * (i // 3) + i // 2) % 4) AS s FROM part) SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, 13), lambda i: s[i] <> 0 AND (i = 1 OR s[i] <> s[i - 1])), lambda i: substr('abc', s[i], 1)), '') AS text FROM s",
 }

@@ -22,10 +22,9 @@ def safe_name(path: Column) -> Column:
 def detected_type(header: Column) -> Column:
     """What the first bytes say: pdf, png, jpeg, tiff, bmp, webp, or null.  It never rejects a file."""
     found = F.lit(None).cast("string")
-    starts = lambda code: F.substring(F.hex(header), 1, len(code)) == code
-    for kind, code in reversed(fixed.SIGNATURES.items()):
-        found = F.when(starts(code), kind.split("_")[0]).otherwise(found)
-    return F.when(starts("52494646"), "webp").otherwise(found)
+    for kind, first in reversed(fixed.SIGNATURES.items()):
+        found = F.when(F.substring(header, 1, len(first)) == F.lit(first), kind.split("_")[0]).otherwise(found)
+    return found
 
 
 def validated(files: DataFrame) -> DataFrame:
@@ -42,8 +41,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; files that are none are dropped."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    """Decoded images; a file that is none keeps its origin and has the reason in ``rejected``, and no pixels."""
+    images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    return images.withColumn("rejected", F.when(F.col("width") <= 0, "not an image"))
 
 
 def decode_base64(text: Column) -> Column:
