@@ -99,6 +99,8 @@ DATE_FORMATS = [
 EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp"]
 SIGNATURES = {"pdf": b"%PDF", "png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff", "tiff_le": b"II*\x00", "tiff_be": b"MM\x00*", "bmp": b"BM", "webp": b"RIFF"}
 MAX_BYTES = 25 * 1024 * 1024
+# Fixed value: how a message names a document.
+DOCUMENT_TAG = r"doc_id:\s*(\S+)"
 # Texts of answers and results.
 SUMMARY_HEADING = "Structured Document Entities:\n"
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"

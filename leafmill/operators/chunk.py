@@ -62,6 +62,43 @@ def table_row_chunks(tables: DataFrame) -> DataFrame:
     return named
 
 
+def ocr_chunks(lines: DataFrame, fields: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """All chunks of recognised documents: doc_id, chunk_id, chunk_idx, page_number, text, type, line_count and bbox.
+
+    A summary of the fields comes first, then the rows of tables, then windows of lines, whose ids go on counting.
+    lines: doc_id, page_number, line_number, text and, if there is one, bbox; a window has the box of its first line with one.
+    fields: doc_id, position, field, value.  tables: doc_id, page_number, table_idx, rows.
+    """
+    box = "bbox" if "bbox" in lines.columns else None
+    line = F.struct("line_number", strip(F.col("text")).alias("t"), *([box] if box else []))
+    pages = lines.where(strip(F.col("text")) != "").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(line)).alias("all"))
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(2))
+    windows = pages.select("doc_id", "page_number", F.posexplode(F.transform(starts, lambda i: F.slice("all", i + 1, F.lit(3)))).alias("place", "part"))
+    boxes = F.get(F.filter(F.transform("part", lambda s: s[box]), lambda b: b.isNotNull()), F.lit(0)) if box else F.lit(None).cast("string")
+    made = windows.select("doc_id", F.lit(2).alias("kind"), "page_number", "place", F.lit(None).cast("string").alias("chunk_id"), F.array_join(F.transform("part", lambda s: s["t"]), " ").alias("text"), F.lit("ocr_text").alias("type"), F.when(F.size("part") == 3, F.lit(3)).alias("line_count"), boxes.alias("bbox"))
+    no_box = F.lit(None).cast(made.schema["bbox"].dataType).alias("bbox")
+    if fields is not None:
+        made = made.unionByName(summary_chunks(fields).select("doc_id", F.lit(0).alias("kind"), "page_number", F.lit(0).alias("place"), "chunk_id", "text", F.lit("structured_summary").alias("type"), F.lit(None).cast("int").alias("line_count"), no_box))
+    if tables is not None:
+        of_tables = tables.select("doc_id", F.col("table_idx").alias("t"), "page_number")
+        rows = table_row_chunks(tables).withColumns({"t": F.regexp_extract("chunk_id", r"_t(\d+)_r\d+$", 1).cast("int"), "r": F.regexp_extract("chunk_id", r"_r(\d+)$", 1).cast("int")})
+        rows = rows.join(of_tables, ["doc_id", "t"])
+        made = made.unionByName(rows.select("doc_id", F.lit(1).alias("kind"), "page_number", (F.col("t").cast("bigint") * (1 << 31) + F.col("r")).alias("place"), "chunk_id", "text", F.lit("table_row").alias("type"), F.lit(None).cast("int").alias("line_count"), no_box))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", F.when(F.col("kind") == 2, F.col("page_number")), "place")) - 1
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_p"), F.col("page_number").cast("string"), F.lit("_"), F.col("chunk_idx").cast("string"))
+    out = made.withColumn("chunk_idx", index.cast("bigint"))
+    return out.select("doc_id", F.coalesce("chunk_id", name).alias("chunk_id"), "chunk_idx", "page_number", "text", "type", "line_count", "bbox")
+
+
+def document_meta(chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """doc_id, title (the id where none is known) and chunk_count of indexed documents."""
+    stats = index_stats(chunks)
+    title = F.col("doc_id").cast("string")
+    if titles is None:
+        return stats.select("doc_id", title.alias("title"), "chunk_count")
+    return stats.join(titles.select("doc_id", "title"), "doc_id", "left").select("doc_id", F.coalesce("title", title).alias("title"), "chunk_count")
+
+
 def index_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
 

@@ -29,7 +29,7 @@ def line_value(field: str, line: Column) -> Column:
             return F.when(F.char_length(raw) >= 3, raw)
         return raw
 
-    tries = [bound(strip(first_group(line, pattern)), acceptable) for pattern in fixed.PATTERNS[field]]
+    tries = [bound(F.regexp_extract(line, pattern, 1), lambda raw: acceptable(strip(F.when(raw != "", raw)))) for pattern in fixed.PATTERNS[field]]
     found = F.coalesce(*tries)
     return F.when(contains_any(F.lower(line), fixed.HINTS[field]), found) if field in fixed.HINTS else found
 
@@ -42,13 +42,16 @@ def rule_fields(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
     one format when the line is found.  only: the fields to look for, all if not given.
     """
     names = only or ["vendor_name", *fixed.PATTERNS]
-    line = strip(F.col("text"))
+    line = F.col("line")
     at = F.struct("page_number", "line_number")
     values = [(f, line_value(f, line)) for f in fixed.PATTERNS if f in names]
     vendor = F.regexp_replace(line, "^[^A-Za-z0-9]+", "")
     is_vendor = (F.col("place") <= 10) & contains_any(F.lower(line), fixed.VENDOR_WORDS) & (F.char_length(vendor) >= 4)
-    # one shuffle serves the window and the aggregation
-    rows = lines.repartition("doc_id").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("line_number")))
+    # rows are placed by document first, so one shuffle serves both windows and the aggregation
+    rows = lines.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "line_number")))
+    rows = rows.withColumn("place", F.col("_n") - F.min("_n").over(Window.partitionBy("doc_id", "page_number")) + 1)
+    # a generator, so that the stripped line is computed once and not put into each expression again
+    rows = rows.select("*", F.explode(F.array(strip(F.col("text")))).alias("line"))
     rows = rows.select("doc_id", "text", at.alias("at"), F.when(is_vendor, vendor).alias("vendor_name"), *(v.alias(f) for f, v in values))
     first = [F.min_by(F.when(F.col(f).isNotNull(), F.struct("at", F.col(f).alias("value"))), F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f, _ in values]
     late = F.struct(F.col("at.page_number"), -F.col("at.line_number"))
@@ -131,13 +134,16 @@ def merge_fields(fields: DataFrame, key_values: DataFrame, extra: tuple[str, ...
 
 def key_values(lines: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """All key/values of documents: doc_id, position (from 1), page_number, key, value, confidence; a page's lines come before its words."""
-    of_lines = line_key_values(lines).select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("line_number").alias("place"), "key", "value", F.lit(fixed.LINE_PAIR).alias("confidence"))
-    both = of_lines
+    pair = lambda kind, place, confidence: F.struct("page_number", F.lit(kind).alias("kind"), F.col(place).cast("bigint").alias("place"), "key", "value", confidence.alias("confidence"))
+    of_lines = line_key_values(lines)
+    # arrays by document are joined, since what is united here would have to be dealt out by document again
+    both = of_lines.groupBy("doc_id").agg(F.collect_list(pair(0, "line_number", F.lit(fixed.LINE_PAIR))).alias("pairs"))
     if words is not None:
-        spatial = new_keys(neighbours(words), of_lines)
-        both = of_lines.unionByName(spatial.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("word_idx").alias("place"), "key", "value", "confidence"))
-    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "kind", "place"))
-    return both.select("doc_id", position.alias("position"), "page_number", "key", "value", "confidence")
+        spatial = new_keys(neighbours(words), of_lines).groupBy("doc_id").agg(F.collect_list(pair(1, "word_idx", F.col("confidence"))).alias("more"))
+        none = F.array().cast(both.schema["pairs"].dataType)
+        both = both.join(spatial, "doc_id", "full").select("doc_id", F.concat(F.coalesce("pairs", none), F.coalesce("more", none)).alias("pairs"))
+    each = both.select("doc_id", F.posexplode(F.array_sort("pairs")).alias("position", "p"))
+    return each.select("doc_id", (F.col("position") + 1).alias("position"), "p.page_number", "p.key", "p.value", "p.confidence")
 
 
 def all_fields(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -152,7 +158,11 @@ def all_fields(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     late = F.struct(F.lit(2).alias("late"), F.lit(0).alias("page_number"), F.lit(0).alias("line"), F.col("position").alias("rule"))
     name = F.when(F.col("method") == "spatial_kv", known[F.col("field")]).otherwise(strip(F.col("key")))
     amount = F.when((F.col("field") == "total_amount") & (F.col("method") == "spatial_kv"), parse_amount(F.col("value")))
-    return of_rules.unionByName(added.select("doc_id", "field", name.alias("name"), "value", amount.alias("value_num"), "page_number", "confidence", "method", late.alias("place")))
+    of_pairs = added.select("doc_id", "field", name.alias("name"), "value", amount.alias("value_num"), "page_number", "confidence", "method", late.alias("place"))
+    listed = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct(*df.columns[1:])).alias("f"))
+    both = listed(of_rules).join(listed(of_pairs).withColumnRenamed("f", "g"), "doc_id", "full")
+    none = F.array().cast(both.schema["f"].dataType)
+    return both.select("doc_id", F.explode(F.concat(F.coalesce("f", none), F.coalesce("g", none))).alias("f")).select("doc_id", "f.*")
 
 
 def extraction_results(lines: DataFrame, words: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:

@@ -54,6 +54,21 @@ def summary_chunks(spark, d):
     return chunk.summary_chunks(extract_fields(spark, d).withColumn("position", order)).select("doc_id", "chunk_id", "text")
 
 
+def extraction_result(spark, d):
+    """The whole extraction: fields of the rules and of key/values together, with type, summary and mean confidence."""
+    out = extract.extraction_results(S.invoice_lines(spark, d))
+    names = lambda c, k: F.array_join(F.transform(c, lambda f: f[k]), "|")
+    return out.select("doc_id", "document_type", "summary", "overall_confidence", names("fields", "field").alias("fields"), names("fields", "value").alias("field_values"), names("fields", "method").alias("methods"), names("key_values", "key").alias("keys"))
+
+
+def ocr_index(spark, d):
+    """Chunks of recognised documents: summary, table rows and line windows of an order."""
+    order = F.array_position(F.array(*(F.lit(f) for f in ["vendor_name", *fixed.PATTERNS])), F.col("field"))
+    tables = _tables(spark, d).select("doc_id", "page_number", F.lit(0).alias("table_idx"), "rows")
+    out = chunk.ocr_chunks(S.invoice_lines(spark, d), extract_fields(spark, d).withColumn("position", order), tables)
+    return out.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text", "type", "line_count")
+
+
 def export_rows(spark, d):
     return extract.export_rows(extract_fields(spark, d), line_key_values(spark, d))
 
@@ -159,7 +174,7 @@ def ctc_decode(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_fields, line_key_values, merge_fields, document_type, extraction_summary, summary_chunks, export_rows, doc_details, reading_order, normalized_boxes, cell_rows, cell_word_join,
+    extract_fields, line_key_values, merge_fields, document_type, extraction_summary, extraction_result, summary_chunks, ocr_index, export_rows, doc_details, reading_order, normalized_boxes, cell_rows, cell_word_join,
     table_reconstruct, table_row_chunks, line_assembly, spatial_kv, page_confidence, document_confidence, key_usage, authorized_requests, masked_keys, upload_validation, skew_angles, detected_boxes,
     glyph_confidence, ctc_decode)}
 QUERIES |= {f"extract_{f}": partial(extract_field, f) for f in ["vendor_name", *fixed.PATTERNS]}
@@ -230,6 +245,9 @@ txt AS (SELECT c.doc_id, c.cell_idx, c.row_idx, c.col_idx, coalesce(string_agg(w
 tr AS (SELECT doc_id, row_idx, string_agg(text, ' | ' ORDER BY col_idx) AS r, count(*) AS n FROM txt GROUP BY 1, 2),
 tn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS k, count(*) OVER (PARTITION BY doc_id) AS rows_ FROM tr)"""
 
+_SUMMARY = f"""SELECT doc_id, doc_id || '_summary' AS chunk_id, 'Structured Document Entities:' || chr(10) || string_agg(array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ': ' || value, chr(10) ORDER BY list_position([{", ".join(f"'{f}'" for f in _NAMES)}], field)) AS text FROM fields GROUP BY 1"""
+_TABLE_ROWS = "tc AS (SELECT doc_id, doc_id || '_t0_r' || i AS chunk_id, 'Table 1 Row ' || (i + 1) || ': ' || r AS text FROM (SELECT *, k - CASE WHEN rows_ > 1 THEN 2 ELSE 1 END AS i FROM tn WHERE k > 1 OR rows_ = 1))"
+
 ORACLES = {
     "extract_fields": f"WITH {_fields_sql(_NAMES)} SELECT * FROM fields",
     **{f"extract_{f}": f"WITH {_fields_sql([f])} SELECT doc_id, value, value_num, page_number, line_number, confidence FROM fields" for f in _NAMES},
@@ -238,7 +256,25 @@ ORACLES = {
     "extraction_summary": f"""WITH {_fields_sql(_NAMES)}, ty AS (SELECT doc_id, {_TYPE.format(x="string_agg(text, chr(10) ORDER BY line_number)")} AS document_type FROM lines GROUP BY 1),
 f AS (SELECT doc_id, max(CASE WHEN field = 'invoice_number' THEN value END) AS n, max(CASE WHEN field = 'customer_name' THEN value END) AS c, max(CASE WHEN field = 'invoice_date' THEN value END) AS d, max(CASE WHEN field = 'total_amount' THEN value_num END) AS t, avg(confidence) AS m FROM fields GROUP BY 1)
 SELECT ty.doc_id, document_type, concat_ws(' ', 'Classified as ' || upper(document_type) || '.', 'Number: ' || n || '.', 'Name: ' || c || '.', 'Date: ' || d || '.', 'Total: ' || CAST(t AS VARCHAR) || '.') AS summary, coalesce(round(m, 3), 0.85::DOUBLE) AS overall_confidence FROM ty LEFT JOIN f ON ty.doc_id = f.doc_id""",
-    "summary_chunks": f"""WITH {_fields_sql(_NAMES)} SELECT doc_id, doc_id || '_summary' AS chunk_id, 'Structured Document Entities:' || chr(10) || string_agg(array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ': ' || value, chr(10) ORDER BY list_position([{", ".join(f"'{f}'" for f in _NAMES)}], field)) AS text FROM fields GROUP BY 1""",
+    "summary_chunks": f"WITH {_fields_sql(_NAMES)} {_SUMMARY}",
+    "ocr_index": f"""WITH {_fields_sql(_NAMES)}, {_TABLE.removeprefix('WITH ')}, sm AS ({_SUMMARY}), {_TABLE_ROWS},
+ln AS (SELECT doc_id, page_number, list(t ORDER BY line_number) AS l FROM l WHERE t <> '' GROUP BY 1, 2),
+lw AS (SELECT doc_id, page_number, l, unnest(range(0, (len(l) + 1) // 2)) AS w FROM ln),
+u AS (SELECT doc_id, 0 AS kind, 1 AS page_number, 0 AS place, chunk_id, text, 'structured_summary' AS type, NULL::INTEGER AS line_count FROM sm
+  UNION ALL SELECT doc_id, 1, 1, i, chunk_id, text, 'table_row', NULL FROM (SELECT b.*, t.chunk_id, t.text FROM (SELECT *, k - CASE WHEN rows_ > 1 THEN 2 ELSE 1 END AS i FROM tn WHERE k > 1 OR rows_ = 1) b JOIN tc t ON t.chunk_id = b.doc_id || '_t0_r' || b.i)
+  UNION ALL SELECT doc_id, 2, page_number, w, NULL, array_to_string(list_slice(l, 2 * w + 1, 2 * w + 3), ' '), 'ocr_text', CASE WHEN len(l) >= 2 * w + 3 THEN 3 END FROM lw),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, CASE WHEN kind = 2 THEN page_number END, place) - 1 AS chunk_idx FROM u)
+SELECT doc_id, coalesce(chunk_id, doc_id || '_p' || page_number || '_' || chunk_idx) AS chunk_id, chunk_idx, page_number, text, type, line_count FROM n""",
+    "spatial_kv": f"""WITH {S.WORDS_SQL},
+k AS (SELECT doc_id, word_idx AS key_idx, left(text, length(text) - 1) AS key, x AS kx, y AS ky, width AS kw, greatest(20, CAST(floor(height * 1.6) AS INTEGER)) AS dy FROM words WHERE text LIKE '%:' AND length(text) > 1),
+c AS (SELECT k.*, w.word_idx AS wi, w.x AS wx, w.width AS ww, w.text AS wt, abs(w.y - ky) < dy AND w.x > kx AS beside, abs(w.x - kx) < greatest(50, kw) AND w.y - ky > 0 AND w.y - ky < dy * 3 AS under FROM k JOIN words w ON k.doc_id = w.doc_id AND w.word_idx > key_idx),
+r AS (SELECT *, CASE WHEN wx - lag(wx + ww) OVER o >= greatest(50, lag(ww) OVER o * 1.5) THEN 1 ELSE 0 END AS gap FROM c WHERE beside WINDOW o AS (PARTITION BY doc_id, key_idx, key ORDER BY wi, wx, ww, wt)),
+s AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, key_idx, key ORDER BY wi, wx, ww, wt ROWS UNBOUNDED PRECEDING) AS gaps FROM r),
+rv AS (SELECT doc_id, key_idx, key, string_agg(wt, ' ' ORDER BY wi, wx, ww, wt) AS v FROM s WHERE gaps = 0 GROUP BY 1, 2, 3),
+bv AS (SELECT doc_id, key_idx, key, arg_min(wt, wi) AS v FROM c WHERE under GROUP BY 1, 2, 3),
+f AS (SELECT k.doc_id, k.key_idx AS word_idx, k.key, coalesce(rv.v, bv.v) AS value, CASE WHEN rv.v IS NOT NULL THEN 0.87::DOUBLE ELSE 0.82::DOUBLE END AS confidence FROM (SELECT DISTINCT doc_id, key_idx, key FROM k) k
+  LEFT JOIN rv ON k.doc_id = rv.doc_id AND k.key_idx = rv.key_idx AND k.key = rv.key LEFT JOIN bv ON k.doc_id = bv.doc_id AND k.key_idx = bv.key_idx AND k.key = bv.key)
+SELECT doc_id, word_idx, key, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(key) ORDER BY word_idx) AS n FROM f WHERE value <> '') WHERE n = 1""",
     "export_rows": f"WITH {_fields_sql(_NAMES)}, {_KV} SELECT doc_id, 'Primary Field' AS category, {_NAMED} AS name, value, confidence, CASE WHEN field = 'vendor_name' THEN 'rule_based' ELSE 'regex' END AS method FROM fields UNION ALL SELECT doc_id, 'Key-Value Pair', key, value, 0.9::DOUBLE, 'spatial_kv' FROM kv",
     "doc_details": f"WITH {_fields_sql(_NAMES)}, {_PAGES}, n AS (SELECT doc_id, count(*) AS fields FROM fields GROUP BY 1) SELECT o_orderkey AS doc_id, o_orderstatus AS status, CASE WHEN wc.doc_id IS NOT NULL THEN 1 END::BIGINT AS total_pages, words AS total_words, average_confidence AS overall_confidence, fields FROM orders LEFT JOIN wc ON o_orderkey = wc.doc_id LEFT JOIN n ON o_orderkey = n.doc_id",
     "reading_order": f"""WITH {S.WORDS_SQL}, f AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) > 15 AND abs(y + height - lag(y + height) OVER w) > 15 THEN 1 ELSE 0 END AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y, word_idx)),
@@ -247,7 +283,7 @@ g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY y, word_idx ROWS
     "cell_rows": f"WITH {_ROWS} SELECT doc_id, cell_idx, row_idx, col_idx FROM placed",
     "cell_word_join": f"WITH {S.CELLS_SQL}, {S.WORDS_SQL}, t AS (SELECT c.doc_id, c.cell_idx, c.y, coalesce(string_agg(w.text, ' ' ORDER BY w.word_idx, w.text), '') AS text FROM cells c LEFT JOIN words w ON {_INSIDE} GROUP BY 1, 2, 3) SELECT doc_id, cell_idx, text, CASE WHEN text <> '' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM t",
     "table_reconstruct": f"{_TABLE} SELECT doc_id, CAST(any_value(rows_) AS INTEGER) AS num_rows, CAST(max(n) AS INTEGER) AS num_cols, coalesce(max(CASE WHEN k = 1 AND rows_ > 1 THEN r END), '') AS headers, string_agg(CASE WHEN k > 1 OR rows_ = 1 THEN r END, chr(10) ORDER BY k) AS rows FROM tn GROUP BY 1",
-    "table_row_chunks": f"{_TABLE}, b AS (SELECT *, k - CASE WHEN rows_ > 1 THEN 2 ELSE 1 END AS i FROM tn WHERE k > 1 OR rows_ = 1) SELECT doc_id, doc_id || '_t0_r' || i AS chunk_id, 'Table 1 Row ' || (i + 1) || ': ' || r AS text FROM b",
+    "table_row_chunks": f"{_TABLE}, {_TABLE_ROWS} SELECT * FROM tc",
     "page_confidence": f"WITH {_PAGES} SELECT pg.doc_id, 1 AS page_number, full_text, coalesce(average_confidence, 0) AS average_confidence, coalesce(words, 0) AS words FROM pg LEFT JOIN wc ON pg.doc_id = wc.doc_id",
     "document_confidence": f"WITH {_PAGES} SELECT doc_id, 1::BIGINT AS total_pages, words AS total_words, average_confidence AS overall_confidence FROM wc",
     "key_usage": f"WITH {S.KEYS_SQL}, {S.REQUESTS_SQL} SELECT key_id, is_active, count(ts) AS request_count, max(ts) AS last_used_at FROM keys k LEFT JOIN requests r ON k.api_key = r.api_key AND is_active GROUP BY 1, 2",

@@ -67,7 +67,29 @@ def write_index(chunks: DataFrame, path: str, replace: bool) -> None:
         return
     touched = rows.select("part").distinct()
     stay = old.join(touched, "part", "left_semi").join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-    rows.unionByName(stay).persist().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    # held while the partitions that it was read from are replaced
+    whole = rows.unionByName(stay).persist()
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    whole.unpersist()
+
+
+def load_index(spark: SparkSession, path: str, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks and metadata (doc_id, title, chunk_count) of a stored index; files that cannot be read are skipped.
+
+    meta: doc_id and title of the documents that have some; the title of the others is their id.
+    """
+    chunks = spark.read.option("ignoreCorruptFiles", "true").parquet(path).drop("part")
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    if meta is None:
+        return chunks, counts.select("doc_id", F.col("doc_id").cast("string").alias("title"), "chunk_count")
+    known = counts.join(meta.select("doc_id", "title"), "doc_id", "left")
+    return chunks, known.select("doc_id", F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), "chunk_count")
+
+
+def with_status(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """documents (doc_id, status, ...) with the latest status of their events (doc_id, at, status), if they have any."""
+    latest = events.groupBy("doc_id").agg(F.max_by("status", "at").alias("_latest"))
+    return documents.join(latest, "doc_id", "left").withColumn("status", F.coalesce("_latest", "status")).drop("_latest")
 
 
 def without_document(chunks: DataFrame, gone: DataFrame) -> DataFrame:
