@@ -54,8 +54,8 @@ def expand(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     """
     head = F.concat(F.lit(OPEN), escaped(F.coalesce(F.col(role), F.lit(""))), F.lit(MIDDLE))
     body = escaped(F.coalesce(F.col(text), F.lit("")))
-    turns = rows.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), head.alias("head"), body.alias("body"))
-    order = Window.partitionBy("key").orderBy("turn", "role", "body")
+    turns = rows.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), head.alias("head"), body.alias("body"))
+    order = Window.partitionBy("key").orderBy("turn", "role", "text")
     whole = Window.partitionBy("key")
     turns = turns.withColumn("place", F.row_number().over(order)).withColumn("turns", F.count(F.lit(1)).over(whole))
     before = F.array_join(F.collect_list(F.concat("head", "body", F.lit(CLOSE))).over(order.rowsBetween(Window.unboundedPreceding, -1)), "")

@@ -83,18 +83,18 @@ def threshold(wanted: float, count: int) -> int:
 
 
 def bounded_sample(df: DataFrame, counts: dict, key: str, group: str, per_group: int, seed: str) -> DataFrame:
-    """The ``per_group`` rows of each group with the smallest hashes of their keys (all rows of a smaller group).
+    """The ``per_group`` rows of each group with the smallest hashes (all rows of a smaller group).
 
     counts: rows of each group, see label_counts(); other groups give none.  The scan thins each group to
     about twice what is wanted, a window with a limit does the rest, so no more than per_group rows a group are
-    left, also where a key repeats.  The same rows give the same sample however they are partitioned.
+    left, also where rows repeat; equal rows come all or none.  The same rows give the same sample however they are partitioned.
     """
     spark = df.sparkSession
     if not counts:
         return df.limit(0)
     label, at, below = unused(df, "_label"), unused(df, "_at"), unused(df, "_below")
     limits = spark.createDataFrame([(g, threshold(2 * per_group + 50, n)) for g, n in counts.items()], f"{label} {df.schema[group].dataType.simpleString()}, {below} long")
-    thinned = df.withColumn(at, spread(seed, key)).join(F.broadcast(limits), F.col(group) == F.col(label)).where(F.col(at) <= F.col(below))
+    thinned = df.withColumn(at, spread(seed, key, *(c for c in df.columns if c != key))).join(F.broadcast(limits), F.col(group) == F.col(label)).where(F.col(at) <= F.col(below))
     order = Window.partitionBy(label).orderBy(at, *(c for c in df.columns if c not in (at, label)))
     rank = unused(df, "_rank")
     return thinned.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= per_group).select(*df.columns)

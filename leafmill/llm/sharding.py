@@ -5,12 +5,15 @@ size.  A cell of this 16 x 16 x 16 grid has an index on the three-dimensional Hi
 neighbours on the curve are neighbours in every dimension, and a shard, a run of the curve, spans a
 small box of the metadata space that a reader can prune by.
 
+Equal texts form a group: all of them take the cell of the group's first labels, so they are neighbours on
+the curve, whatever their own source and language, and lie in one shard unless one of the cuts that the law
+fixes falls into the group.
+
 The law is ``rows``: shard k of n holds ranks floor(k*N/n) to floor((k+1)*N/n), so counts differ by one
 at most.  Ranks are global without sorting everything in one task: each curve cell is divided into
-sub-cells (by checksum, so equal texts stay neighbours, and by a hash of the key, so one hot cell or
-one repeated text is divided too); a rank is the number of rows in earlier cells, in earlier
-sub-cells of the cell, and before the row in its sub-cell.  The cells are a fixed number (4,096), the
-sub-cells of a cell as well (4,096).
+4,096 sub-cells by checksum, a sub-cell by checksum, and the rows of one checksum by a hash of the key into
+64 parts, so one hot cell or one repeated text is divided, too.  A rank is the number of rows in earlier cells,
+in earlier sub-cells of the cell, in earlier parts of the sub-cell, and before the row in its part.
 
 Only DataFrame functions are used.
 
@@ -66,7 +69,7 @@ def quantised(size: Column, *labels: Column) -> Column:
     octave = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(size.cast("double"))) - 4)).cast("bigint")
     cell = F.lit(0).cast("bigint")
     for label in labels:
-        cell = cell * 16 + F.pmod(F.xxhash64(F.coalesce(label.cast("string"), F.lit("\x00"))), F.lit(16))
+        cell = cell * 16 + F.pmod(F.xxhash64(label), F.lit(16))
     return cell * 16 + octave
 
 
@@ -74,28 +77,36 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     """key, size, text_crc32, law, shard, slot and grown_shard of every row; see the module's text."""
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("key"),
         (F.octet_length(raw) + 8).cast("bigint").alias("size"),
-        F.crc32(raw.cast("binary")).alias("text_crc32"),
-        *(F.col(c).alias(f"_label{k}") for k, c in enumerate(labels)),
+        F.crc32(raw.cast("binary")).alias("crc"),
+        F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"label{k}") for k, c in enumerate(labels))).alias("labels"),
     )
+    groups = rows.groupBy("size", "crc").agg(F.min("labels").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(groups, ["size", "crc"], "left").withColumn("labels", F.coalesce("first", "labels"))
     rows = rows.select(
-        key, "size", "text_crc32", quantised(F.col("size"), F.col("_label1"), F.col("_label0")).alias("cell"),
-        (F.shiftright("text_crc32", 26) * 64 + F.pmod(F.xxhash64(key), F.lit(64))).alias("sub"),
+        "key", "size", "crc", quantised(F.col("size"), F.col("labels.label1"), F.col("labels.label0")).alias("cell"),
+        F.shiftright("crc", 20).alias("sub"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("part"),
     )
     rows = rows.join(F.broadcast(curve(docs.sparkSession)), "cell").drop("cell")
-    counts = rows.groupBy("at", "sub").count()
-    inside = counts.withColumn("in_cell", F.sum("count").over(Window.partitionBy("at").orderBy("sub")) - F.col("count"))
-    cells = counts.groupBy("at").agg(F.sum("count").alias("n"))
+    parts = rows.groupBy("at", "sub", "crc", "size", "part").count()
+    subs = parts.groupBy("at", "sub").agg(F.sum("count").alias("count"))
+    inside = subs.withColumn("in_cell", F.sum("count").over(Window.partitionBy("at").orderBy("sub")) - F.col("count"))
+    cells = subs.groupBy("at").agg(F.sum("count").alias("n"))
     # 4,096 rows at most, whatever the input
     before = cells.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    offsets = inside.join(before, "at").select("at", "sub", (F.col("in_cell") + F.col("before")).alias("offset"), "total")
-    place = F.row_number().over(Window.partitionBy("at", "sub").orderBy("text_crc32", key)) - 1
-    ranked = rows.withColumn("_place", place).join(offsets, ["at", "sub"]).withColumn("_rank", F.col("offset") + F.col("_place"))
+    offsets = inside.join(F.broadcast(before), "at").select("at", "sub", (F.col("in_cell") + F.col("before")).alias("offset"), "total")
+    in_sub = F.sum("count").over(Window.partitionBy("at", "sub").orderBy("crc", "size", "part")) - F.col("count")
+    placed = parts.withColumn("in_sub", in_sub).join(offsets, ["at", "sub"]).select("at", "sub", "crc", "size", "part", (F.col("offset") + F.col("in_sub")).alias("start"), "total")
+    place = F.row_number().over(Window.partitionBy("at", "sub", "crc", "size", "part").orderBy("key")) - 1
+    ranked = rows.withColumn("place", place).join(placed, ["at", "sub", "crc", "size", "part"]).withColumn("rank", F.col("start") + F.col("place"))
     # rank r lies in shard k where floor(k*N/n) <= r < floor((k+1)*N/n)
-    ranked = ranked.withColumn("shard", F.expr(f"int(((_rank + 1) * {shards} - 1) div total)"))
-    slot = F.col("_rank") - F.expr(f"(shard * total) div {shards}")
-    return ranked.select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("at").cast("int").alias("curve_at"))
+    ranked = ranked.withColumn("shard", F.expr(f"int(((rank + 1) * {shards} - 1) div total)"))
+    slot = F.col("rank") - F.expr(f"(shard * total) div {shards}")
+    return ranked.select(
+        F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", slot.cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("at").cast("int").alias("curve_at"),
+    )
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
