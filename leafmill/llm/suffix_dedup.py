@@ -284,7 +284,7 @@ def merge_transforms(collection: Collection, cuts: np.ndarray, rounds: int = LEN
         order = c.order(lo, hi)
         node = np.where(order >= c.symbols, order - c.symbols, order - c.step)  # what stands one symbol earlier
         starts = (order < c.symbols) & (c.at[np.minimum(order, c.symbols - 1)] < c.step)
-        before.append(np.where(starts, 0, c.code[np.where(starts, 0, node)]))
+        before.append(np.where(starts, 0, c.code[np.where(starts, 0, node)]).astype(np.int32))
         orders.append(order)
         ends.append(int((order >= c.symbols).sum()))
     origin = np.repeat(np.arange(len(orders), dtype=np.uint8), [len(o) for o in orders])
@@ -292,7 +292,7 @@ def merge_transforms(collection: Collection, cuts: np.ndarray, rounds: int = LEN
     common = np.full(len(origin), rounds, np.int8)
     bottom = np.repeat(np.arange(len(orders), dtype=np.uint8), ends)  # the ends keep their shards' order
     for depth in range(rounds):
-        symbol = np.empty(len(origin), np.int64)
+        symbol = np.empty(len(origin), np.int32)
         for k, transform in enumerate(before):
             symbol[origin == k] = transform
         inner = np.flatnonzero(symbol)
@@ -303,7 +303,7 @@ def merge_transforms(collection: Collection, cuts: np.ndarray, rounds: int = LEN
         split[len(bottom) + 1 :] = (code[1:] != code[:-1]) | (was[1:] != was[:-1])
         # a place at which neighbours part stays one, so the first round that parts them tells their common prefix
         common[split & (common == rounds)] = depth
-        block = np.cumsum(split)
+        block = np.cumsum(split, dtype=np.int32)
         origin = np.concatenate([bottom, origin[move]])
     nodes = np.empty(len(origin), np.int64)
     for k, order in enumerate(orders):
