@@ -13,7 +13,8 @@ similarities closely from 64 bytes a document.
      over MARGIN standard deviations more bits than at the threshold); the rest is confirmed on full sets.
   4. Links join into components.  Where a large bucket still holds several components, the pairs that
      lie across them are all tested as well, in blocks of members: the blocks' members travel, not
-     their pairs, and a block is compared by population counts and exact intersections.
+     their pairs, and a block is compared by population counts and exact intersections.  Blocks of the
+     bucket's largest component meet only blocks of other members.
 
 So every pair that shares a band is either confirmed or ruled out, or already in one component.  The number
 of bands follows from the threshold, so that a pair at the threshold misses all of them with a probability
@@ -203,6 +204,25 @@ def text_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def across(met: DataFrame) -> DataFrame:
+    """(bucket, id, component) to the members of mixed buckets, once for each pair (lo, hi) of blocks that they take part in.
+
+    The largest component of a bucket has blocks of its own, and no two of these meet, since a pair
+    inside one component need not be tested.  So a bucket of one large component and some other members
+    grows with its size, not with its square.
+    """
+    parts = met.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = F.col("main.size")
+    cuts = mixed.select("bucket", F.col("main.component").alias("main"), *(F.ceil(size / BLOCK).cast("int").alias(name) for name, size in (("inner", main), ("outer", F.col("members") - main))))
+    own = met.join(cuts, "bucket").withColumn("inside", F.col("component") == F.col("main"))
+    # blocks below `outer` hold the other members, the rest the largest component
+    own = own.withColumn("block", F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int"))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return own.select("bucket", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
 def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
     """Pairs (a, b) whose components are those of all links; docs has id and text, signed one row of each class."""
     met = signed.select("id", F.explode("bands").alias("bucket"))
@@ -222,14 +242,11 @@ def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
         return found
     first = components(found)
     many = many.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = many.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("bucket")
-    rest = checkpoint(many.join(mixed, "bucket").select("bucket", "id", "component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    rest = checkpoint(across(many))
     if rest.isEmpty():
         return found
     sets = text_of(docs, rest.select("id")).mapInArrow(packed_sets, "id long, hashes binary")
-    rest = rest.join(signed.select("id", "n", "sketch", "bands"), "id").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    rest = rest.join(signed.select("id", "n", "sketch", "bands"), "id").join(sets, "id")
     more = rest.groupBy("bucket", "lo", "hi").applyInPandas(block_links(by), "a long, b long")
     return found.unionByName(checkpoint(more))
 

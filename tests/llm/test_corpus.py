@@ -53,6 +53,28 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(small).collect()} == want
 
 
+def test_blocks_of_a_mixed_bucket_meet_across_components_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    component = [0] * 60 + [1] * 7 + [2] * 3 + [3]
+    met = [(5, i, c) for i, c in enumerate(component)] + [(6, i, 0) for i in range(30)]
+    rows = near_dedup.across(spark.createDataFrame(met, "bucket long, id long, component long")).collect()
+    assert {r["bucket"] for r in rows} == {5}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["lo"], r["hi"]), []).append((r["id"], r["block"]))
+    tested = Counter()
+    for (lo, hi), members in groups.items():
+        for a, x in members:
+            for b, y in members:
+                if (x, y) == (lo, hi) and (lo < hi or a < b):
+                    tested[min(a, b), max(a, b)] += 1
+    pairs = {(a, b) for a in range(len(component)) for b in range(a) if component[a] != component[b]}
+    assert {(b, a) for a, b in pairs} <= set(tested)
+    assert set(tested.values()) == {1}
+    # 60 members meet the 3 blocks of the other 11, which meet 18 blocks
+    assert len(rows) == 60 * 3 + 11 * 18
+
+
 def edited(rng, size, share):
     """Two texts of size different words whose shingle sets have about that similarity: every edit in the middle takes five shingles."""
     a = [f"v{rng.randrange(10**9)}" for _ in range(size)]
