@@ -15,7 +15,7 @@ Score: the words of a text walk through the table in step, all words of a block
 after two or three letters.  What is left are hits: exact or misspelled words, and stems.  Each hit
 looks at its context: a hit between quotation marks or after a word of report counts as quoted, unless
 the text addresses somebody close by.  A logistic model with prior weights, fitted on the same sample,
-turns the counts of abusive and quoted, exact and misspelled hits into a score.
+turns the counts of words, misspelled words and stems, abusive and quoted, into a score.
 
 Edge cases: a null or empty text has no hits and gets the score of a text without hits; very long texts
 are blocks of their own; repeated rows are scored like any row; without labelled rows the lexicon is
@@ -51,8 +51,12 @@ THRESHOLD = 0.7
 #: Words of report and of address in the languages at hand.
 REPORT = "said says say wrote writes called quoted quote quotes reads dit écrit appelé sagte schrieb nannte dijo escribió llamó"
 ADDRESS = "you your youre du dich dir dein ihr euch tu toi te ton vous votre tú usted ti vosotros"
-#: Prior weights: intercept, then exact and misspelled abuse, exact and misspelled quotation.
-PRIOR, SPREAD = np.array([-4.0, 7.0, 5.0, 2.5, 1.8]), np.array([1.5, 1.0, 1.0, 0.8, 0.8])
+#: What a hit can be; stems are rarer proof than whole words, since other words begin with them, too.
+WORD, MISSPELLED, STEM_HIT = 1, 2, 3
+#: Prior weights: intercept, then words, misspelled words and stems, as abuse and as quotation.
+PRIOR, SPREAD = np.array([-4.0, 4.8, 3.5, 3.5, 1.7, 1.2, 1.2]), np.array([1.5, 1.0, 1.0, 1.0, 0.6, 0.6, 0.6])
+#: Hits of a kind from which further ones add nothing to the evidence.
+SATURATED = 4
 
 
 class Automaton:
@@ -133,14 +137,16 @@ class Automaton:
             at = children[at][c]
         return at
 
-    def walk(self, data: np.ndarray, w: Words) -> np.ndarray:
-        """0, 1 or 2 for every word."""
+    def walk(self, data: np.ndarray, w: Words, stem: int = WORD) -> np.ndarray:
+        """0, 1 or 2 for every word, and ``stem`` for words that begin with one."""
+        accept = self.accept.copy()
+        accept[1] = stem
         out, cls = np.zeros(len(w.starts), np.int8), self.byte_class[data]
         live, state, at = np.arange(len(w.starts)), np.full(len(w.starts), self.start), w.starts
         while len(live):
             state = self.step[state * self.classes + cls[at]]
             over = at + 1 == w.ends[live]
-            out[live[over]] = self.accept[state[over]]
+            out[live[over]] = accept[state[over]]
             go = ~over & (state != 0)
             live, state, at = live[go], state[go], at[go] + 1
         return out
@@ -170,11 +176,11 @@ def quote_marks(data: np.ndarray) -> np.ndarray:
 
 
 def hit_counts(automaton: Automaton, block: Block) -> np.ndarray:
-    """Counts of exact and misspelled abuse and of exact and misspelled quotation, by row, of lower-case texts."""
+    """Counts of words, misspelled words and stems as abuse, then as quotation, by row, of lower-case texts."""
     w = words(block, punctuation(block.data))
-    found = automaton.walk(block.data, w)
+    found = automaton.walk(block.data, w, STEM_HIT)
     hits = np.flatnonzero(found)
-    out = np.zeros((block.rows, 4))
+    out = np.zeros((block.rows, 6))
     if not len(hits):
         return out
     row = np.searchsorted(w.rows, hits, "right") - 1
@@ -193,7 +199,7 @@ def hit_counts(automaton: Automaton, block: Block) -> np.ndarray:
         report |= inside & _among(h, _REPORT) & (d < 0)
     score = np.minimum(left, 1) + np.minimum(right, 1) + report - 2 * address
     quoted = score >= 2
-    np.add.at(out, (row, quoted * 2 + (found[hits] == 2)), 1)
+    np.add.at(out, (row, quoted * 3 + found[hits] - 1), 1)
     return out
 
 
@@ -245,9 +251,14 @@ def choose_lexicon(prefixes: list, toxic: int, clean: int) -> list[tuple[str, bo
     return [k for k, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]]
 
 
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """What the logistic model sees of the counts of hits."""
+    return np.minimum(counts, SATURATED)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Maximum a posteriori weights under independent normal priors, by damped Newton steps."""
-    x = np.column_stack([np.ones(len(x)), np.log1p(x)])
+    x = np.column_stack([np.ones(len(x)), evidence(x)])
     beta = PRIOR.copy()
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -264,7 +275,7 @@ class Model:
 
     def score(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         counts = hit_counts(self.automaton, block)
-        return 1 / (1 + np.exp(-(self.beta[0] + np.log1p(counts) @ self.beta[1:]))), counts
+        return 1 / (1 + np.exp(-(self.beta[0] + evidence(counts) @ self.beta[1:]))), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -289,12 +300,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     terms = choose_lexicon(prefix.collect(), sizes[1], sizes[0])
     automaton = Automaton(terms, keep_first=False)
 
+    counts = [f"n{k}" for k in range(6)]
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), *(pa.array(c) for c in hit_counts(automaton, b).T)], names=["label", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), *(pa.array(c) for c in hit_counts(automaton, b).T)], names=["label", *counts])
 
-    seen = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(counted, "label int, a double, b double, c double, d double").orderBy("label", "a", "b", "c", "d").collect()], float)
+    seen = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(counted, ", ".join(["label int", *(f"{c} double" for c in counts)])).orderBy("label", *counts).collect()], float)
     y = seen[:, 0]
     weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     return Model(terms, fit_logistic(seen[:, 1:], y, weight * len(y) / weight.sum()))
@@ -311,7 +324,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for b in blocks(batch.column(batch.num_columns - 1)):
                 p, n = shared.value.score(b)
-                out = [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), *(pa.array(n[:, k : k + 2].sum(axis=1).astype(np.int64)) for k in (0, 2))]
+                out = [pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), *(pa.array(n[:, k : k + 3].sum(axis=1).astype(np.int64)) for k in (0, 3))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(b.lo, b.rows) for c in batch.columns[:-1]), *out], names=schema.names)
 
     return docs.select(*rest, F.lower(text).alias(unused(docs, "_text"))).mapInArrow(run, schema)
