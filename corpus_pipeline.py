@@ -18,10 +18,18 @@ from leafmill.llm.common import fold, shared_folder, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Similarity of near copies in hundredths; op9's own query has another.
 NEAR = 80
+#: Bytes of an Arrow batch between Spark and Python, unless the session sets another number: texts go in whole, so rows alone don't bound a batch.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language can be told; a text without a letter is rejected.  The model learns from the stage's own input."""
+    bound_batches(spark)
     model = language.fit(docs.where(fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang"))
     told = language.predict(docs.withColumn("_read", F.col("text")), model, "_read")
     return told.where(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
@@ -34,17 +42,20 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, which are links of similarity NEAR."""
+    bound_batches(spark)
     gone = near_dedup.near_duplicates(docs, threshold=NEAR).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item."""
+    bound_batches(spark)
     return decontamination.kept_rows(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and the decoded text."""
+    bound_batches(spark)
     out = pieces.encode(docs.withColumn("_read", F.col("text")), pieces.default_model(), "_read")
     return out.select(*COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
 
