@@ -24,7 +24,7 @@ def test_one_row_for_each_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_language_id", "op2_toxicity", "op3_suffix_dedup", "op5_hilbert_shards", "op6_weak_label_quality", "op9_minhash_odd_sketch", "op10_sentencepiece"):
         assert registry.queries()[name](spark, SF).count() == n, name
-    assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in registry.queries()}
+    assert {f"op{k}" for k in range(1, 14)} == {q.split("_")[0] for q in registry.queries()}
 
 
 def test_pipeline(spark):
