@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.llm import alignment, chat, decontamination, exact_dedup, language, near_dedup, packing, pieces, quality, sharding, suffix_dedup, toxicity
+from leafmill.llm import alignment, chat, decontamination, exact_dedup, language, near_dedup, packing, phrases, pieces, quality, sharding, suffix_dedup, toxicity
 
-MODULES = (language, toxicity, suffix_dedup, chat, sharding, quality, exact_dedup, decontamination, near_dedup, pieces, alignment, packing)
+MODULES = (language, toxicity, suffix_dedup, chat, sharding, quality, exact_dedup, decontamination, near_dedup, pieces, phrases, alignment, packing)
 
 
 def queries() -> dict:
