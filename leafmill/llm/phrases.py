@@ -3,12 +3,15 @@
 Every word occurrence is a pointer to itself and the words after it, up to LONGEST in all and never across the end of a
 piece: the projection of each prefix that begins there.  Patterns grow to the right only:
 
-  1. Equal projections of a block of texts are counted where they are read, and summed over the corpus.
-  2. The sums are range-partitioned and sorted by language and words, so the projected database of each prefix is a run
+  1. Words are counted, and then neighbours of frequent words.  A sieve, a bitmap of fixed size, remembers which are
+     frequent; it passes all of them and few others, so it saves work and decides nothing.  A projection ends
+     where the sieve stops the next neighbours: no frequent phrase goes on there.
+  2. Equal projections of a block of texts are counted where they are read, and summed over the corpus.
+  3. The sums are range-partitioned and sorted by language and words, so the projected database of each prefix is a run
      of neighbouring rows, and the one of every longer prefix a run inside it.  A task takes its prefixes one by
      one: it holds pointers to the run, cuts it where the next word changes, and grows each part that is frequent
      depth-first.  A part that is not frequent is not looked into again.
-  3. A run may go on beyond a task's rows (a prefix with a third of all rows is shared by many tasks): the prefixes
+  4. A run may go on beyond a task's rows (a prefix with a third of all rows is shared by many tasks): the prefixes
      at the first and last row are given out with what was counted, whole or not, and summed at the end.
 
 Counts of all frequent phrases of 1 to LONGEST words follow.  Each part of a frequent phrase is frequent, so scores
@@ -22,6 +25,7 @@ rows; columns other than the text and the language are not read, so their names
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +34,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table, written
-from leafmill.llm.textbytes import LOWER, Block, Words, arrow_bytes, blocks, buffer, gather_ranges, same_ranges, words
+from leafmill.llm.textbytes import LOWER, U64, Block, arrow_bytes, blocks, buffer, gather_ranges, mix, range_hashes, same_ranges, words
 
 LONGEST, LEAST = 4, 30
 #: A phrase goes where a longer one that holds it has this share of its count, in hundredths.
 HELD = 80
 BEST, SCALE = 2000, 2_000_000
 #: Bytes of text whose equal projections are counted together before anything is shuffled.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Projections that are handed on together.
-ROWS = 100_000
+ROWS = 20_000
+#: Bits of a sieve (8 MB), and how many of them a phrase sets.
+BITS, PROBES = 1 << 26, 3
 
 GAP = np.zeros(256, bool)
 GAP[[9, 32, *b".,;:!?", 10, 11, 12, 13]] = True
@@ -48,53 +54,108 @@ END[[*b".,;:!?", 10, 11, 12, 13]] = True
 SPACE = 32
 
 
-def word_codes(data: np.ndarray, w: Words) -> tuple[np.ndarray, pa.Array]:
-    """A number for each word, and the different words by number."""
-    lengths = w.ends - w.starts
+@dataclass
+class Tokens:
+    """Words of a block: a number for each different word, whether the next one is in the same piece, its language, and hashes."""
+
+    codes: np.ndarray
+    joined: np.ndarray
+    group: np.ndarray
+    name_bytes: np.ndarray
+    name_at: np.ndarray
+    name_hashes: np.ndarray
+    group_hashes: np.ndarray
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Of the language and the ``size`` words from each place on."""
+        return phrase_hashes(self.group_hashes[self.group[at]], [self.name_hashes[self.codes[at + k]] for k in range(size)])
+
+
+def phrase_hashes(langs: np.ndarray, words_of: list[np.ndarray]) -> np.ndarray:
+    h = langs
+    for w in words_of:
+        h = mix(h * U64(3) ^ w)
+    return h
+
+
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    data, offsets = buffer(texts)
+    return range_hashes(data, offsets[:-1], offsets[1:])
+
+
+def tokens(block: Block, group: np.ndarray, group_hashes: np.ndarray) -> Tokens:
+    data = LOWER[block.data]
+    w = words(Block(block.lo, block.hi, data, block.offsets), GAP)
+    lengths, row = w.ends - w.starts, w.row_of()
     flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(data[gather_ranges(w.starts, lengths)])])
     coded = flat.dictionary_encode()
-    return np.asarray(coded.indices).astype(np.int64), coded.dictionary
+    name_bytes, name_at = buffer(coded.dictionary)
+    # two neighbours are of one piece where no sign lies between them and no row ends
+    signs = np.concatenate([[0], np.cumsum(END[data])])
+    joined = np.append((signs[w.starts[1:]] == signs[w.ends[:-1]]) & (row[1:] == row[:-1]), False) if len(row) else np.zeros(0, bool)
+    return Tokens(np.asarray(coded.indices).astype(np.int64), joined, group[row], name_bytes, name_at, range_hashes(name_bytes, name_at[:-1], name_at[1:]), group_hashes)
+
+
+@dataclass
+class Sieve:
+    """A Bloom filter of BITS bits, whatever it holds."""
+
+    bits: np.ndarray
+
+    @staticmethod
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        step = (h >> U64(32)) | U64(1)
+        return [((h + U64(j) * step) & U64(BITS - 1)).astype(np.int64) for j in range(PROBES)]
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for at in self.places(h):
+            out &= (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1) == 1
+        return out
+
+
+def sieve(frequent: DataFrame, size: int) -> Sieve:
+    """A filter of (lang, phrase) of ``size`` words each; what is collected has the filter's fixed size."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer(pc.binary_join_element_wise(pc.cast(batch.column(1), pa.binary()), b"", b" "))
+            ends = word_ends(data, offsets, size)
+            begins = [offsets[:-1], *ends[:-1]]
+            h = phrase_hashes(text_hashes(batch.column(0)), [range_hashes(data, b, e - 1) for b, e in zip(begins, ends, strict=True)])
+            at = np.concatenate(Sieve.places(h))
+            word, which = np.unique(at >> 6, return_inverse=True)
+            mask = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(mask, which, U64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    found = frequent.select("lang", "phrase").mapInArrow(place, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    bits = np.zeros(BITS >> 6, np.uint64)
+    bits[np.asarray(found.column("word"), np.int64)] = np.asarray(found.column("mask"), np.int64).view(np.uint64)
+    return Sieve(bits)
 
 
-def projections(block: Block, group: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's different projections: their group (a number for each row of the block), words, word offsets and counts.
+def projections(t: Tokens, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different runs of ``size`` words from the places ``at`` on: their language, words, word offsets and counts.
 
     Words are given as ranges of the returned bytes, a space after each.  (group, bytes, offsets, counts)
     """
-    data = LOWER[block.data]
-    w = words(Block(block.lo, block.hi, data, block.offsets), GAP)
-    n = len(w.starts)
-    if not n:
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    codes, names = word_codes(data, w)
-    row = w.row_of()
-    # two neighbours are of one piece where no sign lies between them and no row ends
-    signs = np.concatenate([[0], np.cumsum(END[data])])
-    joined = np.append((signs[w.starts[1:]] == signs[w.ends[:-1]]) & (row[1:] == row[:-1]), False)
-    following = np.full((longest, n + longest), -1, np.int64)
-    live = np.ones(n, bool)
-    following[0, :n] = codes
-    for k in range(1, longest):
-        live[: n - k + 1] &= joined[k - 1 :]
-        live[n - k + 1 :] = False
-        at = np.flatnonzero(live)
-        following[k, at] = codes[np.minimum(at + k, n - 1)]
-    key, below, width = group[row], int(group.max()) + 1, len(names) + 1
-    for k in range(longest):
+    codes = np.append(t.codes, np.zeros(int(size.max()), np.int64))
+    columns = [np.where(size > k, codes[at + k] + 1, 0) for k in range(int(size.max()))]
+    key, below, width = t.group[at], int(t.group.max()) + 1, len(t.name_at)
+    for column in columns:
         if below * width >= 1 << 62:  # number what there is anew
-            key, below = np.unique(key, return_inverse=True)[1], n
-        key, below = key * width + following[k, :n] + 1, below * width
+            key, below = np.unique(key, return_inverse=True)[1], len(at)
+        key, below = key * width + column, below * width
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    parts = following[:, first].T.ravel()
-    parts = parts[parts >= 0]
-    size = (following[:, first] >= 0).sum(axis=0)
-    name_at = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, names.offset * 8)
-    name_bytes = np.frombuffer(names.buffers()[2], np.uint8)
-    lengths = name_at[parts + 1] - name_at[parts]
+    parts = codes[gather_ranges(at[first], size[first])]
+    lengths = t.name_at[parts + 1] - t.name_at[parts]
     ends = np.cumsum(lengths + 1)
     out = np.full(int(ends[-1]), SPACE, np.uint8)
-    out[gather_ranges(ends - lengths - 1, lengths)] = name_bytes[gather_ranges(name_at[parts], lengths)]
-    return group[row[first]], out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])], counts
+    out[gather_ranges(ends - lengths - 1, lengths)] = t.name_bytes[gather_ranges(t.name_at[parts], lengths)]
+    return t.group[at[first]], out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size[first])])], counts
 
 
 def grow(ends: np.ndarray, changes: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
@@ -147,47 +208,93 @@ def new_prefixes(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, group:
     return out
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, phrase (words joined by spaces), k (its words) and f (its occurrences), for all phrases with f >= least.
+def projected(docs: DataFrame, choose) -> DataFrame:
+    """lang, follows and n: all different projections that ``choose`` takes (tokens to places and sizes) with their number.
 
-    A row with k = 0 and an empty phrase has the number of all word occurrences of each language.
+    An empty one has the number of all words of a language.
     """
-    told = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
-            group = np.asarray(coded.indices).astype(np.int64)
+            group, langs = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+            hashes = text_hashes(langs)
             for b in blocks(pc.cast(batch.column(1), pa.large_string()), BLOCK):
-                mine, data, offsets, counts = projections(b, group[b.lo : b.hi], longest)
+                t = tokens(b, group[b.lo : b.hi], hashes)
+                mine, data, offsets, counts = projections(t, *choose(t))
                 for lo in range(0, len(mine), ROWS):
                     hi = min(lo + ROWS, len(mine))
                     follows = arrow_bytes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], pa.binary())
-                    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(mine[lo:hi])), follows, pa.array(counts[lo:hi])], names=["lang", "follows", "n"])
-                if len(mine):
-                    total = np.bincount(mine, counts).astype(np.int64)
-                    at = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(at)), pa.array([b""] * len(at), pa.binary()), pa.array(total[at])], names=["lang", "follows", "n"])
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(mine[lo:hi])), follows, pa.array(counts[lo:hi])], names=["lang", "follows", "n"])
+                total = np.bincount(t.group, minlength=len(langs))
+                at = np.flatnonzero(total)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(at)), pa.array([b""] * len(at), pa.binary()), pa.array(total[at])], names=["lang", "follows", "n"])
+
+    return docs.mapInArrow(project, "lang string, follows binary, n long").groupBy("lang", "follows").agg(F.sum("n").alias("n"))
+
 
-    projected = told.mapInArrow(project, "lang string, follows binary, n long").groupBy("lang", "follows").agg(F.sum("n").alias("n"))
-    dealt = projected.repartitionByRange("lang", "follows").sortWithinPartitions("lang", "follows")
+def neighbours_pass(t: Tokens, frequent: Sieve) -> np.ndarray:
+    """Places whose word and the next one are of one piece and pass a sieve of words."""
+    at = np.flatnonzero(t.joined)
+    single = np.unique(t.group * np.int64(len(t.name_at)) + t.codes, return_index=True, return_inverse=True)
+    good = frequent.passes(t.hashes(single[1], 1))[single[2]]
+    return at[good[at] & good[at + 1]]
+
+
+def grown(projections_of: DataFrame, longest: int, least: int) -> DataFrame:
+    """lang, phrase, k and f of the frequent phrases of two words or more, from projections (lang, follows, n)."""
+    dealt = projections_of.where(F.octet_length("follows") > 0).repartitionByRange("lang", "follows").sortWithinPartitions("lang", "follows")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer(batch.column(1))
             group, n = np.asarray(batch.column(0).dictionary_encode().indices), np.asarray(batch.column(2))
             ends = word_ends(data, offsets, longest)
-            whole = np.flatnonzero(np.diff(offsets) == 0)
-            found = [(i, 0, int(offsets[i]), int(n[i])) for i in whole.tolist()] + list(grow(ends, new_prefixes(data, offsets, ends, group), n, least))
+            found = [x for x in grow(ends, new_prefixes(data, offsets, ends, group), n, least) if x[1] > 1]
             if found:
                 row, k, end, total = (np.array(c) for c in zip(*found, strict=True))
-                sizes = np.maximum(end - offsets[row] - 1, 0)  # without the last space
+                sizes = end - offsets[row] - 1  # without the last space
                 phrase = arrow_bytes(data[gather_ranges(offsets[row], sizes)], np.concatenate([[0], np.cumsum(sizes)]), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), phrase, pa.array(k.astype(np.int32)), pa.array(total)], names=["lang", "phrase", "k", "f"])
 
-    grown = dealt.mapInArrow(take, "lang string, phrase binary, k int, f long")
-    counts = grown.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
-    return counts.withColumn("phrase", F.col("phrase").cast("string"))
+    parts = dealt.mapInArrow(take, "lang string, phrase binary, k int, f long")
+    return parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """lang, phrase (words joined by spaces), k (its words) and f (its occurrences), for all phrases with f >= least.
+
+    A row with k = 0 and an empty phrase has the number of all word occurrences of each language.
+    """
+    told = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    share = docs.sparkSession.sparkContext.broadcast
+    phrase = F.expr("substring(follows, 1, greatest(octet_length(follows) - 1, 0))").alias("phrase")
+    every = lambda t: (np.arange(len(t.codes)), np.ones(len(t.codes), np.int64))
+    single = projected(told, every).where((F.col("n") >= least) | (F.octet_length("follows") == 0))
+    single = written(single.select("lang", phrase, F.when(F.octet_length("follows") == 0, 0).otherwise(1).alias("k"), F.col("n").alias("f")), "phrase-words")
+    of_words = share(sieve(single.where("k = 1"), 1))
+
+    def pairs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        at = neighbours_pass(t, of_words.value)
+        return at, np.full(len(at), 2)
+
+    double = projected(told, pairs).where((F.col("n") >= least) & (F.octet_length("follows") > 0))
+    of_pairs = share(sieve(double.select("lang", phrase), 2))
+
+    def runs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a frequent pair begins, and how far frequent pairs go on."""
+        at = neighbours_pass(t, of_words.value)
+        good = np.zeros(len(t.codes) + longest, bool)
+        good[at[of_pairs.value.passes(t.hashes(at, 2))]] = True
+        begin = np.flatnonzero(good)
+        size, on = np.full(len(begin), 2), np.ones(len(begin), bool)
+        for k in range(1, longest - 1):
+            on &= good[begin + k]
+            size += on
+        return begin, size
+
+    return single.unionByName(grown(projected(told, runs), longest, least)).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def times(x: str, factor: int) -> str:
