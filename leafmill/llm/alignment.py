@@ -38,7 +38,7 @@ from leafmill.llm.common import table, written
 from leafmill.llm.textbytes import Block, blocks, gather_ranges, same_ranges
 
 #: Bytes of text whose pairs share a dictionary.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Blocks of a task have numbers below 2 ** BLOCK_BITS.
 BLOCK_BITS = 24
 BAR, SEMICOLON = 124, 59

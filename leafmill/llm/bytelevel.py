@@ -9,6 +9,7 @@ the basic plane, with a special token where those count, or that is not well-for
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, field
 
@@ -23,6 +24,7 @@ PLANE = 0x10000
 LETTER, DIGIT, SIGN, BLANK, UNSEEN = 0, 1, 2, 3, 4
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 NO_IDS = np.zeros(0, np.int32)
+_KEPT: dict = {}
 
 
 def load(path: str, plain_specials: bool):
@@ -49,7 +51,7 @@ class Model:
     pair_symbols: np.ndarray
     byte_ids: np.ndarray
     _loaded: object = field(default=None, repr=False)
-    _encoders: dict = field(default_factory=dict, repr=False)
+    digest: str = ""
 
     @property
     def tokenizer(self):
@@ -62,11 +64,15 @@ class Model:
         return self._loaded
 
     def encoder(self, prefix: bool = False) -> Encoder:
-        """The process's own encoder: tasks that follow one another in a Python worker share what it remembers."""
-        return self._encoders.setdefault(prefix, Encoder(self, prefix))
+        """The process's encoder: tasks that follow one another in a Python worker share what it remembers, and there is one of it."""
+        key = (self.digest, self.plain_specials, prefix)
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = Encoder(self, prefix)
+        return _KEPT[key]
 
     def __getstate__(self):
-        return self.__dict__ | {"_loaded": None, "_encoders": {}}
+        return self.__dict__ | {"_loaded": None}
 
 
 def load_model(path: str, plain_specials: bool) -> Model:
@@ -92,7 +98,7 @@ def load_model(path: str, plain_specials: bool) -> Model:
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in kind["model"]["merges"]]
     found = sorted((ids[a] * base + ids[b], rank, ids[a + b]) for rank, (a, b) in enumerate(merges))
     alphabet = {b: c for c, b in byte_alphabet().items()}
-    return Model(content, classes, [t["content"] for t in kind.get("added_tokens", [])], plain_specials, base, *(np.array([f[k] for f in found]) for k in range(3)), np.array([ids[alphabet[b]] for b in range(256)]))
+    return Model(content, classes, [t["content"] for t in kind.get("added_tokens", [])], plain_specials, base, *(np.array([f[k] for f in found]) for k in range(3)), np.array([ids[alphabet[b]] for b in range(256)]), digest=hashlib.sha256(content.encode()).hexdigest())
 
 
 def byte_alphabet() -> dict[str, int]:
