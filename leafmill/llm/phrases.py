@@ -3,9 +3,9 @@
 Every word occurrence is a pointer to itself and the words after it, up to LONGEST in all and never across the end of a
 piece: the projection of each prefix that begins there.  Patterns grow to the right only:
 
-  1. Words are counted, and then neighbours of frequent words.  A sieve, a bitmap of fixed size, remembers which are
-     frequent; it passes all of them and few others, so it saves work and decides nothing.  A projection ends
-     where the sieve stops the next neighbours: no frequent phrase goes on there.
+  1. Words are counted, then, by hash, pairs whose words are frequent, and so on up to one word less than LONGEST.  A
+     sieve, a bitmap of fixed size, remembers what is frequent; it passes all of that and little else, so it saves work
+     and decides nothing.  A projection ends where a sieve stops it: no frequent phrase goes on there.
   2. Equal projections of a block of texts are counted where they are read, and summed over the corpus.
   3. The sums are range-partitioned and sorted by language and words, so the projected database of each prefix is a run
      of neighbouring rows, and the one of every longer prefix a run inside it.  A task takes its prefixes one by
@@ -114,27 +114,47 @@ class Sieve:
         return out
 
 
-def sieve(frequent: DataFrame, size: int) -> Sieve:
-    """A filter of (lang, phrase) of ``size`` words each; what is collected has the filter's fixed size."""
+def sieve(frequent: DataFrame) -> Sieve:
+    """A filter of hashes (column h); what is collected has the filter's fixed size."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffer(pc.binary_join_element_wise(pc.cast(batch.column(1), pa.binary()), b"", b" "))
-            ends = word_ends(data, offsets, size)
-            begins = [offsets[:-1], *ends[:-1]]
-            h = phrase_hashes(text_hashes(batch.column(0)), [range_hashes(data, b, e - 1) for b, e in zip(begins, ends, strict=True)])
-            at = np.concatenate(Sieve.places(h))
+            at = np.concatenate(Sieve.places(np.asarray(batch.column(0)).view(np.uint64)))
             word, which = np.unique(at >> 6, return_inverse=True)
             mask = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(mask, which, U64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-    found = frequent.select("lang", "phrase").mapInArrow(place, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    found = frequent.select("h").mapInArrow(place, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)
     bits[np.asarray(found.column("word"), np.int64)] = np.asarray(found.column("mask"), np.int64).view(np.uint64)
     return Sieve(bits)
 
 
+def word_hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word) to h, as Tokens hashes them."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(text_hashes(batch.column(0)), [text_hashes(batch.column(1))]).view(np.int64))], names=["h"])
+
+
+def plausible(t: Tokens, sieves: list[Sieve]) -> list[np.ndarray]:
+    """For k = 1, 2 and so on, up to one more than there are sieves: whether the k words from each place on pass all sieves of their parts.
+
+    The last one has no sieve of its own: its two longest parts have passed.
+    """
+    n = len(t.codes)
+    _, first, which = np.unique(t.group * np.int64(len(t.name_at)) + t.codes, return_index=True, return_inverse=True)
+    out = [sieves[0].passes(t.hashes(first, 1))[which]]
+    for k in range(2, len(sieves) + 2):
+        next_to = np.append(out[-1][1:], False) if n else out[-1]
+        good = out[-1] & next_to & (t.joined if k == 2 else True)
+        if k <= len(sieves):
+            at = np.flatnonzero(good)
+            good[at] = sieves[k - 1].passes(t.hashes(at, k))
+        out.append(good)
+    return out
+
+
 def projections(t: Tokens, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different runs of ``size`` words from the places ``at`` on: their language, words, word offsets and counts.
 
@@ -208,43 +228,50 @@ def new_prefixes(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, group:
     return out
 
 
-def projected(docs: DataFrame, choose) -> DataFrame:
-    """lang, follows and n: all different projections that ``choose`` takes (tokens to places and sizes) with their number.
+def token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tokens, pa.Array]]:
+    """The tokens of (lang, text) by block, and the languages that their groups are."""
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        group, hashes = np.asarray(coded.indices).astype(np.int64), text_hashes(coded.dictionary)
+        for b in blocks(pc.cast(batch.column(1), pa.large_string()), BLOCK):
+            yield tokens(b, group[b.lo : b.hi], hashes), coded.dictionary
 
-    An empty one has the number of all words of a language.
-    """
+
+def projected(docs: DataFrame, choose) -> DataFrame:
+    """lang, follows and n: all different projections that ``choose`` takes (tokens to places and sizes) with their number."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            group, langs = np.asarray(coded.indices).astype(np.int64), coded.dictionary
-            hashes = text_hashes(langs)
-            for b in blocks(pc.cast(batch.column(1), pa.large_string()), BLOCK):
-                t = tokens(b, group[b.lo : b.hi], hashes)
-                mine, data, offsets, counts = projections(t, *choose(t))
-                for lo in range(0, len(mine), ROWS):
-                    hi = min(lo + ROWS, len(mine))
-                    follows = arrow_bytes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], pa.binary())
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(mine[lo:hi])), follows, pa.array(counts[lo:hi])], names=["lang", "follows", "n"])
-                total = np.bincount(t.group, minlength=len(langs))
-                at = np.flatnonzero(total)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(at)), pa.array([b""] * len(at), pa.binary()), pa.array(total[at])], names=["lang", "follows", "n"])
+        for t, langs in token_blocks(batches):
+            mine, data, offsets, counts = projections(t, *choose(t))
+            for lo in range(0, len(mine), ROWS):
+                hi = min(lo + ROWS, len(mine))
+                follows = arrow_bytes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], pa.binary())
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(mine[lo:hi])), follows, pa.array(counts[lo:hi])], names=["lang", "follows", "n"])
 
     return docs.mapInArrow(project, "lang string, follows binary, n long").groupBy("lang", "follows").agg(F.sum("n").alias("n"))
 
 
-def neighbours_pass(t: Tokens, frequent: Sieve) -> np.ndarray:
-    """Places whose word and the next one are of one piece and pass a sieve of words."""
-    at = np.flatnonzero(t.joined)
-    single = np.unique(t.group * np.int64(len(t.name_at)) + t.codes, return_index=True, return_inverse=True)
-    good = frequent.passes(t.hashes(single[1], 1))[single[2]]
-    return at[good[at] & good[at + 1]]
+def hashed(docs: DataFrame, shared, size: int) -> DataFrame:
+    """h and n: the hashes of the ``size`` words from each plausible place on, and how often they occur."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in token_blocks(batches):
+            h, n = np.unique(t.hashes(np.flatnonzero(plausible(t, shared.value)[-1]), size), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+    return docs.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to lang and n, the number of words."""
+    for batch in batches:
+        for b in blocks(pc.cast(batch.column(1), pa.large_string()), BLOCK):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), pa.array(np.diff(words(b, GAP).rows))], names=["lang", "n"])
 
 
 def grown(projections_of: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, phrase, k and f of the frequent phrases of two words or more, from projections (lang, follows, n)."""
-    dealt = projections_of.where(F.octet_length("follows") > 0).repartitionByRange("lang", "follows").sortWithinPartitions("lang", "follows")
+    dealt = projections_of.repartitionByRange("lang", "follows").sortWithinPartitions("lang", "follows")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,32 +296,24 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     """
     told = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     share = docs.sparkSession.sparkContext.broadcast
-    phrase = F.expr("substring(follows, 1, greatest(octet_length(follows) - 1, 0))").alias("phrase")
     every = lambda t: (np.arange(len(t.codes)), np.ones(len(t.codes), np.int64))
-    single = projected(told, every).where((F.col("n") >= least) | (F.octet_length("follows") == 0))
-    single = written(single.select("lang", phrase, F.when(F.octet_length("follows") == 0, 0).otherwise(1).alias("k"), F.col("n").alias("f")), "phrase-words")
-    of_words = share(sieve(single.where("k = 1"), 1))
-
-    def pairs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        at = neighbours_pass(t, of_words.value)
-        return at, np.full(len(at), 2)
-
-    double = projected(told, pairs).where((F.col("n") >= least) & (F.octet_length("follows") > 0))
-    of_pairs = share(sieve(double.select("lang", phrase), 2))
+    single = projected(told, every).where(F.col("n") >= least)
+    word = F.expr("substring(follows, 1, octet_length(follows) - 1)").alias("phrase")
+    single = written(single.select("lang", word, F.lit(1).alias("k"), F.col("n").alias("f")), "phrase-words")
+    sieves = [sieve(single.select("lang", "phrase").mapInArrow(word_hashes_of, "h long"))]
+    for size in range(2, longest):
+        sieves.append(sieve(hashed(told, share(list(sieves)), size).where(F.col("n") >= least)))
+    shared = share(sieves)
 
     def runs(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a frequent pair begins, and how far frequent pairs go on."""
-        at = neighbours_pass(t, of_words.value)
-        good = np.zeros(len(t.codes) + longest, bool)
-        good[at[of_pairs.value.passes(t.hashes(at, 2))]] = True
-        begin = np.flatnonzero(good)
-        size, on = np.full(len(begin), 2), np.ones(len(begin), bool)
-        for k in range(1, longest - 1):
-            on &= good[begin + k]
-            size += on
-        return begin, size
-
-    return single.unionByName(grown(projected(told, runs), longest, least)).withColumn("phrase", F.col("phrase").cast("string"))
+        """Places where a plausible pair begins, and how far plausible phrases go on."""
+        good = plausible(t, shared.value)
+        begin = np.flatnonzero(good[1])
+        return begin, 2 + sum((g[begin].astype(np.int64) for g in good[2:]), np.zeros(len(begin), np.int64))
+
+    totals = told.mapInArrow(word_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("f")).where("f > 0")
+    totals = totals.select("lang", F.lit(b"").alias("phrase"), F.lit(0).alias("k"), "f")
+    return single.unionByName(totals).unionByName(grown(projected(told, runs), longest, least)).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def times(x: str, factor: int) -> str:
