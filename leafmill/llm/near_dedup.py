@@ -22,8 +22,10 @@ of MISSED at most: 26 bands (130 samples) at 0.85, 39 (195) at 0.80.
 
 Edge cases: a text without words (or null, or empty) has an empty set and is linked with nothing; a
 text of one to four words is one shingle; a null id is left out of links and is a component of its
-own; rows that repeat an id are one vertex; an empty table gives no rows; very long texts are blocks
-of their own; other columns are ignored.
+own; ids are integers, others fail; rows that repeat an id are one vertex; an empty table gives no rows; very long
+texts are blocks of their own; other columns are ignored.
+
+Words are hashed under a key that is drawn for each run, so no text can be written to look like another.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import checkpoint, table, written
 from leafmill.llm.components import components
-from leafmill.llm.textbytes import LOWER, Block, arrow_bytes, blocks, distinct_sorted, mix, mix_int, shingles, word_hashes, words
+from leafmill.llm.textbytes import LOWER, Block, arrow_bytes, blocks, distinct_sorted, mix, mix_int, new_key, shingles, word_hashes, words
 
 WORDS, THRESHOLD = 5, 85
 ROWS, SKETCH_BITS = 5, 512
@@ -77,21 +79,21 @@ def plan(threshold: int) -> Plan:
     return Plan(threshold, bands, math.ceil(mean + MARGIN * math.sqrt(max(folded, 0) + (slope * spread) ** 2)))
 
 
-def text_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, and row offsets."""
+def text_sets(block: Block, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each row, and row offsets; the key is that of the run."""
     lower = Block(block.lo, block.hi, LOWER[block.data], block.offsets)
     w = words(lower)
-    return distinct_sorted(*shingles(word_hashes(lower.data, w), w.rows, WORDS))
+    return distinct_sorted(*shingles(word_hashes(lower.data, w, key), w.rows, WORDS))
 
 
-def signatures(by: Plan):
+def signatures(by: Plan, key: int):
     factors = np.array([mix_int(k + 1) | 1 for k in range(by.samples)], np.uint64).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, text) to (id, n, d0, d1, bands, sketch)."""
         for batch in batches:
             for b in blocks(batch.column(1)):
-                values, rows = text_sets(b)
+                values, rows = text_sets(b, key)
                 n = np.diff(rows)
                 full = np.flatnonzero(n)
                 starts = rows[:-1][full]
@@ -127,13 +129,13 @@ def may_link(a: str, b: str, by: Plan) -> Column:
     return (100 * small >= by.threshold * large) & (ones <= by.most_ones)
 
 
-def confirm(threshold: int):
+def confirm(threshold: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, text of a, text of b) to the pairs that are links."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                (x, x_rows), (y, y_rows) = ((np.concatenate(v), np.concatenate([[0], np.cumsum(np.concatenate(n))])) for v, n in (_column_sets(part.column(k)) for k in (2, 3)))
+                (x, x_rows), (y, y_rows) = ((np.concatenate(v), np.concatenate([[0], np.cumsum(np.concatenate(n))])) for v, n in (_column_sets(part.column(k), key) for k in (2, 3)))
                 nx, ny = np.diff(x_rows), np.diff(y_rows)
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
                 order = np.argsort(row, kind="stable")
@@ -143,17 +145,20 @@ def confirm(threshold: int):
     return run
 
 
-def _column_sets(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found = [text_sets(b) for b in blocks(column)]
+def _column_sets(column: pa.Array, key: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found = [text_sets(b, key) for b in blocks(column)]
     return [v for v, _ in found], [np.diff(r) for _, r in found]
 
 
-def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, hashes), the set as bytes."""
-    for batch in batches:
-        for b in blocks(batch.column(1)):
-            values, rows = text_sets(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), arrow_bytes(values.view(np.uint8), rows * 8, pa.binary())], names=["id", "hashes"])
+def packed_sets(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) to (id, hashes), the set as bytes."""
+        for batch in batches:
+            for b in blocks(batch.column(1)):
+                values, rows = text_sets(b, key)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.rows), arrow_bytes(values.view(np.uint8), rows * 8, pa.binary())], names=["id", "hashes"])
+
+    return run
 
 
 def block_links(by: Plan):
@@ -223,7 +228,7 @@ def across(met: DataFrame) -> DataFrame:
     return own.select("bucket", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
-def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, by: Plan, key: int) -> DataFrame:
     """Pairs (a, b) whose components are those of all links; docs has id and text, signed one row of each class."""
     met = signed.select("id", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members > 1")
@@ -237,7 +242,7 @@ def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
     pairs = checkpoint(pairs)
     texts = text_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm(by.threshold), "a long, b long"))
+    found = checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm(by.threshold, key), "a long, b long"))
     if many.isEmpty():
         return found
     first = components(found)
@@ -245,7 +250,7 @@ def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
     rest = checkpoint(across(many))
     if rest.isEmpty():
         return found
-    sets = text_of(docs, rest.select("id")).mapInArrow(packed_sets, "id long, hashes binary")
+    sets = text_of(docs, rest.select("id")).mapInArrow(packed_sets(key), "id long, hashes binary")
     rest = rest.join(signed.select("id", "n", "sketch", "bands"), "id").join(sets, "id")
     more = rest.groupBy("bucket", "lo", "hi").applyInPandas(block_links(by), "a long, b long")
     return found.unionByName(checkpoint(more))
@@ -253,13 +258,15 @@ def links(docs: DataFrame, signed: DataFrame, by: Plan) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id and kept of every row; threshold in hundredths."""
-    by = plan(threshold)
+    by, secret = plan(threshold), new_key()
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    signed = written(docs.mapInArrow(signatures(by), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>"), "signatures")
+    signed = written(docs.mapInArrow(signatures(by, secret), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>"), "signatures")
     classes = signed.where("n > 0 and id is not null").groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
     member = signed.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    joined = components(links(docs.where("id is not null"), reps, by))
+    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    # of rows that repeat an id with different texts the smallest one speaks
+    reps = reps.groupBy("id").agg(F.min(F.struct("n", "d0", "d1", "bands", "sketch")).alias("s")).select("id", "s.*")
+    joined = components(links(docs.where("id is not null"), reps, by, secret))
     out = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -8,6 +8,7 @@ are computed for the whole block at once.  Nothing here knows about Spark.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,21 +123,27 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def new_key() -> int:
+    """A key for the hashes of one run, from the system's random numbers; the driver draws it and hands it to all tasks."""
+    return secrets.randbits(64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
     """64-bit hashes of byte ranges; equal ranges have equal hashes wherever they stand.
 
     Eight bytes at a time go through a bijection, so ranges of one length up to eight bytes never collide;
-    a range of over LONG_RANGE bytes is hashed by BLAKE2b.  No array is longer than the list of ranges.
+    a range of over LONG_RANGE bytes is hashed by BLAKE2b.  No array is longer than the list of ranges.  The steps are
+    public and can be undone, so where texts may be written to collide a key is needed: every step starts from it.
     """
     n, view = ends - starts, lanes(data)
-    h = mix(mix(n.astype(U64) + _SEED) ^ (view[starts] & _LANE[np.minimum(n, 8)]))
+    h = mix(mix(mix(n.astype(U64) + _SEED) + U64(key)) ^ (view[starts] & _LANE[np.minimum(n, 8)])) if key else mix(mix(n.astype(U64) + _SEED) ^ (view[starts] & _LANE[np.minimum(n, 8)]))
     live, k = np.flatnonzero((n > 8) & (n <= LONG_RANGE)), 8
     while len(live):
         left = n[live] - k
-        h[live] = mix(h[live] * U64(3) ^ (view[starts[live] + k] & _LANE[np.minimum(left, 8)]))
+        h[live] = mix((h[live] + U64(key)) * U64(3) ^ (view[starts[live] + k] & _LANE[np.minimum(left, 8)]))
         live, k = live[left > 8], k + 8
     for r in np.flatnonzero(n > LONG_RANGE):
-        h[r] = int.from_bytes(hashlib.blake2b(data[starts[r] : ends[r]], digest_size=8).digest(), "little")
+        h[r] = int.from_bytes(hashlib.blake2b(data[starts[r] : ends[r]], digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return h
 
 
@@ -155,8 +162,8 @@ def same_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: n
     return same
 
 
-def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    return range_hashes(data, w.starts, w.ends)
+def word_hashes(data: np.ndarray, w: Words, key: int = 0) -> np.ndarray:
+    return range_hashes(data, w.starts, w.ends, key)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
