@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import spread, table, threshold, written
-from leafmill.llm.textbytes import U64, Block, arrow_bytes, blocks, gather_ranges, lanes, mix, range_hashes
+from leafmill.llm.textbytes import U64, Block, arrow_bytes, blocks, gather_ranges, lanes, mix, new_key, range_hashes
 
 LENGTH = 100
 #: Length of the K-grams of which the smallest deals out a window.
@@ -55,7 +55,7 @@ _TOP = U64(0xFFFFFF << 40)
 _SEGMENTS = "k long, s long, id long, at long"
 
 
-def segments(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(block: Block, frequent: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, content hash, row, start within the row, and number of windows of every segment of a block."""
     data, n = block.data, len(block.data)
     none = (np.zeros(0, U64), np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
@@ -99,33 +99,34 @@ def segments(block: Block, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stops[:-1] &= ~valid[1:] | begins[1:]
     count = np.flatnonzero(stops) + 1 - starts
     row = np.searchsorted(block.offsets, starts, "right") - 1
-    return gram[(least[starts] & ~_TOP).astype(np.int64)], range_hashes(data, starts, starts + count + LENGTH - 1), row, starts - block.offsets[row], count
+    return gram[(least[starts] & ~_TOP).astype(np.int64)], range_hashes(data, starts, starts + count + LENGTH - 1, key), row, starts - block.offsets[row], count
 
 
-def scan(frequent: np.ndarray, prune: bool = True):
+def scan(frequent: np.ndarray, key: int, prune: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, text) to segments; at holds start, windows and a mark of segments that are at least the third of their bytes in the batch."""
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
             for b in blocks(batch.column(1), 1 << 19):
-                k, s, row, start, count = segments(b, frequent)
+                k, s, row, start, count = segments(b, frequent, key)
                 parts.append((k, s, ids[b.lo + row], start, count))
             k, s, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
             if not len(k):
                 continue
             again = np.zeros(len(k), bool)
             order = np.argsort(s, kind="stable")
-            same = s[order][2:] == s[order][:-2]
+            # equal segments have equal minimisers, too
+            same = (s[order][2:] == s[order][:-2]) & (k[order][2:] == k[order][:-2])
             if prune and same.any():
                 member = np.zeros(len(k), bool)
                 for shift in range(3):
                     member[shift : len(k) - 2 + shift] |= same
                 few = order[member]
-                few = few[np.lexsort((start[few], doc[few], s[few]))]
-                new = np.ones(len(few), bool)  # a place of its own among the segments of the same bytes
-                new[1:] = (s[few][1:] != s[few][:-1]) | (doc[few][1:] != doc[few][:-1]) | (start[few][1:] != start[few][:-1])
+                few = few[np.lexsort((start[few], doc[few], k[few], s[few]))]
                 begins = np.ones(len(few), bool)
-                begins[1:] = s[few][1:] != s[few][:-1]
+                begins[1:] = (s[few][1:] != s[few][:-1]) | (k[few][1:] != k[few][:-1])
+                new = begins.copy()  # a place of its own among the segments of the same bytes
+                new[1:] |= (doc[few][1:] != doc[few][:-1]) | (start[few][1:] != start[few][:-1])
                 place = np.cumsum(new)
                 again[few] = place - np.maximum.accumulate(np.where(begins, place, 0)) >= 2
             # those only pass through: neighbours join, up to what fits, and their keys spread them
@@ -488,14 +489,14 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     if not n:
         return np.zeros(0, U64)
-    rows = docs.where(spread("minimisers", "id") <= threshold(SAMPLED, n)).mapInArrow(scan(np.zeros(0, U64), prune=False), _SEGMENTS)
+    rows = docs.where(spread("minimisers", "id") <= threshold(SAMPLED, n)).mapInArrow(scan(np.zeros(0, U64), new_key(), prune=False), _SEGMENTS)
     found = rows.select("k", "s").distinct().groupBy("k").count().where(F.col("count") >= max(20, min(n, SAMPLED) // 500)).orderBy(F.desc("count"), "k").limit(FREQUENT).collect()
     return np.sort(np.array([r["k"] for r in found], np.int64).view(U64))
 
 
 def repeated_spans(docs: DataFrame, prune: bool = True) -> DataFrame:
     """Runs of repeated windows (id, start, windows) of docs (id, text); prune: do not index a segment's third and later occurrences."""
-    rows = docs.mapInArrow(scan(frequent_grams(docs), prune), _SEGMENTS)
+    rows = docs.mapInArrow(scan(frequent_grams(docs), new_key(), prune), _SEGMENTS)
     settled = written(rows.repartition("k").sortWithinPartitions("k", "s", "id", "at").mapInArrow(settle(prune), _SETTLED), "segments")
     opened = settled.where("open")
     size = F.sum((F.col("windows") + (LENGTH - 1)) * F.when(F.col("twin"), 2).otherwise(1))
