@@ -1,20 +1,23 @@
 """Benchmark decontamination: BM25 with block-max WAND over an inverted index of test items.
 
-Test items are cut into entries of up to ENTRY words, of equal length within an item and overlapping so that
-each n-gram of the item is in one of them, and indexed: each posting carries the entry's BM25
-impact of the term, divided by the score the entry gives itself, so a score is the share of an entry
-that a passage covers.  An entry is retrieved from MIN_SCORE on, or from less where that could miss half of its
-n-grams: words that n-grams cover weigh at least as much as the lightest ones of the same number.  Entries lie in blocks; a term's largest
-impact in a block bounds what the block can add.
-
-Every training text is cut into overlapping passages, each of which is a query.  A passage whose sum of
-overall maxima stays below the least threshold is out; of the others, only blocks whose sum of block maxima
-reaches the block's least threshold are opened: the postings of the other blocks are not read.  All entries that
-reach theirs are retrieved, so a text with a passage that holds MIN_OVERLAP of an entry's n-grams is never missed.  Entries serve retrieval only.  The item of a retrieved entry is then verified: the shares of the
-question's and of the answer's word n-grams that the text holds are computed, over all entries of the item,
-and the text is a leak where the item as a whole is held to MIN_OVERLAP or more.  Question and answer are verified
-apart: ``verified`` names the part (or both) that is held to MIN_OVERLAP by itself, and is ``parts`` where only
-the item as a whole is.  The answer is the last sentence of an item, or its last quarter.
+Terms are word n-grams.  A test item is cut into entries of up to ENTRY n-grams, of equal length within an item, and
+indexed: each posting carries the entry's BM25 impact of the term, divided by the score that the entry gives itself, so
+a score is the share of an entry that a text covers.  An entry is retrieved from MIN_SCORE on, or from less where
+that could miss half of its n-grams: any half of them weighs at least as much as the lightest half.  Entries lie in
+blocks; a term's largest impact in a block bounds what the block can add.
+
+Every passage of a training text is a query, and the passages' scores are added up by text before the threshold, so it does
+not matter how far apart the pieces of an item lie.  A text whose sum of overall maxima stays below the least
+threshold is out; of the others, only blocks whose sum of block maxima reaches the block's least threshold are opened:
+the postings of the other blocks are not read.  All entries that reach theirs are retrieved.  A text that holds
+MIN_OVERLAP of an item's n-grams holds as much of one of its entries, so none is missed.  Entries serve retrieval
+only.  The item of a retrieved entry is then verified: the shares of the question's and of the answer's word n-grams that
+the text holds are computed, over all entries of the item, and the text is a leak where the item as a whole is held to
+MIN_OVERLAP or more.  Question and answer are verified apart: ``verified`` names the part (or both) that is held to
+MIN_OVERLAP by itself, and is ``parts`` where only the item as a whole is.  The answer is the last sentence of an item,
+or its last quarter.
+
+Words are hashed under a key that is drawn for each index, so no text can be written to look like an item.
 
 The index is built by executors, a shard of whole items in a task, from document frequencies counted over
 all items, and written to the shared folder.  It is loaded and broadcast in groups of about GROUP_POSTINGS
@@ -44,11 +47,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from leafmill.llm.common import table, unused, written
-from leafmill.llm.textbytes import Block, Words, blocks, gather_ranges, punctuation, shingles, word_hashes, words
+from leafmill.llm.textbytes import Block, Words, blocks, gather_ranges, new_key, punctuation, shingles, word_hashes, words
 
 K1, B = 1.2, 0.75
-#: Words of an entry and of a passage; passages start every ENTRY words, so an entry's words lie in one.
-ENTRY, PASSAGE = 128, 256
+#: N-grams of an entry.
+ENTRY = 128
 #: Share of an entry's own score from which it is retrieved at the latest, n-gram size, and share of n-grams of a leak.
 MIN_SCORE, GRAM, MIN_OVERLAP = 0.3, 5, 0.5
 #: Entries of a block and of a shard, and postings of what is broadcast at once.
@@ -78,9 +81,9 @@ class Shard:
     sizes: list[int]
 
 
-def tokens(block: Block) -> tuple[Words, np.ndarray]:
+def tokens(block: Block, key: int) -> tuple[Words, np.ndarray]:
     w = words(block, punctuation(block.data))
-    return w, word_hashes(block.data, w)
+    return w, word_hashes(block.data, w, key)
 
 
 def lower_blocks(column: pa.Array, rows: int = 2000) -> Iterator[Block]:
@@ -95,35 +98,39 @@ def lower_blocks(column: pa.Array, rows: int = 2000) -> Iterator[Block]:
             yield Block(b.lo + at, b.hi + at, b.data, b.offsets)
 
 
-def entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (item, whole, part, own, words, answer_from) with the words' hashes in order; whole tells texts of one item id apart, own counts n-grams that no earlier part has."""
-    for batch in batches:
-        out: dict[str, list] = {"item": [], "whole": [], "part": [], "own": [], "words": [], "answer_from": []}
-        for b in lower_blocks(batch.column(1)):
-            w, h = tokens(b)
-            text = b.data
-            for r in range(b.rows):
-                i, j = w.rows[r], w.rows[r + 1]
-                if i == j:
-                    continue
-                # a sentence ends where a full stop, question mark or exclamation mark follows a word
-                ends = [k + 1 for k in range(i, j - 1) if np.isin(text[w.ends[k] : w.starts[k + 1]], [33, 46, 63]).any()]
-                answer = ends[-1] if ends else j - max(1, (j - i) // 4)
-                whole = int.from_bytes(hashlib.blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
-                starts = max(j - i - GRAM + 1, 1)  # of n-grams, dealt out evenly
-                size = min(GRAM, j - i)
-                new = np.zeros(starts, bool)
-                new[np.unique(shingles(h[i:j], np.array([0, j - i]), size)[0], return_index=True)[1]] = True
-                parts = 1 if j - i <= ENTRY else -(-starts // (ENTRY - GRAM + 1))
-                for part in range(parts):
-                    k, end = i + part * starts // parts, min(i + (part + 1) * starts // parts + GRAM - 1, j)
-                    out["item"].append(batch.column(0)[b.lo + r].as_py())
-                    out["whole"].append(whole)
-                    out["part"].append(part)
-                    out["own"].append(int(new[part * starts // parts : (part + 1) * starts // parts].sum()))
-                    out["words"].append(h[k:end].view(np.int64).tolist())
-                    out["answer_from"].append(int(min(max(answer - k, 0), ENTRY)))
-        yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["whole"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["own"], pa.int32()), pa.array(out["words"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
+def entry_rows(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(item, text) to (item, whole, part, size, own, terms, answer_from) with the n-grams' hashes in order; whole tells texts of one item id apart, own counts n-grams that no earlier part has."""
+        for batch in batches:
+            out: dict[str, list] = {"item": [], "whole": [], "part": [], "size": [], "own": [], "terms": [], "answer_from": []}
+            for b in lower_blocks(batch.column(1)):
+                w, h = tokens(b, key)
+                text = b.data
+                for r in range(b.rows):
+                    i, j = w.rows[r], w.rows[r + 1]
+                    if i == j:
+                        continue
+                    # a sentence ends where a full stop, question mark or exclamation mark follows a word
+                    ends = [k + 1 for k in range(i, j - 1) if np.isin(text[w.ends[k] : w.starts[k + 1]], [33, 46, 63]).any()]
+                    size = min(GRAM, j - i)
+                    answer = max((ends[-1] if ends else j - max(1, (j - i) // 4)) - i - size + 1, 0)  # n-grams of the question
+                    whole = int.from_bytes(hashlib.blake2b(h[i:j].tobytes(), digest_size=8).digest(), "little", signed=True)
+                    terms = shingles(h[i:j], np.array([0, j - i]), size)[0]
+                    new = np.zeros(len(terms), bool)
+                    new[np.unique(terms, return_index=True)[1]] = True
+                    parts = -(-len(terms) // ENTRY)
+                    for part in range(parts):
+                        lo, hi = part * len(terms) // parts, (part + 1) * len(terms) // parts
+                        out["item"].append(batch.column(0)[b.lo + r].as_py())
+                        out["whole"].append(whole)
+                        out["part"].append(part)
+                        out["size"].append(int(size))
+                        out["own"].append(int(new[lo:hi].sum()))
+                        out["terms"].append(terms[lo:hi].view(np.int64).tolist())
+                        out["answer_from"].append(int(min(max(answer - lo, 0), hi - lo)))
+            yield pa.RecordBatch.from_arrays([pa.array(out["item"], batch.column(0).type), pa.array(out["whole"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("part", "size", "own")), pa.array(out["terms"], pa.list_(pa.int64())), pa.array(out["answer_from"], pa.int32())], names=list(out))
+
+    return run
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -132,20 +139,19 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -> Shard:
     """Index the entries of a few items; frequency and average come from all of them."""
-    rows = sorted(rows, key=lambda r: (sorted(set(r["words"]), key=lambda t: (-frequency[t], t))[:3], str(r["item"]), r.get("whole", 0), r["part"]))
+    rows = sorted(rows, key=lambda r: (sorted(set(r["terms"]), key=lambda t: (-frequency[t], t))[:3], str(r["item"]), r.get("whole", 0), r["part"]))
     units: dict[tuple[int, int], int] = {}
     unit = np.array([units.setdefault((r["item"], r.get("whole", 0)), len(units)) for r in rows])
     entry, term, impact, need = [], [], [], []
     for e, r in enumerate(rows):
-        t, tf = np.unique(np.array(r["words"], np.int64), return_counts=True)
+        t, tf = np.unique(np.array(r["terms"], np.int64), return_counts=True)
         df = np.array([frequency[x] for x in t.tolist()])
-        weight = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r["words"]) / average))
+        weight = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(r["terms"]) / average))
         entry.append(np.full(len(t), e))
         term.append(t.view(np.uint64))
         impact.append(weight / weight.sum())
-        size = min(GRAM, len(r["words"]))
-        covered = -(-(r.get("own") or len(r["words"]) - size + 1) * MIN_OVERLAP // 1) + size - 1
-        need.append(min(MIN_SCORE, np.sort(np.repeat(impact[-1] / tf, tf))[: int(covered)].sum()))
+        half = int(-(-(r.get("own") or len(t)) * MIN_OVERLAP // 1))
+        need.append(min(MIN_SCORE, np.sort(impact[-1])[:half].sum()))
     entry, term, impact = np.concatenate(entry), np.concatenate(term), np.concatenate(impact).astype(np.float32)
     order = np.argsort(term, kind="stable")
     entry, term, impact = entry[order], term[order], impact[order]
@@ -160,12 +166,10 @@ def build_shard(rows: list, frequency: dict[int, int], n: int, average: float) -
     most = np.maximum.reduceat(impact, first)
     q, a, sizes = [[] for _ in units], [[] for _ in units], [GRAM] * len(units)
     for u, r in zip(unit, rows, strict=True):
-        h = np.array(r["words"], np.int64).view(np.uint64)
-        size = min(GRAM, len(h))
-        every, cut = shingles(h, np.array([0, len(h)]), size)[0], max(r["answer_from"] - size + 1, 0)
-        q[u].append(every[:cut])
-        a[u].append(every[cut:])
-        sizes[u] = size
+        every = np.array(r["terms"], np.int64).view(np.uint64)
+        q[u].append(every[: r["answer_from"]])
+        a[u].append(every[r["answer_from"] :])
+        sizes[u] = r.get("size", GRAM)
     q, a = ([np.unique(np.concatenate(x)) for x in listed] for listed in (q, a))
     return Shard(terms, most, np.append(first, len(term)), by_term, met % blocks_, block_most, np.append(block_first, len(term)), entry, impact, need, block_need, [r["item"] for r in rows], unit, [np.union1d(x, y) for x, y in zip(q, a, strict=True)], q, a, sizes)
 
@@ -186,16 +190,16 @@ class Index:
     """The shards of a benchmark, in the shared folder; groups() brings them to the driver a group at a time."""
 
     def __init__(self, benchmark: DataFrame, item: str = "item_id", text: str = "text"):
-        self.item_type = benchmark.schema[item].dataType
+        self.item_type, self.key = benchmark.schema[item].dataType, new_key()
         benchmark = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
-        schema = f"item {self.item_type.simpleString()}, whole long, part int, own int, words array<long>, answer_from int"
-        entries = written(benchmark.mapInArrow(entry_rows, schema), "entries")
-        n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+        schema = f"item {self.item_type.simpleString()}, whole long, part int, size int, own int, terms array<long>, answer_from int"
+        entries = written(benchmark.mapInArrow(entry_rows(self.key), schema), "entries")
+        n, average = entries.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
         self.stored, self.sizes = None, []
         if not n:
             return
-        placed = entries.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(-(-n // SHARD_ENTRIES))))
-        terms = placed.select("shard", F.explode(F.array_distinct("words")).alias("term"))
+        placed = entries.withColumn("shard", F.pmod(F.xxhash64("item", "whole"), F.lit(-(-n // SHARD_ENTRIES))))
+        terms = placed.select("shard", F.explode(F.array_distinct("terms")).alias("term"))
         known = terms.distinct().join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
         both = placed.groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "term", "df").groupBy("of"))
         self.stored = written(both.applyInPandas(packed_shard(n, average), "shard long, postings long, index binary"), "index", maxRecordsPerFile=16)
@@ -212,17 +216,8 @@ class Index:
                 mine, held = [], 0
 
 
-def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word and end of every passage."""
-    n = np.diff(w.rows)
-    count = np.where(n > 0, np.maximum(1, -(-(n - PASSAGE) // ENTRY) + 1), 0)
-    row = np.repeat(np.arange(len(n)), count)
-    start = w.rows[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * ENTRY
-    return row, start, np.minimum(start + PASSAGE, w.rows[row + 1])
-
-
 def retrieve(s: Shard, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, entry and score of every pair that reaches what the entry needs."""
+    """Query, entry and score of every pair that reaches what the entry needs; query q has the terms start[q] to end[q]."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     at = np.minimum(np.searchsorted(s.terms, hashes), len(s.terms) - 1)
     term = np.where(s.terms[at] == hashes, at, -1)
@@ -267,25 +262,51 @@ def held(some: np.ndarray, here: np.ndarray) -> float:
     return float((here[np.minimum(np.searchsorted(here, some), len(here) - 1)] == some).mean())
 
 
-def found_in(block: Block, shards: list[Shard]) -> dict[tuple[int, object], tuple[float, float, float, float]]:
+@dataclass
+class Loaded:
+    """A group of shards as a task holds it, with all their terms by n-gram size: a text without any is out at once."""
+
+    key: int
+    shards: list[Shard]
+    terms: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, key: int, packed: list[bytes]) -> Loaded:
+        shards = [pickle.loads(x) for x in packed]
+        sizes = sorted({k for s in shards for k in s.sizes})
+        return cls(key, shards, {k: np.unique(np.concatenate([w for s in shards for w, own in zip(s.wholes, s.sizes, strict=True) if own == k])) for k in sizes})
+
+
+def known_terms(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(terms[np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)] == hashes)
+
+
+def found_in(block: Block, group: Loaded) -> dict[tuple[int, object], tuple[float, float, float, float]]:
     """(row, item) to (best score, overlap, question's, answer's) of each leak in a block of lower-case texts."""
-    w, hashes = tokens(block)
-    row, start, end = passages(w)
+    w, words_of = tokens(block, group.key)
     out: dict[tuple[int, object], tuple[float, float, float, float]] = {}
-    texts: dict[tuple[int, int], np.ndarray] = {}
-    for s in shards:
-        met: dict[tuple[int, int], tuple[float, object]] = {}
-        for p, e, score in zip(*retrieve(s, hashes, start, end), strict=True):
-            k = int(row[p]), int(s.unit[e])
-            met[k] = max(met.get(k, (0.0, None)), (float(score), s.items[e]), key=lambda x: x[0])
-        for (r, u), (score, item) in met.items():
-            k = r, s.sizes[u]
-            if k not in texts:
-                texts[k] = grams(hashes[w.rows[r] : w.rows[r + 1]], s.sizes[u])
-            share = held(s.wholes[u], texts[k])
-            if share >= MIN_OVERLAP:
-                k = r, item
-                out[k] = max(out.get(k, (0.0,) * 4), (score, share, held(s.questions[u], texts[r, s.sizes[u]]), held(s.answers[u], texts[r, s.sizes[u]])), key=lambda x: (x[1], x))
+    for size, terms in group.terms.items():
+        hashes, rows = shingles(words_of, w.rows, size)
+        at = known_terms(terms, hashes)
+        if not len(at):
+            continue
+        hashes, bounds = hashes[at], np.searchsorted(at, rows)
+        # equal n-grams of a text are one term, and passages that share them add it once
+        row = np.flatnonzero(np.diff(bounds))
+        texts: dict[int, np.ndarray] = {}
+        for s in group.shards:
+            met: dict[tuple[int, int], tuple[float, object]] = {}
+            for p, e, score in zip(*retrieve(s, hashes, bounds[row], bounds[row + 1]), strict=True):
+                if s.sizes[s.unit[e]] == size:
+                    k = int(row[p]), int(s.unit[e])
+                    met[k] = max(met.get(k, (0.0, None)), (float(score), s.items[e]), key=lambda x: x[0])
+            for (r, u), (score, item) in met.items():
+                if r not in texts:
+                    texts[r] = np.unique(hashes[bounds[r] : bounds[r + 1]])
+                share = held(s.wholes[u], texts[r])
+                if share >= MIN_OVERLAP:
+                    k = r, item
+                    out[k] = max(out.get(k, (0.0,) * 4), (score, share, held(s.questions[u], texts[r]), held(s.answers[u], texts[r])), key=lambda x: (x[1], x))
     return out
 
 
@@ -302,13 +323,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     item_type = to_arrow_type(index.item_type)
     result = None
     for group in index.groups():
-        shared = spark.sparkContext.broadcast(group)
+        shared = spark.sparkContext.broadcast((index.key, group))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            shards = [pickle.loads(x) for x in shared.value]
+            loaded = Loaded.of(*shared.value)
             for batch in batches:
                 for b in lower_blocks(batch.column(1)):
-                    if hits := found_in(b, shards):
+                    if hits := found_in(b, loaded):
                         keys = batch.column(0).take(pa.array([b.lo + r for r, _ in hits]))
                         found = np.array(list(hits.values()))
                         yield pa.RecordBatch.from_arrays([keys, pa.array([i for _, i in hits], item_type), *(pa.array(found[:, k]) for k in range(4)), pa.array([verified(*x) for x in found[:, 2:]])], names=schema.names)
@@ -325,15 +346,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def kept_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the texts that hold a test item, decided inside the scan."""
     place = docs.columns.index(text)
-    for group in Index(benchmark).groups():
-        shared = docs.sparkSession.sparkContext.broadcast(group)
+    index = Index(benchmark)
+    for group in index.groups():
+        shared = docs.sparkSession.sparkContext.broadcast((index.key, group))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            shards = [pickle.loads(x) for x in shared.value]
+            loaded = Loaded.of(*shared.value)
             for batch in batches:
                 for b in lower_blocks(batch.column(place)):
                     keep = np.ones(b.rows, bool)
-                    keep[[r for r, _ in found_in(b, shards)]] = False
+                    keep[[r for r, _ in found_in(b, loaded)]] = False
                     yield batch.slice(b.lo, b.rows).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
