@@ -167,11 +167,12 @@ class Model:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the per_language rows of each language that a hash of the key picks (texts without a letter are left out).
 
-    One scan counts the labels, which reads no text, and one takes the sample, which is written down.
+    One scan counts the labels of such texts and one takes the sample, which is written down.
     """
     labelled = labelled.select(F.col(key).alias("key"), F.col(language).alias("language"), F.col(text).alias("text"))
-    counts = label_counts(labelled, "language")
-    sample = bounded_sample(labelled.where(F.col("text").rlike("\\p{L}")), counts, "key", "language", per_language, "language")
+    # counted as they are sampled, so that a language of few texts with letters among many without keeps them all
+    labelled = labelled.where(F.col("text").rlike("\\p{L}"))
+    sample = bounded_sample(labelled, label_counts(labelled, "language"), "key", "language", per_language, "language")
     rows = written(sample.select("language", "text").mapInArrow(features, "language string, family string, x binary"), "languages")
     known = [r[0] for r in rows.select("language").distinct().orderBy("language").collect()]
     pairs = [(a, b) for a in known for b in known if a < b and family_of(a) == family_of(b)]
