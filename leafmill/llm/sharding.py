@@ -5,9 +5,10 @@ size.  A cell of this 16 x 16 x 16 grid has an index on the three-dimensional Hi
 neighbours on the curve are neighbours in every dimension, and a shard, a run of the curve, spans a
 small box of the metadata space that a reader can prune by.
 
-Equal texts form a group: all of them take the cell of the group's first labels, so they are neighbours on
-the curve, whatever their own source and language, and lie in one shard unless one of the cuts that the law
-fixes falls into the group.
+Equal texts form a group.  A group of one source and language lies in its cell like any row.  A group of several
+ones takes the cell of its first labels in a trailing run: the curve once more, after its end, for such groups
+alone.  So a group's rows are neighbours and lie in one shard unless one of the cuts that the law fixes falls into
+it, and no other shard holds rows of a foreign source or language; only the shards at the end span all of them.
 
 The law is ``rows``: shard k of n holds ranks floor(k*N/n) to floor((k+1)*N/n), so counts differ by one
 at most.  Ranks are global without sorting everything in one task: each curve cell is divided into
@@ -82,18 +83,19 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
         F.crc32(raw.cast("binary")).alias("crc"),
         F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"label{k}") for k, c in enumerate(labels))).alias("labels"),
     )
-    groups = rows.groupBy("size", "crc").agg(F.min("labels").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, ["size", "crc"], "left").withColumn("labels", F.coalesce("first", "labels"))
+    groups = rows.groupBy("size", "crc").agg(F.min("labels").alias("first"), F.max("labels").alias("last")).where("first <> last").drop("last")
+    rows = rows.join(groups, ["size", "crc"], "left").withColumn("mixed", F.col("first").isNotNull()).withColumn("labels", F.coalesce("first", "labels"))
     rows = rows.select(
-        "key", "size", "crc", quantised(F.col("size"), F.col("labels.label1"), F.col("labels.label0")).alias("cell"),
+        "key", "size", "crc", "mixed", quantised(F.col("size"), F.col("labels.label1"), F.col("labels.label0")).alias("cell"),
         F.shiftright("crc", 20).alias("sub"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("part"),
     )
     rows = rows.join(F.broadcast(curve(docs.sparkSession)), "cell").drop("cell")
+    rows = rows.withColumn("at", F.col("at") + F.when(F.col("mixed"), CELLS).otherwise(0)).drop("mixed")
     parts = rows.groupBy("at", "sub", "crc", "size", "part").count()
     subs = parts.groupBy("at", "sub").agg(F.sum("count").alias("count"))
     inside = subs.withColumn("in_cell", F.sum("count").over(Window.partitionBy("at").orderBy("sub")) - F.col("count"))
     cells = subs.groupBy("at").agg(F.sum("count").alias("n"))
-    # 4,096 rows at most, whatever the input
+    # 8,192 rows at most, whatever the input
     before = cells.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     offsets = inside.join(F.broadcast(before), "at").select("at", "sub", (F.col("in_cell") + F.col("before")).alias("offset"), "total")
     in_sub = F.sum("count").over(Window.partitionBy("at", "sub").orderBy("crc", "size", "part")) - F.col("count")
