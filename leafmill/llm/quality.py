@@ -220,9 +220,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.nd
                         for c in parts(few):
                             w = words(c)
                             packed += [np.concatenate([np.flatnonzero(r).astype(np.float32), r[r > 0]]).tobytes() for r in shape_counts(c, w, word_hashes(c.data, w))]
-                    yield pa.RecordBatch.from_arrays([pa.array(y[taken]), pa.array(1 / rate[taken]), pa.array(packed, pa.binary())], names=["y", "weight", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(y[taken]), pa.array(1 / rate[taken]), pa.array(packed, pa.binary()), pa.array(drawn_at[b.lo + taken])], names=["y", "weight", "x", "at"])
 
-    rows = docs.select(spread("quality", key, text).alias("spread"), text).mapInArrow(features, "y double, weight double, x binary").collect()
+    # about TRAINED rows; rows that repeat key and text are drawn together, and the limit holds however many they are
+    sample = docs.select(spread("quality", key, text).alias("spread"), text).mapInArrow(features, "y double, weight double, x binary, at double")
+    rows = sample.orderBy("at", "x").limit(4 * TRAINED).collect()
     if not rows:
         raise ValueError("the scorer's sample is empty")
     x = np.zeros((len(rows), WIDTH), np.float32)
