@@ -56,10 +56,29 @@ class Vocabulary:
     add_prefix: bool
 
 
+def refuse_others(path: str) -> None:
+    """Raise on models that this module would encode otherwise than the library."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    trainer, normalizer = model.trainer_spec, model.normalizer_spec
+    kinds = {p.type for p in model.pieces}
+    faults = {
+        "it is no BPE model": trainer.model_type != proto.TrainerSpec.BPE, "it has no byte fallback": not trainer.byte_fallback, "it normalises texts": bool(normalizer.precompiled_charsmap),
+        "it removes or keeps spaces otherwise": normalizer.remove_extra_whitespaces or not normalizer.escape_whitespaces or trainer.treat_whitespace_as_suffix,
+        "it has pieces of the user's own or unused ones": bool(kinds & {proto.ModelProto.SentencePiece.USER_DEFINED, proto.ModelProto.SentencePiece.UNUSED}),
+    }
+    if found := [what for what, wrong in faults.items() if wrong]:
+        raise ValueError(f"{path} is not supported: {'; '.join(found)}")
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     """Read a SentencePiece BPE model; its vocabulary is used, the encoding is ours."""
     import sentencepiece
 
+    refuse_others(path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
