@@ -238,8 +238,8 @@ def test_items_of_any_id_and_parts_verified_apart(spark):
 def test_closed_blocks_are_not_read():
     """Postings are gathered from open blocks only; all that reaches its threshold is found."""
     rng = np.random.default_rng(5)
-    rows = [{"item": i, "part": 0, "words": rng.integers(i * 25, i * 25 + 30, 40).tolist(), "answer_from": 20} for i in range(64)]
-    frequency = Counter(t for r in rows for t in set(r["words"]))
+    rows = [{"item": i, "part": 0, "own": 80, "terms": rng.integers(i * 25, i * 25 + 30, 40).tolist(), "answer_from": 20} for i in range(64)]
+    frequency = Counter(t for r in rows for t in set(r["terms"]))
     s = decontamination.build_shard(rows, frequency, 64, 40.0)
     read = []
     original = decontamination.gather_ranges
@@ -247,7 +247,7 @@ def test_closed_blocks_are_not_read():
     try:
         opened = every = 0
         for r in rows:
-            hashes = np.array(r["words"], np.uint64)
+            hashes = np.array(r["terms"], np.uint64)
             found = decontamination.retrieve(s, hashes, np.array([0]), np.array([40]))
             mine = np.flatnonzero(np.isin(s.terms, hashes))
             assert r["item"] in {s.items[e] for e in found[1]}
@@ -281,3 +281,15 @@ def test_shards_by_brute_force_and_groups_together(spark):
         seen[r["shard"]].add((r["source"], r["lang"]))
         dealt[k % 24].add((r["source"], r["lang"]))
     assert sum(map(len, seen.values())) < 0.7 * sum(map(len, dealt.values()))
+
+
+def test_shards_can_be_pruned_by_source(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = sharding.shard(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    span = out.groupBy("shard").agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs")).collect()
+    few = sorted(r["sources"] for r in span)
+    # only the shards of the trailing run, at the end, span all sources
+    assert len(span) == 24 and sum(few) / 24 < 8.5 and sum(few[:-3]) / 21 < 7
+    split = out.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
+    assert split <= 24
+

@@ -269,11 +269,32 @@ def test_half_of_an_item_in_common_words_is_retrieved(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()} == want
 
 
+def test_scattered_pieces_of_an_item_are_found(spark):
+    """Short runs of an item far apart in a text: whether they are a leak depends on their n-grams alone."""
+    rng = random.Random(8)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (40, 60, 60, 200, 400)]
+    rows = []
+    for t in items:
+        t = t.split()
+        for piece in (7, 10, 12, 15, 20):
+            for take in (0.5, 0.7, 1.0):
+                text = []
+                for at in range(0, len(t), piece):
+                    if rng.random() < take:
+                        text += t[at : at + piece] + [f"o{rng.randrange(10**6)}" for _ in range(400)]
+                rows.append((len(rows), " ".join(text)))
+    listed = list(enumerate(items))
+    want = leaked(rows, listed)
+    assert 20 < len(want) < len(rows)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()} == want
+
+
 def test_pruned_retrieval_is_exhaustive():
     """Block-max pruning drops nothing that reaches the threshold."""
     rng = np.random.default_rng(3)
-    rows = [{"item": i, "part": 0, "words": rng.integers(1, 60, 30).tolist(), "answer_from": 20} for i in range(40)]
-    frequency = Counter(t for r in rows for t in set(r["words"]))
+    rows = [{"item": i, "part": 0, "own": 60, "terms": rng.integers(1, 60, 30).tolist(), "answer_from": 20} for i in range(40)]
+    frequency = Counter(t for r in rows for t in set(r["terms"]))
     s = decontamination.build_shard(rows, frequency, 40, 30.0)
     hashes = rng.integers(1, 60, 600).astype(np.uint64)
     start = np.arange(0, 560, 20)
