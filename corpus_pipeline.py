@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs.  All stages but the last return the columns of documents; the last adds the
 token ids, their number and the text that they decode to.
+
+Edge cases, of all stages: a null or empty text has no letter and goes at the first stage; a very long text is a row like any
+other; of rows that repeat a document one stays (exact copies); null ids, languages and sources are passed on; an
+empty table gives no rows; further columns of the input are left out, so their names can't clash.  Stages apart from the first
+one keep null and empty texts, the exact one of them.
 """
 
 from __future__ import annotations
@@ -28,9 +33,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts whose language can be told; a text without a letter is rejected.  The model learns from the stage's own input."""
+    """Keep texts whose language can be told; a text without a letter is rejected.  The model learns from the stage's own input.
+
+    Where no row has a label there is nothing to learn, and only texts without a letter are rejected.
+    """
     bound_batches(spark)
     model = language.fit(docs.where(fold(F.col("doc_id")) != 1).select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
     told = language.predict(docs.withColumn("_read", F.col("text")), model, "_read")
     return told.where(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
