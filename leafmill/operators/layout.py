@@ -1,7 +1,8 @@
 """Geometry: boxes to reading order, lines, table rows, cells with words, and key/value neighbours.
 
-A page is the unit of all these operators: boxes of a page are few, pages are many, so windows and groups
-are by (doc_id, page_number) and never larger than a page.
+A page is the unit of all these operators: windows and groups are by (doc_id, page_number) and never larger than a
+page.  Boxes that are near one another are joined by tiles or bands of the page, so the cost of a page follows
+its neighbours, not its pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_number")
 SAME_LINE, SAME_ROW = 15, 12
+#: Side of the tiles, and height of the bands, by which boxes of a page find those near them.
+TILE, BAND = 128, 64
 
 
 def normalised(boxes: DataFrame, width: str = "image_width", height: str = "image_height") -> DataFrame:
@@ -72,11 +75,24 @@ def assemble_lines(words: DataFrame) -> DataFrame:
     return lines.where("text <> ''")
 
 
+def _strips(low: Column, high: Column, size: int) -> Column:
+    """Numbers of the strips of the given width that lie between two coordinates; one null where a bound is null."""
+    first, last = F.floor(low / size), F.floor(high / size)
+    none = F.array(F.lit(None).cast("bigint"))
+    return F.when(low.isNull() | high.isNull(), none).otherwise(F.sequence(first, F.greatest(first, last)))
+
+
 def cell_words(cells: DataFrame, words: DataFrame) -> DataFrame:
-    """The text of each cell: the words whose centre lies in it, bounds included, in their order; confidence 0.9 with text, else 1."""
-    w = words.select(*PAGE, "word_idx", F.col("text").alias("word"), (F.col("x") + F.col("width") / 2.0).alias("cx"), (F.col("y") + F.col("height") / 2.0).alias("cy"))
-    c, inside = cells.alias("c"), (F.col("cx").between(F.col("x"), F.col("x") + F.col("width"))) & (F.col("cy").between(F.col("y"), F.col("y") + F.col("height")))
-    joined = c.join(w, [c[k] == w[k] for k in PAGE] + [inside], "left").drop(*(w[k] for k in PAGE))
+    """The text of each cell: the words whose centre lies in it, bounds included, in their order; confidence 0.9 with text, else 1.
+
+    A word's centre is in one tile of the page, a cell in those that it covers; the two meet in a tile.
+    """
+    cx, cy = F.col("x") + F.col("width") / 2.0, F.col("y") + F.col("height") / 2.0
+    w = words.select(*(F.col(k).alias(f"_{k}") for k in PAGE), "word_idx", F.col("text").alias("word"), cx.alias("cx"), cy.alias("cy"), F.floor(cx / TILE).alias("_tx"), F.floor(cy / TILE).alias("_ty"))
+    tiles = cells.withColumn("_cx", F.explode(_strips(F.col("x"), F.col("x") + F.col("width"), TILE))).withColumn("_cy", F.explode(_strips(F.col("y"), F.col("y") + F.col("height"), TILE)))
+    inside = F.col("cx").between(F.col("x"), F.col("x") + F.col("width")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("height"))
+    meet = [F.col(k) == F.col(f"_{k}") for k in PAGE] + [F.col("_cx") == F.col("_tx"), F.col("_cy") == F.col("_ty"), inside]
+    joined = tiles.join(w, meet, "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word_idx").isNotNull(), F.struct("word_idx", "word")))), lambda t: t["word"]), " ")
     out = joined.groupBy(*cells.columns).agg(F.trim(text).alias("text"))
     return out.withColumn("confidence", F.when(F.col("text") != "", 0.9).otherwise(1.0))
@@ -106,7 +122,9 @@ def neighbours(words: DataFrame) -> DataFrame:
         *PAGE, F.col("word_idx").alias("key_idx"), F.trim(F.expr("substring(text, 1, char_length(text) - 1)")).alias("key"), F.col("x").alias("kx"), F.col("y").alias("ky"),
         F.col("width").alias("kw"), F.greatest(F.lit(20), (F.col("height") * 1.6).cast("int")).alias("dy"),
     )
-    both = k.join(w, list(PAGE)).where(F.col("word_idx") > F.col("key_idx"))
+    # what a key looks at lies between dy above its top and three times dy below it
+    k = k.withColumn("band", F.explode(_strips(F.col("ky") - F.col("dy"), F.col("ky") + F.col("dy") * 3, BAND)))
+    both = k.join(w.withColumn("band", F.floor(F.col("y") / BAND)), [*PAGE, "band"]).where(F.col("word_idx") > F.col("key_idx"))
     right = (F.abs(F.col("y") - F.col("ky")) < F.col("dy")) & (F.col("x") > F.col("kx"))
     below = (F.abs(F.col("x") - F.col("kx")) < F.greatest(F.lit(50), F.col("kw"))) & (F.col("y") - F.col("ky") > 0) & (F.col("y") - F.col("ky") < F.col("dy") * 3)
     one = F.struct("word_idx", "x", "width", "text")
