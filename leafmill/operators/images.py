@@ -91,162 +91,25 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image[..., 0] if image.shape[2] == 1 else np.rint(image[..., :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
 
 
-def otsu(image: np.ndarray) -> int:
-    """The level that separates dark from light with the largest variance between them."""
-    n = np.bincount(image.ravel(), minlength=256).astype(float)
-    below, mass = np.cumsum(n), np.cumsum(n * np.arange(256))
-    above = below[-1] - below
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
-    return int(np.nanargmax(np.where(np.isfinite(between), between, np.nan))) if len(np.unique(image)) > 1 else int(image.flat[0])
+def steps(images: DataFrame, functions: dict[str, Callable[[np.ndarray], np.ndarray]], skip: tuple[str, ...] = ()) -> DataFrame:
+    """Images after each of the given steps, in order: origin, step, step_key, height, width, nChannels, data; step 0 is the original.
 
-
-def opened(mask: np.ndarray) -> np.ndarray:
-    """Morphological opening by a 2 x 2 square."""
-    p = np.pad(mask, ((1, 0), (1, 0)), constant_values=255)
-    eroded = np.minimum.reduce([p[1:, 1:], p[:-1, 1:], p[1:, :-1], p[:-1, :-1]])
-    p = np.pad(eroded, ((0, 1), (0, 1)), constant_values=0)
-    return np.maximum.reduce([p[:-1, :-1], p[1:, :-1], p[:-1, 1:], p[1:, 1:]])
-
-
-def preprocessed(images: DataFrame, threshold: bool = True, clean: bool = True) -> DataFrame:
-    """Grey, thresholded and opened images: origin, height, width, nChannels, data, level."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for _, row in pdf.iterrows():
-                g = grey(_pixels(row))
-                level = otsu(g)
-                if threshold:
-                    g = np.where(g > level, 255, 0).astype(np.uint8)
-                if clean:
-                    g = opened(g)
-                out.append((row["origin"], row["height"], row["width"], 1, g.tobytes(), level))
-            yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "data", "level"])
-
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "origin string, height int, width int, nChannels int, data binary, level int")
-
-
-def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Shrunk by averaging the areas that the new pixels cover."""
-
-    def weights(old: int, new: int) -> np.ndarray:
-        edges = np.arange(new + 1) * (old / new)
-        place = np.arange(old)
-        overlap = np.minimum(edges[1:, None], place + 1) - np.maximum(edges[:-1, None], place)
-        return np.maximum(overlap, 0) * (new / old)
-
-    down, across = weights(image.shape[0], height), weights(image.shape[1], width)
-    return np.rint(np.stack([down @ image[..., c].astype(float) @ across.T for c in range(image.shape[2])], axis=2)).astype(np.uint8)
-
-
-def denoised(image: np.ndarray, reach: int = 3, colour: float = 50, space: float = 50) -> np.ndarray:
-    """Bilateral filter of a grey image: neighbours in a circle weigh by distance and by difference of level."""
-    p, h, w = np.pad(image.astype(float), reach, "reflect" if min(image.shape) > reach else "edge"), *image.shape
-    total, mass, middle = np.zeros((h, w)), np.zeros((h, w)), image.astype(float)
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            if dy * dy + dx * dx <= reach * reach:
-                there = p[reach + dy : reach + dy + h, reach + dx : reach + dx + w]
-                weight = np.exp(-(dy * dy + dx * dx) / (2 * space * space) - (there - middle) ** 2 / (2 * colour * colour))
-                total, mass = total + weight * there, mass + weight
-    return np.rint(total / mass).astype(np.uint8)
-
-
-def contrasted(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """Contrast-limited adaptive histogram equalisation by tiles, levels between tiles interpolated."""
-    h, w = image.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    p = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), "edge")
-    blocks = p.reshape(tiles, th, tiles, tw).transpose(0, 2, 1, 3).reshape(tiles * tiles, -1)
-    limit = max(int(clip * th * tw / 256), 1)
-    n = np.stack([np.bincount(b, minlength=256) for b in blocks])
-    over = np.maximum(n - limit, 0).sum(axis=1)
-    n = np.minimum(n, limit) + (over // 256)[:, None]
-    for row, left in zip(n, over % 256, strict=True):
-        if left:
-            row[np.arange(left) * max(256 // int(left), 1)] += 1
-    table = np.clip(np.rint(np.cumsum(n, axis=1) * (255 / (th * tw))), 0, 255).reshape(tiles, tiles, 256)
-    y, x = np.arange(h) / th - 0.5, np.arange(w) / tw - 0.5
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    at = lambda a, b: table[np.clip(a, 0, tiles - 1)[:, None], np.clip(b, 0, tiles - 1)[None, :], image]
-    out = (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
-    return np.rint(out).astype(np.uint8)
-
-
-def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its centre, cubic interpolation, edges continued; the size stays."""
-    h, w = image.shape
-    a, b, cx, cy = np.cos(np.radians(degrees)), np.sin(np.radians(degrees)), w // 2, h // 2
-    y, x = np.mgrid[0:h, 0:w] - np.array([cy, cx])[:, None, None]
-    sx, sy = a * x - b * y + cx, b * x + a * y + cy
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-
-    def cubic(t: np.ndarray) -> list[np.ndarray]:
-        near, far = lambda d: (1.25 * d - 2.25) * d * d + 1, lambda d: -0.75 * (((d - 5) * d + 8) * d - 4)
-        return [far(t + 1), near(t), near(1 - t), far(2 - t)]
-
-    out = np.zeros((h, w))
-    for i, wy in enumerate(cubic(sy - y0)):
-        for j, wx in enumerate(cubic(sx - x0)):
-            out += wy * wx * image[np.clip(y0 + i - 1, 0, h - 1), np.clip(x0 + j - 1, 0, w - 1)]
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
-
-
-def adaptive(image: np.ndarray, size: int = 21, offset: int = 11) -> np.ndarray:
-    """White where a pixel is above the Gaussian mean of its surroundings less the offset."""
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    p, (h, w) = np.pad(image.astype(float), size // 2, "edge"), image.shape
-    rows = sum(k[i] * p[i : i + h] for i in range(size))
-    mean = np.rint(sum(k[i] * rows[:, i : i + w] for i in range(size)))
-    return np.where(image - mean > -offset, 255, 0).astype(np.uint8)
-
-
-#: The steps of preprocess(), in order; all but the first and the last can be left out.
-STEPS = ("original", "resize", "grayscale", "denoise", "contrast", "deskew", "thresholding", "clean")
-
-
-def preprocess(images: DataFrame, skip: tuple[str, ...] = (), method: str = "adaptive", angles: DataFrame | None = None) -> DataFrame:
-    """Every step's image: origin, step, step_key, height, width, nChannels, data and skew_angle.
-
-    skip: steps to leave out.  method: adaptive or otsu.  angles: origin and skew_angle, see skew_angle(); an
-    image without one is not turned.
+    functions: pixels (height x width x channels, or without channels) to pixels, by name; the image library is the caller's.
     """
-    if unknown := set(skip) - set(STEPS[1:-1]):
+    if unknown := set(skip) - set(functions):
         raise ValueError(f"no such step: {sorted(unknown)}")
-    plain = images.select("origin", "height", "width", "nChannels", "data")
-    angle = F.lit(0.0).alias("skew_angle")
-    plain = plain.withColumn("skew_angle", F.lit(0.0)) if angles is None else plain.join(angles.select("origin", "skew_angle"), "origin", "left").withColumn("skew_angle", F.coalesce("skew_angle", angle))
+    wanted = [(k, f) for k, f in functions.items() if k not in skip]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for _, row in pdf.iterrows():
-                now, out, turn = _pixels(row), [], float(row["skew_angle"])
-                for k, step in enumerate(s for s in STEPS if s not in skip):
-                    level = now if now.ndim == 2 else grey(now)
-                    if step == "resize" and max(now.shape[:2]) > MAX_SIDE:
-                        scale = MAX_SIDE / max(now.shape[:2])
-                        now = resized(now if now.ndim == 3 else now[..., None], int(now.shape[1] * scale), int(now.shape[0] * scale))
-                    elif step == "grayscale":
-                        now = level
-                    elif step == "denoise":
-                        now = denoised(level)
-                    elif step == "contrast":
-                        now = contrasted(level)
-                    elif step == "deskew":
-                        now = rotated(level, turn) if abs(turn) > 0.3 else level
-                    elif step == "thresholding":
-                        now = adaptive(level) if method == "adaptive" else np.where(level > otsu(level), 255, 0).astype(np.uint8)
-                    elif step == "clean":
-                        now = opened(level)
-                    out.append((row["origin"], k, step, now.shape[0], now.shape[1], 1 if now.ndim == 2 else now.shape[2], now.tobytes(), turn))
-                yield pd.DataFrame(out, columns=["origin", "step", "step_key", "height", "width", "nChannels", "data", "skew_angle"])
-
-    return plain.mapInPandas(run, "origin string, step int, step_key string, height int, width int, nChannels int, data binary, skew_angle double")
+                now, out = _pixels(row), []
+                for k, (name, f) in enumerate([("original", lambda x: x), *wanted]):
+                    now = f(now)
+                    out.append((row["origin"], k, name, now.shape[0], now.shape[1], 1 if now.ndim == 2 else now.shape[2], now.tobytes()))
+                yield pd.DataFrame(out, columns=["origin", "step", "step_key", "height", "width", "nChannels", "data"])
+
+    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "origin string, step int, step_key string, height int, width int, nChannels int, data binary")
 
 
 def patches(boxes: DataFrame, least: int = 4) -> DataFrame:

@@ -110,19 +110,16 @@ def test_ocr_chunks(spark):
     assert [tuple(r) for r in chunk.document_meta(chunk.ocr_chunks(spark.createDataFrame(lines, LINE + ", bbox string"))).collect()] == [(1, "1", 3)]
 
 
-def test_preprocessing_steps(spark):
+def test_image_steps(spark):
     image = np.full((60, 90, 3), 230, np.uint8)
     image[20:26, 10:80] = 20
     df = spark.createDataFrame([("a", 60, 90, 3, bytearray(image.tobytes()))], "origin string, height int, width int, nChannels int, data binary")
-    rows = images.preprocess(df).orderBy("step").collect()
-    assert [r["step_key"] for r in rows] == list(images.STEPS)
-    last = np.frombuffer(rows[-1]["data"], np.uint8).reshape(60, 90)
-    assert last[22, 40] == 0 and last[50, 40] == 255 and set(np.unique(last)) == {0, 255}
-    assert [r["step_key"] for r in images.preprocess(df, ("denoise", "deskew"), "otsu").orderBy("step").collect()] == [s for s in images.STEPS if s not in ("denoise", "deskew")]
-    flat = np.full((40, 50), 77, np.uint8)
-    assert (images.denoised(flat) == 77).all() and (images.rotated(flat, 5) == 77).all() and (images.resized(flat[..., None], 25, 20) == 77).all()
-    g = image[..., 0]
-    assert (images.rotated(g, 0) == g).all() and np.abs(images.rotated(np.ascontiguousarray(np.rot90(np.tile(g[:60, :60], 1))), -90).astype(int)[2:-2, 2:-2] - g[:60, :60][2:-2, 2:-2]).mean() < 12
+    functions = {"half": lambda x: x[::2, ::2], "grey": images.grey, "ink": lambda x: np.where(x > 128, 255, 0).astype(np.uint8)}
+    rows = images.steps(df, functions).orderBy("step").collect()
+    assert [(r["step_key"], r["height"], r["nChannels"]) for r in rows] == [("original", 60, 3), ("half", 30, 3), ("grey", 30, 1), ("ink", 30, 1)]
+    last = np.frombuffer(rows[-1]["data"], np.uint8).reshape(30, 45)
+    assert last[11, 20] == 0 and last[25, 20] == 255
+    assert [r["step_key"] for r in images.steps(df, functions, ("half",)).orderBy("step").collect()] == ["original", "grey", "ink"]
     boxes = spark.createDataFrame([(1, -5, 2, 20, 10, 100, 50), (2, 98, 10, 20, 20, 100, 50)], "k int, x int, y int, width int, height int, image_width int, image_height int")
     assert [(r["k"], r["x"], r["width"]) for r in images.patches(boxes).collect()] == [(1, 0, 15)]
 
