@@ -165,11 +165,12 @@ def all_fields(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("doc_id", F.explode(F.concat(F.coalesce("f", none), F.coalesce("g", none))).alias("f")).select("doc_id", "f.*")
 
 
-def extraction_results(lines: DataFrame, words: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
-    """One row for each document: doc_id, document_type, summary, overall_confidence, fields and key_values.
+def extraction_results(lines: DataFrame, words: DataFrame | None = None, hints: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """One row for each document: doc_id, document_type, summary, overall_confidence, fields, key_values and, if given, tables.
 
     Rules first, then key/values of lines and words, then what these add to the fields; type, summary and mean
-    are of the merged fields.  hints: doc_id and document_type where it is known.
+    are of the merged fields.  hints: doc_id and document_type where it is known.  tables: doc_id, page_number, table_id,
+    headers and rows; a document's tables follow in the order of its pages, the header being the first row.
     """
     pairs = key_values(lines, words)
     fields = all_fields(lines, pairs)
@@ -181,7 +182,12 @@ def extraction_results(lines: DataFrame, words: DataFrame | None = None, hints:
     listed = F.array_sort(F.collect_list(F.struct("place", "field", "name", "value", "confidence", "page_number", "method")))
     by = fields.groupBy("doc_id").agg(F.transform(listed, lambda s: s.dropFields("place")).alias("fields"))
     kv = pairs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "page_number", "key", "value", "confidence"))), lambda s: s.dropFields("position")).alias("key_values"))
-    return summaries(fields, types).join(by, "doc_id", "left").join(kv, "doc_id", "left")
+    out = summaries(fields, types).join(by, "doc_id", "left").join(kv, "doc_id", "left")
+    if tables is None:
+        return out
+    rows = F.when(F.size("headers") > 0, F.concat(F.array("headers"), F.col("rows"))).otherwise(F.col("rows"))
+    listed = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "table_id", rows.alias("rows")))).alias("tables"))
+    return out.join(listed, "doc_id", "left")
 
 
 def document_type(text: Column, hint: Column | None = None) -> Column:
@@ -193,9 +199,12 @@ def document_type(text: Column, hint: Column | None = None) -> Column:
 
 
 def summaries(fields: DataFrame, types: DataFrame) -> DataFrame:
-    """doc_id, document_type, summary and overall_confidence (mean, 0.85 without fields)."""
+    """doc_id, document_type, summary and overall_confidence (mean, 0.85 without fields).
+
+    Confidences have two digits; their hundredths are summed, so the mean does not depend on the order of rows.
+    """
     value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
-    by = fields.groupBy("doc_id").agg(value("invoice_number").alias("n"), value("customer_name").alias("c"), value("invoice_date").alias("d"), F.max(F.when(F.col("field") == "total_amount", F.col("value_num"))).alias("t"), F.avg("confidence").alias("mean"))
+    by = fields.groupBy("doc_id").agg(value("invoice_number").alias("n"), value("customer_name").alias("c"), value("invoice_date").alias("d"), F.max(F.when(F.col("field") == "total_amount", F.col("value_num"))).alias("t"), (F.avg(F.round(F.col("confidence") * 100)) / 100).alias("mean"))
     part = lambda lead, c: F.concat(F.lit(lead), c, F.lit("."))
     text = F.concat_ws(" ", part("Classified as ", F.upper("document_type")), part("Number: ", F.col("n")), part("Name: ", F.col("c")), part("Date: ", F.col("d")), part("Total: ", F.col("t").cast("string")))
     return types.join(by, "doc_id", "left").select("doc_id", "document_type", text.alias("summary"), F.coalesce(F.round("mean", 3), F.lit(0.85)).alias("overall_confidence"))

@@ -55,10 +55,14 @@ def summary_chunks(spark, d):
 
 
 def extraction_result(spark, d):
-    """The whole extraction: fields of the rules and of key/values together, with type, summary and mean confidence."""
-    out = extract.extraction_results(S.invoice_lines(spark, d))
+    """The whole extraction: fields of the rules and of key/values of lines and words together, with type, summary, mean confidence and tables."""
+    out = extract.extraction_results(S.invoice_lines(spark, d), S.order_words(spark, d), tables=_tables(spark, d))
     names = lambda c, k: F.array_join(F.transform(c, lambda f: f[k]), "|")
-    return out.select("doc_id", "document_type", "summary", "overall_confidence", names("fields", "field").alias("fields"), names("fields", "value").alias("field_values"), names("fields", "method").alias("methods"), names("key_values", "key").alias("keys"))
+    rows = F.array_join(F.flatten(F.transform("tables", lambda t: F.transform(t["rows"], lambda r: F.array_join(r, " | ")))), "\n")
+    return out.select(
+        "doc_id", "document_type", "summary", "overall_confidence", names("fields", "field").alias("fields"), names("fields", "value").alias("field_values"), names("fields", "method").alias("methods"),
+        names("key_values", "key").alias("keys"), names("key_values", "value").alias("key_values"), F.coalesce(rows, F.lit("")).alias("table_rows"),
+    )
 
 
 def ocr_index(spark, d):
@@ -248,13 +252,62 @@ tn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) AS k,
 _SUMMARY = f"""SELECT doc_id, doc_id || '_summary' AS chunk_id, 'Structured Document Entities:' || chr(10) || string_agg(array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ': ' || value, chr(10) ORDER BY list_position([{", ".join(f"'{f}'" for f in _NAMES)}], field)) AS text FROM fields GROUP BY 1"""
 _TABLE_ROWS = "tc AS (SELECT doc_id, doc_id || '_t0_r' || i AS chunk_id, 'Table 1 Row ' || (i + 1) || ': ' || r AS text FROM (SELECT *, k - CASE WHEN rows_ > 1 THEN 2 ELSE 1 END AS i FROM tn WHERE k > 1 OR rows_ = 1))"
 
+
+
+def _merged_sql(pairs: str, removed: tuple[str, ...] = ()) -> str:
+    """CTEs up to ``added`` (doc_id, n, field, value, method, key): the merge, one pair of a document at a time.
+
+    pairs: a relation p(doc_id, n, key, value), n counting from 1 in a document.
+    """
+    fits = "list_filter([" + ", ".join(f"CASE WHEN {_any('lower(key)', w)} THEN '{f}' END" for f, w in fixed.KEY_WORDS.items()) + "], lambda f: f IS NOT NULL)"
+    name = f"regexp_replace(regexp_replace({STRIP.format(x='lower(key)')}, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g')"
+    date = "CASE WHEN regexp_matches(v, '^\\d{2}/\\d{2}/\\d{4}$') THEN strftime(strptime(v, '%d/%m/%Y'), '%Y-%m-%d') ELSE v END"
+    gone = f"WHERE field NOT IN ({', '.join(f"'{f}'" for f in removed)})" if removed else ""
+    return f"""
+pairs AS (SELECT doc_id, n, key, {STRIP.format(x='value')} AS v, {fits} AS fits, {name} AS name, coalesce(TRY_CAST(nullif(regexp_replace(value, '[^0-9.]', '', 'g'), '') AS DOUBLE) > 0, false) AS amount FROM ({pairs})),
+have AS (SELECT doc_id, list(field) AS taken FROM fields {gone} GROUP BY 1),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS n, coalesce(taken, []::VARCHAR[]) AS taken, NULL::VARCHAR AS field, NULL::VARCHAR AS value, NULL::VARCHAR AS method, NULL::VARCHAR AS key FROM (SELECT DISTINCT doc_id FROM pairs) LEFT JOIN have USING (doc_id)
+  UNION ALL SELECT doc_id, n, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick, CASE WHEN f IS NULL THEN v WHEN f = 'invoice_date' THEN {date} ELSE v END, CASE WHEN f IS NULL THEN 'form_field' ELSE 'spatial_kv' END, key FROM (
+    SELECT *, CASE WHEN f IS NULL THEN CASE WHEN length(name) BETWEEN 1 AND 30 AND NOT list_contains(taken, name) THEN name END WHEN f <> 'total_amount' OR amount THEN f END AS pick FROM (
+      SELECT p.*, fold.taken, list_filter(p.fits, lambda f: NOT list_contains(fold.taken, f))[1] AS f FROM fold JOIN pairs p ON p.doc_id = fold.doc_id AND p.n = fold.n + 1))),
+added AS (SELECT * FROM fold WHERE field IS NOT NULL)"""
+
+
+_RESULT_SQL = f"""WITH RECURSIVE {_fields_sql(_NAMES)}, {_KV}, {{table}}, sk AS ({{spatial}}),
+both_kv AS (SELECT doc_id, page_number, 0 AS kind, line_number AS place, key, value, 0.9::DOUBLE AS confidence FROM kv
+  UNION ALL SELECT doc_id, 1, 1, word_idx, key, value, confidence FROM sk WHERE NOT EXISTS (SELECT 1 FROM kv WHERE kv.doc_id = sk.doc_id AND kv.page_number = 1 AND lower(kv.key) = lower(sk.key))),
+allkv AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, kind, place, key, value) AS n FROM both_kv),
+{_merged_sql('SELECT doc_id, n, key, value FROM allkv')},
+one AS (SELECT doc_id, field, value, value_num, confidence, CASE WHEN field = 'vendor_name' THEN 'rule_based' ELSE 'regex' END AS method, CASE WHEN line_number IS NULL THEN 1 ELSE 0 END AS late, page_number AS p, CASE WHEN field = 'vendor_name' THEN 0 ELSE line_number END AS line,
+    list_position([{", ".join(f"'{f}'" for f in _NAMES)}], field) AS rule FROM fields
+  UNION ALL SELECT a.doc_id, a.field, a.value, CASE WHEN a.field = 'total_amount' AND method = 'spatial_kv' THEN TRY_CAST(nullif(regexp_replace(a.value, '[^0-9.]', '', 'g'), '') AS DOUBLE) END, k.confidence, method, 2, 0, 0, a.n FROM added a JOIN allkv k ON k.doc_id = a.doc_id AND k.n = a.n),
+fl AS (SELECT doc_id, string_agg(field, '|' ORDER BY late, p, line, rule) AS fields, string_agg(value, '|' ORDER BY late, p, line, rule) AS field_values, string_agg(method, '|' ORDER BY late, p, line, rule) AS methods, avg(round(confidence * 100)) / 100 AS m,
+  max(CASE WHEN field = 'invoice_number' THEN value END) AS num, max(CASE WHEN field = 'customer_name' THEN value END) AS cust, max(CASE WHEN field = 'invoice_date' THEN value END) AS day, max(CASE WHEN field = 'total_amount' THEN value_num END) AS tot FROM one GROUP BY 1),
+kl AS (SELECT doc_id, string_agg(key, '|' ORDER BY n) AS keys, string_agg(value, '|' ORDER BY n) AS key_values FROM allkv GROUP BY 1),
+ty AS (SELECT doc_id, {_TYPE.format(x="string_agg(text, chr(10) ORDER BY line_number)")} AS document_type FROM lines GROUP BY 1),
+tt AS (SELECT doc_id, string_agg(r, chr(10) ORDER BY k) AS table_rows FROM tn GROUP BY 1)
+SELECT ty.doc_id, document_type, concat_ws(' ', 'Classified as ' || upper(document_type) || '.', 'Number: ' || num || '.', 'Name: ' || cust || '.', 'Date: ' || day || '.', 'Total: ' || CAST(tot AS VARCHAR) || '.') AS summary, coalesce(round(m, 3), 0.85::DOUBLE) AS overall_confidence,
+  fields, field_values, methods, keys, key_values, coalesce(table_rows, '') AS table_rows FROM ty LEFT JOIN fl USING (doc_id) LEFT JOIN kl USING (doc_id) LEFT JOIN tt USING (doc_id)"""
+
+_LINES_BY_MEAN = f"""WITH RECURSIVE {S.WORDS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, word_idx, height, width, text) AS n, y + height / 2.0::DOUBLE AS c FROM words),
+f AS (
+  SELECT doc_id, n, 1 AS line, c AS centres, height::DOUBLE AS heights, 1 AS k FROM o WHERE n = 1
+  UNION ALL SELECT doc_id, n, CASE WHEN j THEN line ELSE line + 1 END, CASE WHEN j THEN centres ELSE 0 END + c, CASE WHEN j THEN heights ELSE 0 END + height, CASE WHEN j THEN k ELSE 0 END + 1 FROM (
+    SELECT o.doc_id, o.n, o.c, o.height::DOUBLE AS height, line, centres, heights, k, abs(o.c - centres / k) <= heights / k * 0.65::DOUBLE AS j FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)),
+w AS (SELECT o.*, f.line FROM o JOIN f ON o.doc_id = f.doc_id AND o.n = f.n)
+SELECT doc_id, 1 AS page_number, line AS line_number, string_agg(text, ' ' ORDER BY w.x, w.y, word_idx, text) AS text, round(avg(confidence), 3) AS confidence, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM w WHERE text <> '' GROUP BY 1, 3"""
+
 ORACLES = {
+    "merge_fields": f"WITH RECURSIVE {_fields_sql(_NAMES)}, {_KV}, {_merged_sql('SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS n, key, value FROM kv', ('customer_name', 'phone', 'total_amount'))} SELECT a.doc_id, a.field, a.value, a.method, k.line_number AS position FROM added a JOIN (SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS n FROM kv) k ON k.doc_id = a.doc_id AND k.n = a.n",
+    "line_assembly": _LINES_BY_MEAN,
     "extract_fields": f"WITH {_fields_sql(_NAMES)} SELECT * FROM fields",
     **{f"extract_{f}": f"WITH {_fields_sql([f])} SELECT doc_id, value, value_num, page_number, line_number, confidence FROM fields" for f in _NAMES},
     "line_key_values": f"WITH {S.LINES_SQL}, l AS (SELECT *, {STRIP.format(x='text')} AS t FROM lines), {_KV} SELECT * FROM kv",
     "document_type": f"SELECT doc_id, {_TYPE.format(x='text')} AS document_type FROM documents",
     "extraction_summary": f"""WITH {_fields_sql(_NAMES)}, ty AS (SELECT doc_id, {_TYPE.format(x="string_agg(text, chr(10) ORDER BY line_number)")} AS document_type FROM lines GROUP BY 1),
-f AS (SELECT doc_id, max(CASE WHEN field = 'invoice_number' THEN value END) AS n, max(CASE WHEN field = 'customer_name' THEN value END) AS c, max(CASE WHEN field = 'invoice_date' THEN value END) AS d, max(CASE WHEN field = 'total_amount' THEN value_num END) AS t, avg(confidence) AS m FROM fields GROUP BY 1)
+f AS (SELECT doc_id, max(CASE WHEN field = 'invoice_number' THEN value END) AS n, max(CASE WHEN field = 'customer_name' THEN value END) AS c, max(CASE WHEN field = 'invoice_date' THEN value END) AS d, max(CASE WHEN field = 'total_amount' THEN value_num END) AS t, avg(round(confidence * 100)) / 100 AS m FROM fields GROUP BY 1)
 SELECT ty.doc_id, document_type, concat_ws(' ', 'Classified as ' || upper(document_type) || '.', 'Number: ' || n || '.', 'Name: ' || c || '.', 'Date: ' || d || '.', 'Total: ' || CAST(t AS VARCHAR) || '.') AS summary, coalesce(round(m, 3), 0.85::DOUBLE) AS overall_confidence FROM ty LEFT JOIN f ON ty.doc_id = f.doc_id""",
     "summary_chunks": f"WITH {_fields_sql(_NAMES)} {_SUMMARY}",
     "ocr_index": f"""WITH {_fields_sql(_NAMES)}, {_TABLE.removeprefix('WITH ')}, sm AS ({_SUMMARY}), {_TABLE_ROWS},
@@ -297,3 +350,4 @@ SELECT path, extension, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[^a
     "glyph_confidence": "SELECT l_orderkey AS doc_id, round(least(0.95::DOUBLE, greatest(0.5::DOUBLE, 1 - var_pop(l_quantity + 10) / pow(median(l_quantity + 10), 2))), 3) AS confidence FROM lineitem GROUP BY 1",
     "ctc_decode": "WITH s AS (SELECT p_partkey, list_transform(range(0, 12), lambda i: (p_partkey * (i // 3) + i // 2) % 4) AS s FROM part) SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, 13), lambda i: s[i] <> 0 AND (i = 1 OR s[i] <> s[i - 1])), lambda i: substr('abc', s[i], 1)), '') AS text FROM s",
 }
+ORACLES["extraction_result"] = _RESULT_SQL.replace("{spatial}", ORACLES["spatial_kv"].replace(S.WORDS_SQL + ",", "", 1).replace("SELECT doc_id, word_idx, key, value, confidence FROM (", "SELECT * EXCLUDE (n) FROM (")).replace("{table}", _TABLE.removeprefix("WITH "))

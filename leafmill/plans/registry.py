@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import document_queries, text_queries
+from leafmill.plans import document_queries, state_queries, text_queries
 
-MODULES = (text_queries, document_queries)
+MODULES = (text_queries, document_queries, state_queries)
 
 
 def queries() -> dict:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
 from leafmill.functions import text as X
-from leafmill.operators import chunk, embed, retrieve, similar
+from leafmill.operators import chunk, embed, retrieve, similar, stored
 from leafmill.plans import synthetic as S
 from leafmill.sources import spread
+from leafmill.sources.shared import shared_folder
 
 STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda w: w <> '')"
@@ -110,8 +113,11 @@ def whole_question_retrieval(spark, d):
 
 
 def hybrid_retrieval(spark, d):
-    chunks = chunk.paragraph_chunks(_docs(spark, d))
-    return retrieve.top_k(retrieve.scored(_questions(spark, d), chunks, dense=True)).select("question_id", "chunk_id", "score", "rank")
+    """The best chunks for the questions by stored words and vectors."""
+    name = f"stored_chunks_{uuid.uuid4().hex}"
+    store = stored.StoredChunks(spark, name, f"{shared_folder(spark)}/{name}")
+    store.add(chunk.paragraph_chunks(_docs(spark, d)))
+    return store.best(_questions(spark, d)).select("question_id", "chunk_id", "score", "rank")
 
 
 def hybrid_answers(spark, d):
@@ -163,13 +169,21 @@ def chat_target_doc(spark, d):
     return retrieve.target_document(r, F.lit("last"))
 
 
-_CHUNKS = f"""
-pars AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format(x="x")}), lambda x: x <> '') AS l FROM documents),
-cut AS (SELECT doc_id, flatten(list_transform(l, lambda p: CASE WHEN length(p) <= {fixed.PARAGRAPH_CHARS} THEN [p] ELSE
+def chunks_sql(source: str = "documents", key: str | None = None) -> str:
+    """CTEs up to ``chunks`` of a relation with doc_id and text; key: a further column that tells its rows apart."""
+    also = f", {key}" if key else ""
+    return f"""
+pars AS (SELECT doc_id{also}, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format(x="x")}), lambda x: x <> '') AS l FROM {source}),
+cut AS (SELECT doc_id{also}, flatten(list_transform(l, lambda p: CASE WHEN length(p) <= {fixed.PARAGRAPH_CHARS} THEN [p] ELSE
   list_filter(list_transform(range(0, len(regexp_split_to_array(p, '[\\s\\p{{Z}}]+')), {fixed.STEP_WORDS}),
     lambda i: array_to_string(list_slice(regexp_split_to_array(p, '[\\s\\p{{Z}}]+'), i + 1, i + {fixed.WINDOW_WORDS}), ' ')), lambda c: length(c) > {fixed.LEAST_CHARS}) END)) AS l FROM pars),
-chunks AS (SELECT doc_id, doc_id || '_p1_c' || (i - 1) AS chunk_id, i - 1 AS chunk_idx, 1 AS page_number, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM cut))
+chunks AS (SELECT doc_id{also}, doc_id || '_p1_c' || (i - 1) AS chunk_id, i - 1 AS chunk_idx, 1 AS page_number, l[i] AS text FROM (SELECT doc_id{also}, l, unnest(range(1, len(l) + 1)) AS i FROM cut))
 """
+
+
+_CHUNKS = chunks_sql()
+
+
 def _scored(k: int = 4) -> str:
     return f"""
 q AS (SELECT question_id, doc_id, question, list_distinct({TOKENS.format(x="question")}) AS qw FROM questions),
