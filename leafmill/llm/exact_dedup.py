@@ -3,10 +3,11 @@
 The index is a table of one row per distinct normalised text, bucketed and sorted by its SHA-256
 digest; it exists from the start, empty.  A new batch is reduced to its own distinct digests,
 deduplicated against the index by a sort-merge anti-join on the digest, and what is new is appended.  The
-join uses the buckets, so the index is neither shuffled nor sorted, where it has as many as the session
-has shuffle partitions, which is the default.
+join uses the buckets, so the index is not shuffled, where it has as many as the session has shuffle partitions,
+which is the default; its buckets, one sorted file a batch, are sorted in the task that reads them.
 
-Only digests travel; they are computed once, in the scan, and written down.  A text that fills a third of
+``deduplicate`` moves digests only; they are computed once, in the scan, and written down.  ``kept_rows`` computes
+them again to find the rows that stay, and moves rows with their texts once, by digest.  A text that fills a third of
 all rows is pre-aggregated before the shuffle, and the join that brings the answer back to the rows is an
 ordinary equi-join, which Spark splits where a digest is hot.
 

@@ -41,7 +41,7 @@ LONGEST, LEAST = 4, 30
 HELD = 80
 BEST, SCALE = 2000, 2_000_000
 #: Bytes of text whose equal projections are counted together before anything is shuffled.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Projections that are handed on together.
 ROWS = 20_000
 #: Bits of a sieve (8 MB), and how many of them a phrase sets.
