@@ -264,8 +264,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = signed.where("n > 0 and id is not null").groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
     member = signed.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    # of rows that repeat an id with different texts the smallest one speaks
-    reps = reps.groupBy("id").agg(F.min(F.struct("n", "d0", "d1", "bands", "sketch")).alias("s")).select("id", "s.*")
+    twice = reps.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
+    if not twice.isEmpty():  # of rows that repeat an id with different texts the smallest one speaks
+        smallest = reps.join(twice, "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "d0", "d1", "bands", "sketch")).alias("s")).select("id", "s.*")
+        reps = reps.join(twice, "id", "left_anti").unionByName(smallest.select(*reps.columns))
     joined = components(links(docs.where("id is not null"), reps, by, secret))
     out = member.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
