@@ -262,7 +262,7 @@ class Collection:
         rank[n] = 0
         while True:
             key = rank[:n] * (int(rank.max()) + 1) + rank[follow[:n]]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys share a rank, so their order does not matter
             fresh = np.ones(n, bool)
             fresh[1:] = key[order][1:] != key[order][:-1]
             rank = rank.copy()
