@@ -151,7 +151,7 @@ def chat_completion(spark, d):
 
 def embedding_inputs(spark, d):
     """The user's texts of a conversation as one embedding request."""
-    c = S.read(spark, d, "conversations").where("role = 'user' and text is not null")
+    c = S.read(spark, d, "conversations").where("role = 'user'").withColumn("text", F.coalesce("text", F.lit("")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
     out = retrieve.embedded_inputs(c.groupBy(F.col("conv_id").alias("request_id")).agg(texts.alias("inputs")))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
@@ -163,7 +163,8 @@ def chat_last_user(spark, d):
 
 
 def chat_target_doc(spark, d):
-    c = S.read(spark, d, "conversations").where("turn = 0")
+    first = F.min(F.struct("turn", "text")).alias("first")
+    c = S.read(spark, d, "conversations").groupBy("conv_id").agg(first).select("conv_id", "first.text")
     tagged = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Use doc_id: D"), F.col("conv_id").cast("string"), F.lit(" only")))
     r = c.select(F.col("conv_id").alias("request_id"), F.when(F.col("conv_id") % 5 == 0, F.lit("own")).alias("doc_id"), F.coalesce(tagged, F.col("text")).alias("system_text"))
     return retrieve.target_document(r, F.lit("last"))
@@ -256,7 +257,7 @@ ORACLES = {
     "answers": f"WITH {_LINE_CHUNKS}, {_SCORED}, {_ANSWERED} SELECT question_id, r.i AS intent, r.a AS answer, round(r.c, 3) AS confidence_score, retrieval_count FROM r",
     "query_citations": f"WITH {_LINE_CHUNKS}, {_SCORED} SELECT question_id, CAST(rank - 1 AS INTEGER) AS position, page_number, text, score FROM top",
     "chat_completion": _CHAT,
-    "embedding_inputs": f"WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL) SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS index, CAST(384 AS INTEGER) AS dimension, 1.0::DOUBLE AS length, CAST(sum({_WORDS.format(x='text')}) OVER (PARTITION BY conv_id) AS BIGINT) AS prompt_tokens FROM c",
+    "embedding_inputs": f"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user') SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS index, CAST(384 AS INTEGER) AS dimension, 1.0::DOUBLE AS length, CAST(sum({_WORDS.format(x='text')}) OVER (PARTITION BY conv_id) AS BIGINT) AS prompt_tokens FROM c",
     "chat_last_user": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY 1",
-    "chat_target_doc": r"SELECT conv_id AS request_id, coalesce(CASE WHEN conv_id % 5 = 0 THEN 'own' END, nullif(regexp_extract(coalesce(CASE WHEN conv_id % 3 = 0 THEN 'Use doc_id: D' || conv_id || ' only' END, text), 'doc_id:\s*(\S+)', 1), ''), 'last') AS doc_id FROM conversations WHERE turn = 0",
+    "chat_target_doc": r"SELECT conv_id AS request_id, coalesce(CASE WHEN conv_id % 5 = 0 THEN 'own' END, nullif(regexp_extract(coalesce(CASE WHEN conv_id % 3 = 0 THEN 'Use doc_id: D' || conv_id || ' only' END, text), 'doc_id:\s*(\S+)', 1), ''), 'last') AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) AS k FROM conversations) WHERE k = 1",
 }

@@ -34,12 +34,16 @@ ROW_GROUP = 8 << 20
 
 
 class ChunkIndex:
-    """schema: the columns of chunks; doc_id is one of them, of any type."""
+    """schema: the columns of chunks; doc_id is one of them, of any type.  None: those that the index has."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = CHUNKS, row_group: int = ROW_GROUP):
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = CHUNKS, row_group: int = ROW_GROUP):
         self.spark, self.path, self.row_group = spark, path.rstrip("/"), row_group
+        if schema is None:
+            batch = next((r["batch"] for r in self.commits() if children(spark, f"{self.path}/chunks/batch={r['batch']}")), None)
+            schema = spark.read.parquet(f"{self.path}/chunks/batch={batch}").schema.toDDL() if batch else CHUNKS
         self.empty = spark.createDataFrame([], schema)
         self.columns = self.empty.columns
+        self.order = [c for c in ("doc_id", "chunk_idx") if c in self.columns]
         key = self.empty.schema["doc_id"].dataType.simpleString()
         self.schemas = {"chunks": f"{schema}, batch string", "documents": f"doc_id {key}, title string, chunk_count bigint, replaces boolean, first_indexed_at timestamp, indexed_at timestamp, batch string"}
 
@@ -98,7 +102,7 @@ class ChunkIndex:
             return None
         batch = uuid.uuid4().hex
         if kind != "delete":
-            self._save(chunks.select(*self.columns).sortWithinPartitions("doc_id", "chunk_idx"), batch)
+            self._save(chunks.select(*self.columns).sortWithinPartitions(*self.order), batch)
         brought = self._read("chunks", [(batch, 0, None)]) if kind != "delete" else self.empty
         touched = brought.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
         if documents is not None:
@@ -122,7 +126,7 @@ class ChunkIndex:
         if not base:
             return None
         batch = uuid.uuid4().hex
-        self._save(self.chunks(base).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "chunk_idx"), batch)
+        self._save(self.chunks(base).repartitionByRange("doc_id").sortWithinPartitions(*self.order), batch)
         listed = self.documents(base).withColumn("replaces", F.lit(False))
         listed.select("doc_id", "title", "chunk_count", "replaces", "first_indexed_at", "indexed_at").write.parquet(f"{self.path}/documents/batch={batch}")
         return self._commit("compact", batch, None, base)
@@ -161,7 +165,7 @@ class ChunkIndex:
 
     def document(self, doc_id: object, version: int | None = None) -> DataFrame:
         """Chunks of one document: the condition reaches the scans, where footers and Bloom filters leave few row groups."""
-        return self.chunks(version).where(F.col("doc_id") == F.lit(doc_id)).orderBy("chunk_idx")
+        return self.chunks(version).where(F.col("doc_id") == F.lit(doc_id)).orderBy(*self.order)
 
     def lookup(self, documents: DataFrame, version: int | None = None) -> DataFrame:
         """Chunks of all the given documents (doc_id)."""

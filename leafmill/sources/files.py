@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-
-CHUNK_SCHEMA = "doc_id string, chunk_id string, chunk_idx bigint, page_number int, text string, embedding array<float>"
+from leafmill.sources.chunk_index import ChunkIndex
 
 
 def extension(path: Column) -> Column:
@@ -27,11 +26,11 @@ def detected_type(header: Column) -> Column:
     return found
 
 
-def validated(files: DataFrame) -> DataFrame:
-    """(path, length, header) with extension, safe name, detected type and the reason of a rejection (null if accepted)."""
+def validated(files: DataFrame, *more: str) -> DataFrame:
+    """(path, length, header) with extension, safe name, detected type and the reason of a rejection (null if accepted); more: columns that are passed on."""
     ext = extension(F.col("path"))
     reason = F.when(~ext.isin(fixed.EXTENSIONS), "extension").when(F.col("length") > fixed.MAX_BYTES, "size").when(F.col("length") == 0, "empty")
-    return files.select("path", "length", ext.alias("extension"), safe_name(F.col("path")).alias("name"), detected_type(F.col("header")).alias("detected_type"), reason.alias("rejected"))
+    return files.select("path", "length", ext.alias("extension"), safe_name(F.col("path")).alias("name"), detected_type(F.col("header")).alias("detected_type"), reason.alias("rejected"), *more)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -52,38 +51,22 @@ def decode_base64(text: Column) -> Column:
 
 
 def write_index(chunks: DataFrame, path: str, replace: bool) -> None:
-    """Write chunks by hash partition of the document; replace rewrites the documents' partitions, else rows are appended."""
-    spark = chunks.sparkSession
-    rows = chunks.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    if not replace:
-        rows.write.mode("append").partitionBy("part").parquet(path)
-        return
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows.write.partitionBy("part").parquet(path)
-        return
-    touched = rows.select("part").distinct()
-    stay = old.join(touched, "part", "left_semi").join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-    # held while the partitions that it was read from are replaced
-    whole = rows.unionByName(stay).persist()
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    whole.unpersist()
+    """Add chunks to an index, or put them in place of what their documents had; see ChunkIndex."""
+    index = ChunkIndex(chunks.sparkSession, path, chunks.schema.toDDL())
+    index.replace(chunks) if replace else index.append(chunks)
 
 
 def load_index(spark: SparkSession, path: str, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks and metadata (doc_id, title, chunk_count) of a stored index; files that cannot be read are skipped.
+    """Chunks and metadata (doc_id, title, chunk_count) of a stored index.
 
-    meta: doc_id and title of the documents that have some; the title of the others is their id.
+    meta: doc_id and title of the documents that have some; the title of the others is the one that the index keeps, or their id.
     """
-    chunks = spark.read.option("ignoreCorruptFiles", "true").parquet(path).drop("part")
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    if meta is None:
-        return chunks, counts.select("doc_id", F.col("doc_id").cast("string").alias("title"), "chunk_count")
-    known = counts.join(meta.select("doc_id", "title"), "doc_id", "left")
-    return chunks, known.select("doc_id", F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), "chunk_count")
+    index = ChunkIndex(spark, path, None)
+    listed = index.documents().select("doc_id", "title", "chunk_count")
+    if meta is not None:
+        known = meta.groupBy("doc_id").agg(F.max("title").alias("_title"))
+        listed = listed.join(known, "doc_id", "left").select("doc_id", F.coalesce("_title", "title").alias("title"), "chunk_count")
+    return index.chunks(), listed
 
 
 def with_status(documents: DataFrame, events: DataFrame) -> DataFrame:

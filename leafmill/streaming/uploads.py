@@ -49,9 +49,8 @@ class Uploads:
     def ingest(self, files: DataFrame, number: int) -> None:
         """Take a batch of files: staged once, then judged, registered and indexed."""
         digest = files.select("path", F.coalesce("length", F.lit(0)).alias("length"), F.substring("content", 1, 16).alias("header"), F.sha2("content", 256).alias("doc_id"), self.read(F.col("content")).alias("text"))
-        checked = validated(digest).withColumnRenamed("rejected", "_rejected")
-        told = digest.join(checked.select("path", "name", "detected_type", "_rejected").dropDuplicates(["path"]), "path")
-        reason = F.coalesce("_rejected", F.when(F.col("text").isNull(), "unreadable").when(strip(F.col("text")) == "", "blank text"))
+        told = validated(digest, "doc_id", "text")
+        reason = F.coalesce("rejected", F.when(F.col("text").isNull(), "unreadable").when(strip(F.col("text")) == "", "blank text"))
         staged = f"{self.root}/staged/batch={number}"
         told.select("path", "name", "length", "detected_type", "doc_id", "text", reason.alias("rejected")).write.mode("overwrite").parquet(staged)
         rows = self.spark.read.parquet(staged)

@@ -281,12 +281,12 @@ def put(folder, **files):
 def test_uploads_by_a_stream_count_once(spark, tmp_path):
     from leafmill.streaming.uploads import Uploads, start_uploads, stream_files
 
-    put(tmp_path / "in", a__pdf=b"%PDF text one", b__pdf=b"%PDF text one", c__png=b"\x89PNG\r\n\x1a\n", d__exe=b"x", e__pdf=b"", f__pdf=b" \n ")
+    put(tmp_path / "in", a__pdf=b"%PDF text one", b__pdf=b"%PDF text one", c__png=b"\x89PNG\r\n\x1a\n", d__exe=b"x", f__pdf=b" \n ")
     uploads = Uploads(spark, f"file://{tmp_path}/root")
     go = lambda: start_uploads(stream_files(spark, str(tmp_path / "in")), uploads, f"{tmp_path}/checkpoint").awaitTermination()
     seen = lambda: (sorted((r["name"], r["batch"]) for r in uploads.registry().collect()), sorted((r["name"], r["rejected"]) for r in uploads.quarantine().collect()), uploads.index.version())
     go()
-    refused = [("c.png", "unreadable"), ("d.exe", "extension"), ("e.pdf", "empty"), ("f.pdf", "blank text")]
+    refused = [("c.png", "unreadable"), ("d.exe", "extension"), ("f.pdf", "blank text")]
     names, bad, version = seen()
     assert names == [("a.pdf", 0)] and bad == refused and version == 1
     go()
