@@ -44,10 +44,10 @@ LENGTH = 100
 K = 24
 #: Bytes of a symbol of the merged transforms; divides LENGTH.
 STEP = 20
-#: Shards of a merge, and bytes that are merged at once.
-SHARDS, MERGE_BYTES = 4, 1 << 18
+#: Shards of a merge, and bytes that are merged at once: what stays in a core's cache.
+SHARDS, MERGE_BYTES = 4, 1 << 16
 #: Opened bytes of one minimiser from which its windows are dealt out further.
-CROWDED_BYTES = 16 * MERGE_BYTES
+CROWDED_BYTES = 64 * MERGE_BYTES
 #: Texts whose minimisers are counted to find frequent ones, and how many of those are told apart.
 SAMPLED, FREQUENT = 20_000, 4096
 
@@ -207,22 +207,45 @@ def settle(prune: bool = True):
     return run
 
 
-def stable_order(code: np.ndarray) -> np.ndarray:
-    """Stable sorting permutation of codes below 2**32, by two passes over 16 bits."""
-    order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
-    if len(code) and code.max() >= 1 << 16:
-        order = order[np.argsort((code >> 16).astype(np.uint16)[order], kind="stable")]
-    return order
+def sorted_places(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable sorting permutation of non-negative keys below 2**width, and the sorted keys.
+
+    Where a key and its place fit into one number, the numbers themselves are sorted, which is several times cheaper than to sort places by keys.
+    """
+    bits = len(key).bit_length()
+    if width + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = key.astype(np.int64) << bits
+    both |= np.arange(len(key))
+    both.sort()
+    return both & ((1 << bits) - 1), both >> bits
+
+
+def dense_ranks(key: np.ndarray, width: int) -> np.ndarray:
+    """Rank from 0 of each key among the different keys."""
+    order, key = sorted_places(key, width)
+    rank, fresh = np.empty(len(key), np.int64), np.zeros(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    rank[order] = np.cumsum(fresh)
+    return rank
 
 
 def byte_ranks(data: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """Rank from 0, in the order of the bytes, of the ``size`` bytes from each place on; equal strings have equal ranks."""
-    view = np.ndarray((len(data) + 1,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    rank = np.zeros(len(place), np.int64)
-    for k in range(0, size, 8):
-        word = view[place + k].astype(U64) >> U64(8 * max(k + 8 - size, 0))
-        _, code = np.unique(word, return_inverse=True)
-        _, rank = np.unique(rank * (int(code.max(initial=0)) + 1) + code, return_inverse=True) if k else (None, code)
+    """Rank from 0, in the order of the bytes, of the ``size`` bytes from each place on; equal strings have equal ranks.
+
+    The ranks of the first and of the last ``reach`` bytes rank up to twice as many.
+    """
+    n, reach = len(data), min(size, 5)
+    view = np.ndarray((n + 1,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = place if reach == size else slice(n)
+    rank = dense_ranks((view[at].astype(U64) >> U64(64 - 8 * reach)).view(np.int64), 8 * reach)
+    while reach < size:
+        longer = min(2 * reach, size)
+        width = int(rank.max(initial=0)).bit_length()
+        last = np.concatenate([rank[longer - reach :], np.zeros(longer - reach, np.int64)])  # what the end cuts off is never asked for
+        rank, last = (rank[place], last[place]) if longer == size else (rank, last)
+        rank, reach = dense_ranks((rank << width) | last, 2 * width), longer
     return rank
 
 
@@ -260,13 +283,12 @@ class Collection:
         total = n + 1 + len(ends)
         rank, follow = rank[:total], np.concatenate([nxt, [n], np.arange(n + 1, total)])
         rank[n] = 0
+        width = int(max(rank.max(), total)).bit_length()
         while True:
-            key = rank[:n] * (int(rank.max()) + 1) + rank[follow[:n]]
-            order = np.argsort(key)  # equal keys share a rank, so their order does not matter
+            order, key = sorted_places((rank[:n] << width) | rank[follow[:n]], 2 * width)
             fresh = np.ones(n, bool)
-            fresh[1:] = key[order][1:] != key[order][:-1]
-            rank = rank.copy()
-            rank[order] = np.cumsum(fresh) - 1 + len(ends)
+            fresh[1:] = key[1:] != key[:-1]
+            rank[order] = np.cumsum(fresh) + (len(ends) - 1)
             if fresh.all():
                 break
             follow = follow[follow]
@@ -289,21 +311,24 @@ def merge_transforms(collection: Collection, cuts: np.ndarray, rounds: int = LEN
         orders.append(order)
         ends.append(int((order >= c.symbols).sum()))
     origin = np.repeat(np.arange(len(orders), dtype=np.uint8), [len(o) for o in orders])
-    block = np.zeros(len(origin), np.int64)
-    common = np.full(len(origin), rounds, np.int8)
     bottom = np.repeat(np.arange(len(orders), dtype=np.uint8), ends)  # the ends keep their shards' order
+    # a shard's own moves are the same in all rounds: its suffixes by the symbol before them, those at a string's start left out
+    width, bits = int(c.code.max(initial=0)).bit_length(), len(origin).bit_length()
+    moves = [sorted_places(x, width) for x in before]
+    moves = [(order[code > 0], code[code > 0].astype(np.int64) << bits) for order, code in moves]
+    block = np.zeros(len(origin), np.int32)
+    common = np.full(len(origin), rounds, np.int8)
+    split = np.ones(len(origin), bool)
+    split[1 : len(bottom)] = False
     for depth in range(rounds):
-        symbol = np.empty(len(origin), np.int32)
-        for k, transform in enumerate(before):
-            symbol[origin == k] = transform
-        inner = np.flatnonzero(symbol)
-        move = inner[stable_order(symbol[inner])]
-        code, was = symbol[move], block[move]
-        split = np.ones(len(origin), bool)
-        split[1 : len(bottom)] = False
-        split[len(bottom) + 1 :] = (code[1:] != code[:-1]) | (was[1:] != was[:-1])
+        # each shard's suffixes are in order of the symbol and of their place, so this merges sorted runs
+        key = np.sort(np.concatenate([code | np.flatnonzero(origin == k)[order] for k, (order, code) in enumerate(moves)]), kind="stable")
+        move = key & ((1 << bits) - 1)
+        key >>= bits
+        was = block[move]
+        split[len(bottom) + 1 :] = (key[1:] != key[:-1]) | (was[1:] != was[:-1])
         # a place at which neighbours part stays one, so the first round that parts them tells their common prefix
-        common[split & (common == rounds)] = depth
+        np.putmask(common, split & (common == rounds), depth)
         block = np.cumsum(split, dtype=np.int32)
         origin = np.concatenate([bottom, origin[move]])
     nodes = np.empty(len(origin), np.int64)
@@ -399,7 +424,7 @@ def window_runs(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, lots:
 
 def recut(data: np.ndarray, lengths: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """The segments as they are; if they are too many bytes at once, in lots of windows that are judged apart."""
-    lots = -(-len(data) // (16 * MERGE_BYTES))
+    lots = -(-len(data) // (64 * MERGE_BYTES))
     if lots == 1:
         yield data, lengths, doc, start
         return

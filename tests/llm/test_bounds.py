@@ -1,6 +1,7 @@
 """Hashes, samples, merges and orders in cases that the tables do not show."""
 
 import random
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -293,3 +294,48 @@ def test_shards_can_be_pruned_by_source(spark):
     split = out.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
     assert split <= 24
 
+
+
+@pytest.mark.parametrize("width", [10, 40, 62])
+def test_sorted_places_is_a_stable_order(width):
+    rng = np.random.default_rng(width)
+    key = rng.choice(rng.integers(0, 1 << width, 300), 5000)
+    order, ordered = suffix_dedup.sorted_places(key, width)
+    assert np.array_equal(order, np.argsort(key, kind="stable")) and np.array_equal(ordered, np.sort(key))
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 6, 11, 20, 25])
+def test_ranks_are_in_the_order_of_bytes(size):
+    rng = random.Random(size)
+    base = bytes(rng.choice(b"\x00a\xff") for _ in range(40))
+    text = b"".join(base[rng.randrange(30) :] for _ in range(40))
+    place = np.array(rng.sample(range(len(text) - size + 1), 200) + [len(text) - size])
+    strings = [text[p : p + size] for p in place.tolist()]
+    rank = {s: i for i, s in enumerate(sorted(set(strings)))}
+    assert suffix_dedup.byte_ranks(np.frombuffer(text, np.uint8), place, size).tolist() == [rank[s] for s in strings]
+
+
+def test_symbols_are_not_sorted_by_their_places():
+    """The merge's cost: permutations of symbols come from sorted numbers; only lists of segments are sorted by places, which costs several times as much."""
+    rng = np.random.default_rng(6)
+    n, base = 300, rng.integers(97, 101, 4000).astype(np.uint8)
+    doc, at = np.arange(n), rng.integers(0, 4000 - 140, n)
+    lengths = rng.integers(100, 140, n)
+    data, sorted_by_place = np.concatenate([base[a : a + m] for a, m in zip(at, lengths, strict=True)]), []
+
+    def seen(frame_, event, what):
+        if event == "c_call" and what.__name__ == "argsort":
+            sorted_by_place.append(len(what.__self__))
+
+    sys.setprofile(seen)
+    try:
+        flag = suffix_dedup.repeated(data, lengths, doc, np.zeros(n, np.int64))
+    finally:
+        sys.setprofile(None)
+    assert sorted_by_place and max(sorted_by_place) <= n
+    begin, known, want = np.cumsum(lengths) - lengths, set(), []
+    for b, m in zip(begin.tolist(), lengths.tolist(), strict=True):
+        windows = [data[b + i : b + i + 100].tobytes() for i in range(m - 99)]
+        want += [w in known for w in windows]
+        known.update(windows)
+    assert flag.tolist() == want
