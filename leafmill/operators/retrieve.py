@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-from leafmill.functions.text import contains_any, first_sentence, lexical_tokens, strip, token_count
-from leafmill.operators.embed import dot, with_embedding
+from leafmill.functions.text import contains_any, first_sentence, lexical_tokens, strip, token_count, words
+from leafmill.operators.embed import similarity, with_embedding
 
 
 def lexical_score(question_words: Column, chunk_words: Column) -> Column:
@@ -26,18 +26,19 @@ def number_bonus(question_words: Column, text: Column) -> Column:
 def scored(questions: DataFrame, chunks: DataFrame, dense: bool = False) -> DataFrame:
     """(question_id, doc_id, question) joined with the chunks of their document, with a score rounded to 4 digits.
 
-    Words (and vectors) are made once a question and once a chunk, below the join on doc_id.
+    Lexical words are made once a question and once a chunk, below the join on doc_id.  With vectors a chunk's words are made above it, where
+    question and chunk have met, and so are the vectors: one is 1.5 KB, many times its text, so that none is shuffled.
     """
-    q = questions.select("question_id", "doc_id", "question", lexical_tokens(F.col("question")).alias("q_words"))
-    c = chunks.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text", *(["bbox"] if "bbox" in chunks.columns else []), lexical_tokens(F.col("text")).alias("c_words"))
-    if dense:
-        q = with_embedding(q, "question", "q_vec")
-        c = with_embedding(c, "text", "c_vec")
-    both = q.join(c, "doc_id")
     box = ["bbox"] if "bbox" in chunks.columns else []
-    score = F.lit(fixed.LEXICAL_SHARE) * lexical_score(F.col("q_words"), F.col("c_words")) + number_bonus(F.col("q_words"), F.col("text"))
+    q_words, c_words = (words(F.coalesce(c, F.lit(""))) if dense else lexical_tokens(F.col(c)) for c in ("question", "text"))
+    q = questions.select("question_id", "doc_id", "question", q_words.alias("q_words"))
+    c = chunks.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text", *box)
+    both = q.join(c, "doc_id").withColumn("c_words", c_words) if dense else q.join(c.withColumn("c_words", c_words), "doc_id")
+    asked, said_ = (F.array_distinct(w) if dense else F.col(w) for w in ("q_words", "c_words"))
+    score = F.lit(fixed.LEXICAL_SHARE) * lexical_score(asked, said_) + number_bonus(asked, F.col("text"))
     if dense:
-        score = score + F.lit(fixed.DENSE_SHARE) * F.greatest(F.lit(0.0), (dot(F.col("q_vec"), F.col("c_vec")) + 1) / 2)
+        near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity(F.col("q_words"), F.col("c_words"))))
+        score = score + F.lit(fixed.DENSE_SHARE) * F.greatest(F.lit(0.0), (near + 1) / 2)
     return both.select("question_id", "doc_id", "question", "chunk_id", "chunk_idx", "page_number", "text", *box, F.round(score, 4).alias("score"))
 
 
