@@ -1,29 +1,29 @@
-"""Chunks stored with their words and vectors, and retrieval that moves neither.
+"""Chunks stored by document, and retrieval that moves neither their texts nor any vector.
 
-Vectors are made when chunks are stored.  The table is bucketed and sorted by document, so questions come to the chunks of
-their document: questions are shuffled, chunks are not.  What goes on from there is a score and the names of question and
-chunk; texts are read again for the winners only, from the same buckets.
+The table is bucketed and sorted by document, so questions come to the chunks of their document: questions are shuffled,
+chunks are not.  Words and vectors are made where the two meet and last for a batch: a vector is 1.5 KB that hardly compresses,
+many times its chunk's text, so neither the shuffle that stores chunks nor the table holds any.  What goes on from there is a score and the names of
+question and chunk; texts are read again for the winners only, from the same buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
-from leafmill.functions.text import lexical_tokens, words
-from leafmill.operators.embed import Encoder, with_embedding
+from leafmill.functions.text import words
+from leafmill.operators.embed import Encoder, similarities
 from leafmill.operators.retrieve import lexical_score, number_bonus, top_k
 
 _NARROW = ("question_id", "doc_id", "chunk_id", "chunk_idx", "page_number", "score")
 
 
 class StoredChunks:
-    """A table (doc_id, chunk_id, chunk_idx, page_number, text, words, vector) in ``buckets`` buckets of documents."""
+    """A table (doc_id, chunk_id, chunk_idx, page_number, text) in ``buckets`` buckets of documents."""
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None):
         """path: where the table is stored, the session's warehouse if not given; buckets: as many as shuffle partitions if not given."""
@@ -31,8 +31,8 @@ class StoredChunks:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def add(self, chunks: DataFrame) -> None:
-        """Store chunks (doc_id, chunk_id, chunk_idx, page_number, text) with their words and vectors."""
-        rows = with_embedding(chunks.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text", lexical_tokens(F.col("text")).alias("words")), "text", "vector")
+        """Store chunks (doc_id, chunk_id, chunk_idx, page_number, text)."""
+        rows = chunks.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text")
         # partitions are the buckets, so one task writes a bucket as one file
         writer = rows.repartition(self.buckets, "doc_id").write.format("parquet").mode("append").bucketBy(self.buckets, "doc_id").sortBy("doc_id")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
@@ -44,11 +44,11 @@ class StoredChunks:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def scored(self, questions: DataFrame) -> DataFrame:
-        """(question_id, doc_id, question) to a score for each chunk of the document, without texts and vectors."""
-        q = questions.select("question_id", F.col("doc_id").alias("_doc"), "question")
-        both = q.hint("merge").join(self.read(), F.col("_doc") == F.col("doc_id"))
-        asked = lexical_tokens(F.col("question"))
-        both = both.select(*_NARROW[:-1], lexical_score(asked, F.col("words")).alias("lexical"), number_bonus(asked, F.col("text")).alias("bonus"), "vector", words(F.coalesce("question", F.lit(""))).alias("asked"))
+        """(question_id, doc_id, question) to a score for each chunk of the document, without texts."""
+        q = questions.select("question_id", F.col("doc_id").alias("_doc"), words(F.coalesce("question", F.lit(""))).alias("asked"))
+        both = q.hint("merge").join(self.read(), F.col("_doc") == F.col("doc_id")).withColumn("said", words(F.coalesce("text", F.lit(""))))
+        asked, said = F.array_distinct("asked"), F.array_distinct("said")
+        both = both.select(*_NARROW[:-1], lexical_score(asked, said).alias("lexical"), number_bonus(asked, F.col("text")).alias("bonus"), "asked", "said")
         kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in (*_NARROW[:-1], "lexical", "bonus")) + ", dense double"
         out = both.mapInArrow(_dense, kinds)
         share = F.greatest(F.lit(0.0), (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dense"))) + 1) / 2)
@@ -67,16 +67,8 @@ class StoredChunks:
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The dot product of each row's question, encoded once a batch, and its chunk's vector in place of both."""
+    """The dot product of each row's question and chunk in place of their words."""
     encoder = Encoder()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            ids, asked = part.column(0).dictionary_encode(), part.column(part.num_columns - 1)
-            which = np.asarray(ids.indices)
-            _, first, place = np.unique(which, return_index=True, return_inverse=True)
-            own = asked.take(pa.array(first))
-            questions = encoder.vectors(own.flatten(), own.value_lengths().to_numpy(zero_copy_only=False)).astype(float)
-            vectors = np.asarray(part.column(part.num_columns - 2).flatten(), np.float32).reshape(part.num_rows, -1).astype(float)
-            dense = np.einsum("ij,ij->i", vectors, questions[place])
-            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(dense)], names=[*part.schema.names[:-2], "dense"])
+        dense = similarities(encoder, *batch.columns[-2:])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], dense], names=[*batch.schema.names[:-2], "dense"])

@@ -1,10 +1,13 @@
 """What queries shuffle and store, and rows that an order leaves open."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 
-from leafmill.operators import embed, retrieve
-from leafmill.plans import synthetic
+from leafmill.operators import chunk, embed, retrieve
+from leafmill.operators.stored import StoredChunks
+from leafmill.plans import synthetic, text_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +22,16 @@ def test_no_vector_is_part_of_a_plan_that_answers(spark):
     assert '"elementType":"float"' not in typed(retrieve.query(questions, chunks, dense=True))
 
 
+def test_a_store_holds_no_more_than_texts(spark):
+    chunks = chunk.paragraph_chunks(text_queries._docs(spark, SF))
+    store = StoredChunks(spark, f"stored_{uuid.uuid4().hex}")
+    store.add(chunks)
+    assert sorted(store.read().columns) == ["chunk_id", "chunk_idx", "doc_id", "page_number", "text"]
+    assert not [kind for _, kind in store.read().dtypes if kind.startswith("array")]
+    assert store.read().count() == chunks.count()
+    store.drop()
+
+
 def test_similarities_are_those_of_each_pair():
     rng = np.random.default_rng(4)
     texts = [[f"w{k}" for k in rng.integers(0, 30, n)] for n in (0, 1, 5, 40)]
