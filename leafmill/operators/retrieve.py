@@ -13,14 +13,18 @@ from leafmill.operators.embed import similarity, with_embedding
 
 
 def lexical_score(question_words: Column, chunk_words: Column) -> Column:
-    """Share of the question's distinct words that the chunk has; 0 without words."""
+    """Share of the question's distinct words that the chunk has, whose words may repeat; 0 without words."""
     return F.when(F.size(question_words) > 0, F.size(F.array_intersect(question_words, chunk_words)) / F.size(question_words)).otherwise(0.0)
 
 
-def number_bonus(question_words: Column, text: Column) -> Column:
-    """0.2 if a word with a digit occurs anywhere in the text."""
-    found = F.exists(question_words, lambda w: w.rlike(r"\d") & F.lower(text).contains(w))
-    return F.when(found, fixed.NUMBER_BONUS).otherwise(0.0)
+def number_words(question_words: Column) -> Column:
+    """The words with a digit."""
+    return F.filter(question_words, lambda w: w.rlike(r"\d"))
+
+
+def number_bonus(numbers: Column, text: Column) -> Column:
+    """0.2 if one of the question's words with a digit occurs anywhere in the text."""
+    return F.when(F.exists(numbers, lambda w: F.lower(text).contains(w)), fixed.NUMBER_BONUS).otherwise(0.0)
 
 
 def scored(questions: DataFrame, chunks: DataFrame, dense: bool = False) -> DataFrame:
@@ -30,12 +34,12 @@ def scored(questions: DataFrame, chunks: DataFrame, dense: bool = False) -> Data
     question and chunk have met, and so are the vectors: one is 1.5 KB, many times its text, so that none is shuffled.
     """
     box = ["bbox"] if "bbox" in chunks.columns else []
-    q_words, c_words = (words(F.coalesce(c, F.lit(""))) if dense else lexical_tokens(F.col(c)) for c in ("question", "text"))
-    q = questions.select("question_id", "doc_id", "question", q_words.alias("q_words"))
+    q = questions.select("question_id", "doc_id", "question", (words(F.coalesce("question", F.lit(""))) if dense else lexical_tokens(F.col("question"))).alias("q_words"))
+    q = q.withColumn("q_distinct", F.array_distinct("q_words") if dense else F.col("q_words")).withColumn("q_numbers", number_words(F.col("q_distinct")))
     c = chunks.select("doc_id", "chunk_id", "chunk_idx", "page_number", "text", *box)
+    c_words = words(F.coalesce("text", F.lit(""))) if dense else lexical_tokens(F.col("text"))
     both = q.join(c, "doc_id").withColumn("c_words", c_words) if dense else q.join(c.withColumn("c_words", c_words), "doc_id")
-    asked, said_ = (F.array_distinct(w) if dense else F.col(w) for w in ("q_words", "c_words"))
-    score = F.lit(fixed.LEXICAL_SHARE) * lexical_score(asked, said_) + number_bonus(asked, F.col("text"))
+    score = F.lit(fixed.LEXICAL_SHARE) * lexical_score(F.col("q_distinct"), F.col("c_words")) + number_bonus(F.col("q_numbers"), F.col("text"))
     if dense:
         near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity(F.col("q_words"), F.col("c_words"))))
         score = score + F.lit(fixed.DENSE_SHARE) * F.greatest(F.lit(0.0), (near + 1) / 2)

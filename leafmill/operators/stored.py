@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import fixed
 from leafmill.functions.text import words
-from leafmill.operators.embed import Encoder, similarities
-from leafmill.operators.retrieve import lexical_score, number_bonus, top_k
+from leafmill.operators.embed import encoder, similarities
+from leafmill.operators.retrieve import lexical_score, number_bonus, number_words, top_k
 
 _NARROW = ("question_id", "doc_id", "chunk_id", "chunk_idx", "page_number", "score")
 
@@ -46,9 +46,10 @@ class StoredChunks:
     def scored(self, questions: DataFrame) -> DataFrame:
         """(question_id, doc_id, question) to a score for each chunk of the document, without texts."""
         q = questions.select("question_id", F.col("doc_id").alias("_doc"), words(F.coalesce("question", F.lit(""))).alias("asked"))
+        # what is the same for all chunks of a question is made below the join
+        q = q.withColumn("_asked", F.array_distinct("asked")).withColumn("_numbers", number_words(F.col("_asked")))
         both = q.hint("merge").join(self.read(), F.col("_doc") == F.col("doc_id")).withColumn("said", words(F.coalesce("text", F.lit(""))))
-        asked, said = F.array_distinct("asked"), F.array_distinct("said")
-        both = both.select(*_NARROW[:-1], lexical_score(asked, said).alias("lexical"), number_bonus(asked, F.col("text")).alias("bonus"), "asked", "said")
+        both = both.select(*_NARROW[:-1], lexical_score(F.col("_asked"), F.col("said")).alias("lexical"), number_bonus(F.col("_numbers"), F.col("text")).alias("bonus"), "asked", "said")
         kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in (*_NARROW[:-1], "lexical", "bonus")) + ", dense double"
         out = both.mapInArrow(_dense, kinds)
         share = F.greatest(F.lit(0.0), (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dense"))) + 1) / 2)
@@ -68,7 +69,6 @@ class StoredChunks:
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The dot product of each row's question and chunk in place of their words."""
-    encoder = Encoder()
     for batch in batches:
-        dense = similarities(encoder, *batch.columns[-2:])
+        dense = similarities(encoder(), *batch.columns[-2:])
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], dense], names=[*batch.schema.names[:-2], "dense"])
